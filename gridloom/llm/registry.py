@@ -1,8 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from . import simhash
+from . import embedding_dedup, quality, simhash
 
 QUERIES = {
+    "op1_embedding_near_dedup": embedding_dedup.op1_embedding_near_dedup,
+    "op7_quality_rules": quality.op7_quality_rules,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
 
