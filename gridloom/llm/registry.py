@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from . import embedding_dedup, quality, simhash
+from . import embedding_dedup, language_model, quality, simhash
 
 QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup.op1_embedding_near_dedup,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_lm_scoring": language_model.op8_lm_scoring,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
 
