@@ -1,12 +1,18 @@
 """The queries of this subpackage and their SQL."""
 
-from . import embedding_dedup, language_model, quality, simhash
+from . import chat, embedding_dedup, language_model, mixing, quality, simhash, token_counts
 
 QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup.op1_embedding_near_dedup,
+    "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op6_mixing": mixing.op6_mixing,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_lm_scoring": language_model.op8_lm_scoring,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
 
-SQL = {}
+SQL = {
+    "op3_chat_formatting": chat.OP3_SQL,
+    "op6_mixing": mixing.OP6_SQL,
+}
