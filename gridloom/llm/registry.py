@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, embedding_dedup, language_model, mixing, quality, simhash, token_counts
+from . import chat, embedding_dedup, html_extract, language_model, mixing, quality, simhash, token_counts
 
 QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup.op1_embedding_near_dedup,
+    "op2_html_extraction": html_extract.op2_html_extraction,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_token_counts": token_counts.op4_token_counts,
     "op6_mixing": mixing.op6_mixing,
