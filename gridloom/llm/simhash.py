@@ -109,6 +109,13 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     return dealt.mapInArrow(_verify(distance), "u long, v long").distinct()
 
 
+def _roots(prints: DataFrame, distance: int) -> DataFrame:
+    """(fp, first, root): of each fingerprint the smallest id, and the smallest fingerprint that it reaches."""
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(classes.select("fp"), distance))
+    return classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id reachable over links of up to `distance` bits.
 
@@ -117,14 +124,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is null only if no row in it has an id.  An empty table gives no rows.
     """
     prints = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(classes.select("fp"), distance))
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = _roots(prints, distance)
     groups = named.groupBy("root").agg(F.min("first").alias("component_id"))
     byclass = named.join(groups, "root").select("fp", "component_id")
     return prints.join(byclass, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """The rows of docs, one of each near-duplicate group: the one with the smallest id, nulls last.
+
+    Of rows with that id, the one with the smallest hash of its text stays, of equal ones any one.
+    """
+    ids = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    prints = cut(fingerprints(ids))
+    rows = prints.join(_roots(prints, distance).select("fp", "root"), "fp")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h")).alias("best"))
+    best = best.select("best.late", F.coalesce("best.doc_id", F.lit(0)).alias("id"), "best.h")
+    boxed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).isNull().alias("late"),
+        F.coalesce(F.col(id_col), F.lit(0)).alias("id"), F.xxhash64(text_col).alias("h"),
+    )
+    return boxed.join(best, ["late", "id", "h"], "left_semi").dropDuplicates(["late", "id", "h"]).select("doc.*")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
