@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, raw, read
 
-HEAD, OWN, GROUPS, CLASSES, SWEEPS, ALPHA, BACKOFF = 50_000, 1_000, 500, 64, 8, 0.1, 5.0
+HEAD, OWN, GROUPS, CLASSES, SWEEPS, ALPHA, BACKOFF = 50_000, 600, 300, 64, 8, 0.1, 5.0
 #: The end token; no word holds a space.
 END = b" "
 HELD_OUT = "crc32(cast(doc_id as string)) % 10 = 0"
@@ -171,13 +171,14 @@ def scored(docs: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
         for i in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(seen[at[i : i + 100_000]])], names=["pair", "c"])
 
-    met = training.mapInArrow(neighbours, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
+    met = training.mapInArrow(neighbours, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
     pairs = np.zeros(symbols.n * symbols.n)
-    pairs[met["pair"].to_numpy(np.int64)] = met["c"].to_numpy(np.float64)
+    pairs[met["pair"].to_numpy()] = met["c"].to_numpy()
+    del met
     pairs = pairs.reshape(symbols.n, symbols.n)
     label = exchange(pairs)
-    between = np.zeros((CLASSES, CLASSES))
-    np.add.at(between, (label[:, None], label[None, :]), pairs)
+    member = np.eye(CLASSES)[label]
+    between = member.T @ (pairs @ member)
     share = np.bincount(label, weights=mass, minlength=CLASSES) + 1.0 / CLASSES
     share = share / share.sum()
     transition = np.log10((between + BACKOFF * share[None, :]) / (between.sum(axis=1, keepdims=True) + BACKOFF))

@@ -2,7 +2,7 @@
 
 A source's rate is its target share of the whole over its own share.  A document's number of copies is the
 inverse of the Poisson distribution with that mean at a number in [0, 1) hashed from the seed and the document,
-so a recomputed task gives the same copies.  Copies are exploded and the whole is ordered by another hash.
+so a recomputed task gives the same copies.  Copies are exploded, and another hash deals them to partitions and orders them there.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import read
 
 TEMPERATURE, SEED, SOURCES = 0.5, 11, 10_000
-#: The distribution is tabled so far; beyond lies less than 2 ** -53 for rates up to 64, larger rates are split off as whole copies.
+#: A source's distribution is tabled so far; beyond lies less than 2 ** -53 for rates up to LARGEST, what is over is split off as whole copies.
 STEPS, LARGEST = 160, 64.0
 
 
@@ -22,14 +22,19 @@ def hashed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def poisson(u: Column, rate: Column) -> Column:
-    """The Poisson distribution's inverse at u; a rate over LARGEST gives its whole part less LARGEST for certain."""
+def distribution(rate: Column) -> Column:
+    """struct<sure, cdf>: whole copies for certain (of a rate over LARGEST), and P(at most k) of the rest for k = 0, 1, ... below 1."""
     sure = F.greatest(F.floor(rate - LARGEST), F.lit(0))
-    mean = F.greatest(rate - sure, F.lit(1e-300))
-    state = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("k"))
-    step = lambda s, k: F.struct((s.p * mean / k).alias("p"), (s.c + s.p * mean / k).alias("c"), F.when(u >= s.c, s.k + 1).otherwise(s.k).alias("k"))
-    drawn = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), state, step, lambda s: s.k)
-    return (drawn + sure).cast("int")
+    mean = rate - sure
+    first = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("c"))
+    step = lambda s, k: F.struct((s.p * mean / k).alias("p"), F.concat(s.c, F.array(F.element_at(s.c, -1) + s.p * mean / k)).alias("c"))
+    cdf = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), first, step, lambda s: F.filter(s.c, lambda x: x < 1))
+    return F.struct(sure.cast("int").alias("sure"), cdf.alias("cdf"))
+
+
+def drawn(u: Column, d: Column) -> Column:
+    """The distribution's inverse at u: the number of k with P(at most k) <= u."""
+    return d.sure + F.size(F.filter(d.cdf, lambda c: u >= c))
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
@@ -49,20 +54,20 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
-    """docs' columns and copy_no (int), each row as often as drawn, in the order of a hash: a global shuffle.
+    """docs' columns and copy_no (int), each row as often as drawn, dealt to partitions and ordered in them by a hash: a global shuffle.
 
     A row's draw depends on its id and the seed alone, so repeated rows are drawn alike.  The table of rates goes
     to all workers if it has at most SOURCES rows; a larger one is joined by shuffles.  An empty table gives no
     rows.
     """
-    table = rates(docs.select("source"), weights, temperature).withColumnsRenamed({"source": "mix_source", "rate": "mix_rate"})
+    table = rates(docs.select("source"), weights, temperature).select(F.col("source").alias("mix_source"), distribution(F.col("rate")).alias("mix"))
     small = table.limit(SOURCES + 1).count() <= SOURCES
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     met = boxed.join(F.broadcast(table) if small else table, F.col("doc.source").eqNullSafe(F.col("mix_source")))
-    n = poisson(hashed(F.lit(seed), F.col(f"doc.`{id_col}`")), F.col("mix_rate"))
-    copies = met.select("doc", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))).alias("copy_no"))
+    counted = met.select("doc", drawn(hashed(F.lit(seed), F.col(f"doc.`{id_col}`")), F.col("mix")).alias("n")).where("n > 0")
+    copies = counted.select("doc", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"))
     keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), F.col(f"doc.`{id_col}`"), "copy_no"))
-    return keyed.orderBy("mix_key").select("doc.*", "copy_no")
+    return keyed.repartition("mix_key").sortWithinPartitions("mix_key").select("doc.*", "copy_no")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
