@@ -22,6 +22,7 @@ HOSTS = 50_000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*"|'[^']*'|<)*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|itemprop|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_OPEN_TAG = re.compile(r"<[a-zA-Z/!?].*\Z", re.S)
 _RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
 _SKIP = {"nav", "aside", "footer", "form", "noscript", "template", "svg", "select", "button", "dialog", "menu", "object", "canvas", "audio", "video", "datalist", "fieldset", "head", "math"}
 _CONTAINERS = {"body", "main", "article", "section", "div", "td", "center", "blockquote", "figure", "header", "layer"}
@@ -130,7 +131,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         else:
             node = Node(tag, up.path, up, noise, True)
         stack.append(node)
-    say(html[place:] if not re.match(r"<[a-zA-Z/!?]", html[place : place + 2]) else "")
+    say(_OPEN_TAG.sub("", html[place:]))
     flush()
     return nodes, blocks
 
