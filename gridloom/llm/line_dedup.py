@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, read, whole_groups
 
 #: Lines shorter than this have only equal lines as neighbours: an edit makes a short line another line.
 NEAR_CHARS = 20
@@ -47,28 +47,24 @@ def variants(line: str, powers: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, place, h, g, at): place -1 for the line itself."""
+    """(key, place, rank) of lines (line, rank): place -1 for the line itself."""
     powers = _powers(1 << 12)
     for batch in batches:
         lines = batch.column(batch.schema.get_field_index("line")).to_pylist()
-        ids = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("h", "g")]
-        seqs = batch.column(batch.schema.get_field_index("at"))
+        ranks = batch.column(batch.schema.get_field_index("rank")).to_numpy(zero_copy_only=False)
         keys, places, who, size = [], [], [], 0
 
         def out():
-            row = np.concatenate(who)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(ids[0][row]), pa.array(ids[1][row]), seqs.take(pa.array(row))],
-                names=["key", "place", "h", "g", "at"],
-            )
+            columns = [np.concatenate(keys), np.concatenate(places).astype(np.int32), np.concatenate(who)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "place", "rank"])
 
-        for i, line in enumerate(lines):
+        for line, rank in zip(lines, ranks, strict=True):
             if len(line) >= len(powers):
                 powers = _powers(2 * len(line))
             deleted, whole = variants(line, powers)
             keys.append(np.append(deleted, whole))
             places.append(np.append(np.arange(len(deleted)), -1))
-            who.append(np.full(len(deleted) + 1, i))
+            who.append(np.full(len(deleted) + 1, rank))
             size += len(keys[-1])
             if size > 200_000:
                 yield out()
@@ -77,6 +73,35 @@ def _emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out()
 
 
+def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rank, best) of rows sorted by key, place and rank: a line, and an earlier one that may be its neighbour.
+
+    A key's group is one line and those an edit away from it, so it is held whole.
+    """
+    for group in whole_groups(batches, ["key"]):
+        if not group.num_rows:
+            continue
+        key, place, rank = (group[c].to_numpy() for c in ("key", "place", "rank"))
+        new_key = np.concatenate([[True], key[1:] != key[:-1]])
+        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])]))
+        # substitutions: all of a key and place are neighbours of the first
+        best = np.repeat(rank[start], np.diff(np.append(start, len(key))))
+        late = (place >= 0) & (best < rank)
+        out = [(rank[late], best[late])]
+        # insertions: the line itself comes first in its key; the rest of the key holds it with one character more
+        heads = np.flatnonzero(new_key)
+        size = np.diff(np.append(heads, len(key)))
+        whole = np.repeat(np.where(place[heads] == -1, rank[heads], np.iinfo(np.int64).max), size)
+        longer = (place >= 0) & (whole < rank)
+        out.append((rank[longer], whole[longer]))
+        least = np.minimum.reduceat(np.where(place >= 0, rank, np.iinfo(np.int64).max), heads)
+        short = (place[heads] == -1) & (least < rank[heads])
+        out.append((rank[heads][short], least[short]))
+        a, b = (np.concatenate([x[k] for x in out]) for k in (0, 1))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["rank", "best"])
+
+
 def near(a: str, b: str) -> bool:
     """Edit distance 1 at most."""
     if len(a) > len(b):
@@ -98,12 +123,12 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _lines(docs: DataFrame) -> DataFrame:
     """(at, h, g, line): `at` is the place in the corpus, by id, row and line; lines without a word are no lines here."""
     cutting = docs.select("id", "row", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("no", "line"))
-    worded = cutting.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    worded = cutting.where(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != "")
     return worded.select(F.struct(F.col("id").isNull().alias("late"), "id", "row", "no").alias("at"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), "line")
 
 
 def _filter(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """lines less most that are not among wanted (h, g): a Bloom filter of FILTER_BITS at most, with false hits only.
+    """lines less most whose h is not among wanted: a Bloom filter of FILTER_BITS at most, with false hits only.
 
     With more lines wanted than a filter of that size tells apart, all lines pass, and the join that follows
     does the whole work.
@@ -112,7 +137,7 @@ def _filter(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     bits = 1 << max(10, (12 * n).bit_length())
     if bits > FILTER_BITS:
         return lines
-    places = F.explode(F.array(*[F.pmod(F.shiftright("h", 8) + F.lit(k) * F.shiftright("g", 8), F.lit(bits)) for k in range(FILTER_HASHES)]))
+    places = F.explode(F.array(*[F.pmod(F.shiftright("h", 8) + F.lit(k) * F.shiftright(F.xxhash64("h"), 8), F.lit(bits)) for k in range(FILTER_HASHES)]))
     words = wanted.select(places.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 63))")).alias("m")).toPandas()
     table = np.zeros(bits // 64, np.uint64)
     table[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
@@ -120,15 +145,16 @@ def _filter(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, g = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("h", "g"))
+            h, step = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("h", "step"))
             keep = np.ones(len(h), bool)
             for k in range(FILTER_HASHES):
-                b = ((h >> np.int64(8)) + np.int64(k) * (g >> np.int64(8))) & np.int64(bits - 1)
+                b = ((h >> np.int64(8)) + np.int64(k) * (step >> np.int64(8))) & np.int64(bits - 1)
                 keep &= (shared.value[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
-    return lines.mapInArrow(run, lines.schema)
+    stepped = lines.withColumn("step", F.xxhash64("h"))
+    return stepped.mapInArrow(run, stepped.schema).drop("step")
 
 
 def repeats(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
@@ -142,32 +168,22 @@ def repeats(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
         half = F.floor((tag - 1) / 2).cast("int")
         return F.xxhash64(F.lit(0), tag, F.substring("line", F.lit(1), half)), F.xxhash64(F.lit(1), tag, F.right("line", half))
 
-    met = long_lines.select("h", "g", F.explode(F.array(*halves(F.length("line")), *halves(F.length("line") - 1))).alias("half"))
-    shared = met.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("g").alias("c"), F.max("g").alias("d")).where("a <> b or c <> d").select("half")
-    wanted = cut(met.join(shared, "half", "left_semi").distinct().select("h", "g").distinct())
-    texts = _filter(long_lines, wanted).groupBy("h", "g", "line").agg(F.min("at").alias("at"))
-    able = cut(texts.join(wanted, ["h", "g"], "left_semi"))
-    keys = cut(able.mapInArrow(_emit, _emitted(able)))
-    # substitutions: all of a key and place are neighbours; insertions: the line itself and the lines with its key
-    same = keys.groupBy("key", "place").agg(F.min(F.struct("at", "h", "g")).alias("best"), F.count("*").alias("n")).where("n > 1 or place = -1")
-    subs = keys.where("place >= 0").join(same.where("place >= 0").select("key", "place", "best"), ["key", "place"]).where("best.at < at").select("h", "g", "best")
-    whole = keys.where("place = -1").select("key", F.struct("at", "h", "g").alias("short"))
-    longer = keys.where("place >= 0").join(whole, "key").select(F.struct("at", "h", "g").alias("long"), "short")
-    ins = longer.where("short.at < long.at").select("long.h", "long.g", F.col("short").alias("best"))
-    dels = longer.where("long.at < short.at").groupBy("short.h", "short.g").agg(F.min("long").alias("best"))
-    found = subs.union(ins).union(dels).select("h", "g", F.col("best.h").alias("h2"), F.col("best.g").alias("g2")).distinct()
-    texts = able.select("h", "g", "line")
-    paired = found.join(texts, ["h", "g"]).join(texts.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("line").alias("other")), ["h2", "g2"])
-    late = paired.select("h", "g", "line", "other").mapInArrow(_verify, "h long, g long").distinct().withColumn("near", F.lit(True))
+    met = long_lines.select("h", F.explode(F.array(*halves(F.length("line")), *halves(F.length("line") - 1))).alias("half"))
+    shared = met.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
+    wanted = cut(met.join(shared, "half", "left_semi").select("h").distinct())
+    texts = _filter(long_lines, wanted).groupBy("h", "g", "line").agg(F.min("at").alias("at")).join(wanted, "h", "left_semi")
+    # ranks in the order of `at`, in place of it in the many rows that follow
+    able = cut(texts.repartitionByRange("at").sortWithinPartitions("at").select("h", "g", "line", F.monotonically_increasing_id().alias("rank")))
+    keys = able.select("line", "rank").mapInArrow(_emit, "key long, place int, rank long").repartition("key").sortWithinPartitions("key", "place", "rank")
+    found = keys.mapInArrow(_meet, "rank long, best long").distinct()
+    other = able.select(F.col("rank").alias("best"), F.col("line").alias("other"))
+    paired = found.join(able, "rank").join(other, "best").select("h", "g", "line", "other")
+    late = paired.mapInArrow(_verify, "h long, g long").distinct().withColumn("near", F.lit(True))
     doomed = classes.join(late, ["h", "g"], "left").where("times > 1 or near").select("h", "g", "first", "near")
     hit = slim.join(doomed, ["h", "g"]).where("near or at <> first")
     return hit.select("at.id", "at.row", "at.no")
 
 
-def _emitted(able: DataFrame) -> str:
-    return f"key long, place int, h long, g long, at {able.schema['at'].dataType.simpleString()}"
-
-
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = NEAR_CHARS) -> DataFrame:
     """docs with its text less all lines that an earlier line of the corpus equals or, from near_chars on, nears.
 
