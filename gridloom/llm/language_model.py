@@ -128,7 +128,7 @@ def scored(docs: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs (doc_id, text).
 
     A null or empty text is its end token alone.  A row with a null id is in training.  Repeated rows are scored
-    alike and counted in training as often as they occur.  Words of equal counts enter the head in byte order.
+    alike and counted in training as often as they occur.  Words of nearly equal counts enter the head together or not.
     An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -136,7 +136,8 @@ def scored(docs: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
     training = rows.where("not held_out").select("text")
     counts = cut(training.mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).toPandas()
+    least_c = _head_bound(counts, HEAD)
+    top = counts.where(F.col("c") >= least_c).toPandas().sort_values(["c", "word"], ascending=[False, True], kind="stable")
     head = dict(zip(map(bytes, top["word"]), map(int, top["c"]), strict=True))
     least = list(head)
     own = [w for w in least if w != END][:OWN]
@@ -184,7 +185,7 @@ def scored(docs: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
     transition = np.log10((between + BACKOFF * share[None, :]) / (between.sum(axis=1, keepdims=True) + BACKOFF))
     weight = mass + ALPHA  # every symbol of a class may come, also one not met in training
     emission = np.log10(weight / np.bincount(label, weights=weight, minlength=CLASSES)[label])
-    group = np.where(kinds >= 0, np.log10(mass + ALPHA * (kinds + 1)), 0.0)
+    group = np.where(kinds >= 0, np.log10(mass + ALPHA * (np.maximum(kinds, 0) + 1)), 0.0)
     model = spark.sparkContext.broadcast((head, label, transition, emission, group))
     base_log = float(np.log10(total + ALPHA * (types + 1)))
 
@@ -222,8 +223,7 @@ def scored(docs: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
     schema = "doc_id long, part long, held_out boolean, n_tokens long, known long, base double, full double, words array<binary>, times array<long>"
     parts = cut(rows.withColumn("part", F.xxhash64("text")).mapInArrow(score, schema))
     tail = parts.select("doc_id", "part", F.explode(F.arrays_zip("words", "times")).alias("x")).select("doc_id", "part", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    last = (int(top["c"].iloc[-1]), bytearray(top["word"].iloc[-1])) if len(top) == HEAD else None
-    rare = counts if last is None else counts.where((F.col("c") < last[0]) | ((F.col("c") == last[0]) & (F.col("word") > F.lit(last[1]))))
+    rare = counts.where(F.col("c") < least_c)
     looked = tail.join(rare, "word", "left")
     known = F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)
     logs = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ALPHA))
@@ -245,6 +245,19 @@ def scored(docs: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
     )
 
 
+def _head_bound(counts: DataFrame, head: int) -> int:
+    """A count that at most `head` words reach: from counts' eighths of a power of two, so that no task sends a table of its own."""
+    eighth = F.floor(8 * F.log2(F.col("c"))).cast("int")
+    sizes = counts.groupBy(eighth.alias("k")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("k")).collect()
+    bound, held = 1 << 62, 0
+    for k in sizes:
+        held += k["n"]
+        if held > head:
+            break
+        bound = k["c"]
+    return bound
+
+
 def _without(counts: DataFrame, own: list[bytes]) -> DataFrame:
     """counts but for the words in `own` (OWN at most) and the end token."""
     spark = counts.sparkSession
