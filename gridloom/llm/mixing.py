@@ -49,8 +49,9 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     else:
         named = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "name string, w double")
         sized = sizes.join(named, F.col("source").eqNullSafe(F.col("name")), "left").select("source", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
-    total = sized.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    return sized.join(F.broadcast(total), F.lit(True)).select("source", F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * F.col("all_n") / F.col("n")).otherwise(0.0).alias("rate"))
+    all_n, all_w = sized.agg(F.sum("n"), F.sum("w")).first()
+    rate = F.col("w") / F.lit(all_w) * F.lit(all_n) / F.col("n") if all_w else F.lit(0.0)
+    return sized.select("source", rate.alias("rate"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
