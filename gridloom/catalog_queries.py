@@ -17,7 +17,7 @@ from .functions import pixel as P
 from .functions import sqlnames
 from .operators import pixels as X
 from .operators import pyramid, statistics, vector
-from .types import COMPRESSIONS, PIXELS, SAMPLES, allowed, default_nodata
+from .types import COMPRESSIONS, PIXELS, SAMPLES, allowed, default_nodata, tile_form
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -345,7 +345,8 @@ _STRETCH = "CASE WHEN v <= lo THEN 0 WHEN v >= hi THEN 255 ELSE floor(1 + (v - l
 
 def _bounded(spark, d) -> DataFrame:
     g = grid(spark, d)
-    return g.join(F.broadcast(g.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))), how="cross")
+    lo, hi = g.agg(F.min("v"), F.max("v")).first()
+    return g.withColumns({"lo": F.lit(lo), "hi": F.lit(hi)})
 
 
 @query(G + f", {_BOUNDS} SELECT r, c, {_STRETCH} AS v FROM g, bd")
@@ -492,6 +493,22 @@ def coverage_matrix_semi_join(spark, d):
     return ok.groupBy("pixel", "bands").agg(F.count("*").alias("combinations"))
 
 
+_TILE_ROWS = [("MONOCHROME", "1-BIT", 1, "CCITTFAX4"), ("PALETTE", "4-BIT", 1, "PNG"), ("PALETTE", "UINT8", 1, "GIF"), ("GRAYSCALE", "UINT8", 1, "JPEG"), ("RGB", "UINT8", 3, "PNG")]
+_TILE_VALUES = ", ".join(str((*r, k)) for r in _TILE_ROWS for k in (0, 1))
+
+
+@query(f"""WITH c(pixel, sample, bands, compression, pyramid_level) AS (VALUES {_TILE_VALUES}), t AS (SELECT l_orderkey AS tile_id, (l_orderkey % 2)::INT AS pyramid_level, l_linenumber % 3 AS form FROM lineitem)
+SELECT c.pixel, c.sample, c.pyramid_level, form::INT AS form, count(*) AS tiles, count(*) FILTER (CASE form WHEN 0 THEN c.pyramid_level = 0 OR c.pixel NOT IN ('MONOCHROME', 'PALETTE')
+WHEN 1 THEN c.pyramid_level = 1 AND c.pixel = 'MONOCHROME' ELSE (c.pyramid_level = 1 AND c.pixel = 'PALETTE') OR c.pixel = 'RGB' END) AS valid FROM t JOIN c USING (pyramid_level) GROUP BY ALL""")
+def tile_validity(spark, d):
+    """Tiles in three forms (the coverage's own, gray PNG, RGB PNG) against five coverages: the rule table is fixed, and broadcast."""
+    forms = [lambda r: r, lambda r: ("GRAYSCALE", "UINT8", 1, "PNG"), lambda r: ("RGB", "UINT8", 3, "PNG")]
+    rules = [(r[0], r[1], k, f, tile_form(*r, k) == have(r)) for r in _TILE_ROWS for k in (0, 1) for f, have in enumerate(forms)]
+    rule = spark.createDataFrame(rules, "pixel string, sample string, pyramid_level int, form int, ok boolean")
+    t = table(spark, d, "lineitem").select((F.col("l_orderkey") % 2).cast("int").alias("pyramid_level"), (F.col("l_linenumber") % 3).alias("form"))
+    return t.join(F.broadcast(rule), ["pyramid_level", "form"]).groupBy("pixel", "sample", "pyramid_level", "form").agg(F.count("*").alias("tiles"), F.count_if("ok").alias("valid"))
+
+
 @query(" UNION ALL ".join(f"SELECT '{p}' AS pixel, '{s}' AS sample, {v} AS nodata" for p, s, v in (("DATAGRID", "INT16", 0.0), ("GRAYSCALE", "UINT8", 255.0), ("GRAYSCALE", "4-BIT", 15.0), ("RGB", "UINT8", 255.0), ("RGB", "UINT16", 0.0))).replace("AS nodata", "::DOUBLE AS nodata"))
 def coverage_default_nodata(spark, d):
     rows = [(p, s, default_nodata(p, s, 3)[0]) for p, s in (("DATAGRID", "INT16"), ("GRAYSCALE", "UINT8"), ("GRAYSCALE", "4-BIT"), ("RGB", "UINT8"), ("RGB", "UINT16"))]

@@ -43,10 +43,12 @@ def histogram(px: DataFrame, value: str, keys: Sequence[str] = (), offset: int =
 
 def binned(px: DataFrame, value: str = "v", bins: int = 256) -> DataFrame:
     """Other types: bins of (max - min) / (bins - 1), the bounds from a first pass; a constant band is bin 0."""
-    bounds = px.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    step = (F.col("hi") - F.col("lo")) / (bins - 1)
-    at = F.when(F.col("hi") > F.col("lo"), F.least(F.greatest(F.floor((F.col(value) - F.col("lo")) / step), F.lit(0)), F.lit(bins - 1))).otherwise(0)
-    return px.join(F.broadcast(bounds), how="cross").select(at.cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    lo, hi = px.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    if lo is None:
+        return px.limit(0).select(F.lit(0).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    step = (float(hi) - float(lo)) / (bins - 1)
+    at = F.least(F.greatest(F.floor((F.col(value) - F.lit(lo)) / F.lit(step)), F.lit(0)), F.lit(bins - 1)) if step else F.lit(0)
+    return px.where(F.col(value).isNotNull()).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def cumulative(hist: DataFrame) -> DataFrame:

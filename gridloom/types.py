@@ -46,3 +46,12 @@ def default_nodata(pixel: str, sample: str, bands: int) -> list[float]:
     if pixel == "GRAYSCALE":
         return [float({"1-BIT": 1, "2-BIT": 3, "4-BIT": 15, "UINT8": 255}.get(sample, 0))]
     return [255.0 if sample == "UINT8" else 0.0] * bands
+
+
+def tile_form(pixel: str, sample: str, bands: int, compression: str, level: int) -> tuple[str, str, int, str]:
+    """What a valid tile of a coverage is at a pyramid level: bitmaps and palettes become gray or RGB above the base."""
+    if level > 0 and bands == 1 and (pixel, sample) == ("MONOCHROME", "1-BIT"):
+        return "GRAYSCALE", "UINT8", 1, "PNG"
+    if level > 0 and bands == 1 and pixel == "PALETTE":
+        return "RGB", "UINT8", 3, "PNG"
+    return pixel, sample, bands, compression
