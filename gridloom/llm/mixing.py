@@ -33,8 +33,11 @@ def distribution(rate: Column) -> Column:
 
 
 def drawn(u: Column, d: Column) -> Column:
-    """The distribution's inverse at u: the number of k with P(at most k) <= u."""
-    return d.sure + F.size(F.filter(d.cdf, lambda c: u >= c))
+    """The distribution's inverse at u: the number of k with P(at most k) <= u.
+
+    u is bound to a variable, as else its hash would be computed for each k.
+    """
+    return d.sure + F.element_at(F.transform(F.array(u), lambda v: F.size(F.filter(d.cdf, lambda c: v >= c))), 1)
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
