@@ -63,10 +63,14 @@ def parse(formatted: Column) -> Column:
         role = F.when(x.opens == OPENS["user"], "user").when(x.opens == OPENS["assistant"], "assistant").when(x.opens == OPENS["system"], "system").otherwise(named)
         return F.struct(role.alias("role"), unescape(x.contents).alias("text"))
 
+    def turns(parts: Column) -> Column:
+        covered = F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x.opens) + F.length(x.contents) + F.length(x.closes) + 2)
+        bare = F.exists(parts, lambda x: F.rlike(x.contents, F.lit(rf"(?<!\\)(?:{CONTROL})")))
+        return F.when((covered == F.length(formatted)) & ~bare, F.transform(parts, turn))
+
+    # bound to a variable, so that the matches are found once
     parts = F.arrays_zip(opens.alias("opens"), contents.alias("contents"), closes.alias("closes"))
-    covered = F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x.opens) + F.length(x.contents) + F.length(x.closes) + 2)
-    bare = F.exists(contents, lambda c: F.rlike(c, F.lit(rf"(?<!\\)(?:{CONTROL})")))
-    return F.when((covered == F.length(formatted)) & ~bare, F.transform(parts, turn))
+    return F.element_at(F.transform(F.array(parts), turns), 1)
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
