@@ -11,7 +11,7 @@ from ..types import PIXELS, SAMPLES
 from .pixel import LIMITS, PALETTE, PIXEL
 
 #: Codecs for which the engine can read or write tiles: Parquet pages, zlib and lzma; PNG is written.
-CODECS = {"none": 1, "deflate": 1, "deflate_no": 1, "lzma": 1, "lzma_no": 1, "jpeg": 1, "png": 1, "fax4": 0, "charls": 0, "webp": 0, "ll_webp": 0, "jp2": 0, "ll_jp2": 0}
+CODECS = {"none": 1, "deflate": 1, "deflate_no": 1, "lzma": 1, "lzma_no": 1, "jpeg": 0, "png": 1, "fax4": 0, "charls": 0, "webp": 0, "ll_webp": 0, "jp2": 0, "ll_jp2": 0}
 STATS = "struct<sample_type:string,no_data:double,count:double,bands:array<struct<min:double,max:double,mean:double,sum_sq_diff:double,histogram:array<double>>>>"
 
 _S = ", ".join(f"'{s}'" for s in SAMPLES)
