@@ -21,7 +21,7 @@ from .common import cut, read
 HOSTS = 50_000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*"|'[^']*'|<)*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|itemprop|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _OPEN_TAG = re.compile(r"<[a-zA-Z/!?].*\Z", re.S)
 _RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
 _SKIP = {"nav", "aside", "footer", "form", "noscript", "template", "svg", "select", "button", "dialog", "menu", "object", "canvas", "audio", "video", "datalist", "fieldset", "head", "math"}
@@ -31,12 +31,16 @@ _BLOCKS = _CONTAINERS | _SKIP | {
     "caption", "hr", "br", "address", "details", "summary", "figcaption", "hgroup", "search",
 }
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|sidebar|side-bar|nav|navbar|navigation|menu|breadcrumb|breadcrumbs"
-    r"|comment|comments|comment-list|disqus|respond|reply|replies|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social"
-    r"|related|recommended|recommendations|widget|pagination|pager|footer|site-footer|masthead|site-header|topbar|toolbar|skip|legal|copyright|login|signup|search|tags|toc)(?:$|[\s_-])",
-    re.I,
+_NOISE = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs"
+    " comment comments disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription share sharing social"
+    " related recommended recommendations widget pagination pager footer masthead topbar toolbar skip legal copyright login signup search tags toc".split()
 )
+_NOISE_TOKENS = frozenset(("side-bar", "site-header"))
+#: A name with one of these tells how its element is laid out, not what it is.
+_MODIFIERS = frozenset("has have no not non with without is hide hides hidden show shows one two open opened closed enabled disabled active layout free less off on full column columns grid results".split())
+#: What a name may end in and still name the same thing.
+_WRAPPERS = frozenset("wrapper wrap container inner outer box block area list section left right top bottom item items row".split())
 _NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 _ENDS_P = _BLOCKS - {"br"}
 
@@ -49,8 +53,31 @@ class Node:
         self.prose = self.links = 0
 
 
-def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
-    """Containers in page order, and blocks: (container, text, characters in links)."""
+def attributes(rest: str) -> dict[str, str]:
+    """A tag's attributes by lower-cased name; of repeated ones the first counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(rest):
+        out.setdefault(name.lower(), values[0] or values[1] or values[2])
+    return out
+
+
+def noisy(names: str) -> bool:
+    """A class or id names noise: as a whole, or by its first or last part, unless a part makes it a layout modifier."""
+    for token in names.lower().split():
+        parts = [p for p in re.split(r"[-_]+", token) if p]
+        if token in _NOISE_TOKENS:
+            return True
+        if not parts or not _MODIFIERS.isdisjoint(parts):
+            continue
+        while len(parts) > 1 and (parts[-1] in _WRAPPERS or parts[-1].isdigit()):
+            parts.pop()
+        if parts[0] in _NOISE or parts[-1] in _NOISE:
+            return True
+    return False
+
+
+def parse(html: str, by_name: bool = True) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+    """Containers in page order, and blocks: (container, text, characters in links).  by_name: classes and ids tell noise."""
     body = Node("body", "body", None, False)
     nodes, blocks, stack, buffer = [body], [], [body], []
     links = anchors = 0
@@ -115,12 +142,12 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
                     break
         if tag not in _CONTAINERS and tag not in _SKIP and tag not in ("p", "ul", "ol", "li", "table", "tr", "dl"):
             continue
-        marks = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(rest)} if rest.strip() else {}
+        marks = attributes(rest) if rest.strip() else {}
         names = f"{marks.get('class', '')} {marks.get('id', '')}".strip()
         up = stack[-1]
         noise = up.noise or tag in _SKIP or "hidden" in marks or marks.get("role", "").lower() in _NOISE_ROLES
         noise = noise or re.search(r"display\s*:\s*none", marks.get("style", "")) is not None
-        if not noise and tag not in ("article", "main") and names and _NOISE.search(names):
+        if by_name and not noise and tag not in ("article", "main") and names and noisy(names):
             noise = True
         if not noise and tag == "header":
             noise = not any(s.tag in ("article", "main") for s in stack)
@@ -157,9 +184,19 @@ def best_path(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> tuple[s
     return best, score
 
 
+def read_page(html: str) -> tuple[list[Node], list[tuple[Node, str, int]], str]:
+    """parse(html) and the best path; where names of noise leave no text, without regard to them."""
+    for by_name in (True, False):
+        nodes, blocks = parse(html, by_name)
+        best, _ = best_path(nodes, blocks)
+        if best:
+            break
+    return nodes, blocks, best
+
+
 def text_of(html: str, path: str) -> str:
     """Text of the elements on the path, or of the page's own best container."""
-    nodes, blocks = parse(html)
+    nodes, blocks, best = read_page(html)
 
     def take(path: str) -> str:
         chosen = {id(n) for n in nodes if n.path == path and not n.noise}
@@ -172,7 +209,7 @@ def text_of(html: str, path: str) -> str:
                 out.append(text)
         return " ".join(out)
 
-    return (take(path) if path else "") or take(best_path(nodes, blocks)[0])
+    return (take(path) if path else "") or take(best)
 
 
 def _text(batch: pa.RecordBatch, name: str) -> list[str]:
@@ -181,8 +218,8 @@ def _text(batch: pa.RecordBatch, name: str) -> list[str]:
 
 def _vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [best_path(*parse(x)) for x in _text(batch, "html")]
-        yield pa.RecordBatch.from_arrays([pa.array(_text(batch, "host")), pa.array([p for p, _ in found])], names=["host", "path"])
+        found = [read_page(x)[2] for x in _text(batch, "html")]
+        yield pa.RecordBatch.from_arrays([pa.array(_text(batch, "host")), pa.array(found, pa.string())], names=["host", "path"])
 
 
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

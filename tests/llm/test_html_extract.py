@@ -58,3 +58,18 @@ def test_no_rows(spark):
 def test_very_long_page():
     body = "".join(f"<p>{L}</p>" for _ in range(20_000))
     assert alone(f"<nav>x</nav><article>{body}</article>") == " ".join([L] * 20_000)
+
+
+MODIFIED = {
+    "modifiers": f'<div class="content has-sidebar"><article><p>{L}</p></article></div><div class="sidebar-left"><p>{M} {M}</p></div>',
+    "no sidebar": f'<div id="no-sidebar"><article><p>{L}</p></article></div>',
+    "with comments": f'<div class="post-with-comments"><p>{L}</p><div class="comment-list"><p>{M}</p></div></div>',
+    "aria": f"<div aria-hidden='false'><p>{L}</p></div>",
+    "title": f"<div title='No hidden fees' data-id=nav><p>{L}</p></div><div hidden><p>{M} {M}</p></div>",
+    "only noise": f'<div class="widget"><article><p>{L}</p></article></div>',
+}
+
+
+@pytest.mark.parametrize("name", MODIFIED)
+def test_names_that_are_no_noise(name):
+    assert alone(MODIFIED[name]) == L
