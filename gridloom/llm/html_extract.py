@@ -2,7 +2,8 @@
 
 Pass 1 parses each page, scores its containers by the prose in them and names the best one's generalised
 tag-class path; Spark sums the votes per host and path.  Pass 2 parses again and takes the text of the
-elements on the host's winning path, or of the page's own best container where that path is missing.
+elements on the host's winning path and of the prose next to them, or of the page's own best container where
+that path is missing or holds a small part of the page's sentences only.
 """
 
 from __future__ import annotations
@@ -20,6 +21,13 @@ from .common import cut, read
 #: Up to so many hosts, the table of winning paths goes to all workers; a larger one is joined by shuffles.
 HOSTS = 50_000
 
+#: The winning path gives way to the page's own best container if it holds less than this of that one's sentences.
+STUB = 0.25
+#: Links' most share of a neighbour's text.
+LINKED = 0.3
+
+_SENTENCE = re.compile(r"""[.!?\u2026\u061f\u06d4\u0964]["'\u201d\u2019\u00bb)\]]*(?:\s|\Z)|[\u3002\uff01\uff1f]""")
+_HEADINGS = {"h1", "h2"}
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*"|'[^']*'|<)*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _OPEN_TAG = re.compile(r"<[a-zA-Z/!?].*\Z", re.S)
@@ -45,6 +53,10 @@ _NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search"
 _ENDS_P = _BLOCKS - {"br"}
 
 
+#: (container, text, characters in links, is a headline)
+Block = tuple["Node", str, int, bool]
+
+
 class Node:
     __slots__ = ("block_tag", "links", "noise", "parent", "path", "prose", "tag")
 
@@ -76,21 +88,23 @@ def noisy(names: str) -> bool:
     return False
 
 
-def parse(html: str, by_name: bool = True) -> tuple[list[Node], list[tuple[Node, str, int]]]:
-    """Containers in page order, and blocks: (container, text, characters in links).  by_name: classes and ids tell noise."""
+def parse(html: str, by_name: bool = True) -> tuple[list[Node], list[Block]]:
+    """Containers in page order, and blocks.  by_name: classes and ids tell noise."""
     body = Node("body", "body", None, False)
     nodes, blocks, stack, buffer = [body], [], [body], []
     links = anchors = 0
     place = 0
+    headline = False
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, headline
         if buffer:
             text = " ".join("".join(buffer).split())
             if text and not stack[-1].noise:
-                blocks.append((stack[-1], text, links))
+                blocks.append((stack[-1], text, links, headline))
             buffer.clear()
         links = 0
+        headline = False
 
     def say(text: str) -> None:
         nonlocal links
@@ -118,6 +132,7 @@ def parse(html: str, by_name: bool = True) -> tuple[list[Node], list[tuple[Node,
                 place = end.end()
             continue
         flush()
+        headline = not closing and tag in _HEADINGS
         if tag in _VOID or tag in ("html",):
             continue
         if closing:
@@ -169,9 +184,9 @@ def holder(node: Node) -> Node:
     return node
 
 
-def best_path(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> tuple[str, float]:
+def best_path(nodes: list[Node], blocks: list[Block]) -> tuple[str, float]:
     """Path and score of the container with most prose: its own blocks count in full, each level below a fifth less."""
-    for node, text, links in blocks:
+    for node, text, links, _ in blocks:
         at, weight = holder(node), 1.0
         while at is not None:
             at.prose += weight * max(0, len(text) - 2 * links)
@@ -184,7 +199,7 @@ def best_path(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> tuple[s
     return best, score
 
 
-def read_page(html: str) -> tuple[list[Node], list[tuple[Node, str, int]], str]:
+def read_page(html: str) -> tuple[list[Node], list[Block], str]:
     """parse(html) and the best path; where names of noise leave no text, without regard to them."""
     for by_name in (True, False):
         nodes, blocks = parse(html, by_name)
@@ -194,22 +209,51 @@ def read_page(html: str) -> tuple[list[Node], list[tuple[Node, str, int]], str]:
     return nodes, blocks, best
 
 
+def _under(node: Node, chosen: set[int]) -> Node | None:
+    """The nearest of `chosen` that holds node."""
+    at = node
+    while at is not None and id(at) not in chosen:
+        at = at.parent
+    return at
+
+
+def neighbours(nodes: list[Node], blocks: list[Block], chosen: set[int]) -> set[int]:
+    """Containers beside the chosen ones that hold sentences, or the headline where the chosen have none, and few links.
+
+    Beside an article or main element nothing is taken: the page says itself where its text ends.
+    """
+    parents = {id(n.parent) for n in nodes if id(n) in chosen and n.parent is not None and n.tag not in ("article", "main")}
+    beside = {id(n): [0, 0, 0, 0] for n in nodes if id(n.parent) in parents and id(n) not in chosen and not n.noise}
+    if not beside:
+        return set()
+    headed = False
+    for node, text, links, headline in blocks:
+        if _under(node, chosen) is not None:
+            headed |= headline
+        elif (at := _under(node, set(beside))) is not None:
+            sums = beside[id(at)]
+            for k, x in enumerate((len(text), links, _SENTENCE.search(text) is not None, headline)):
+                sums[k] += x
+    return {i for i, (size, links, sentences, headlines) in beside.items() if links < LINKED * size and (sentences or headlines and not headed)}
+
+
 def text_of(html: str, path: str) -> str:
-    """Text of the elements on the path, or of the page's own best container."""
+    """Text of the elements on the path and of their neighbours, or so of the page's own best container."""
     nodes, blocks, best = read_page(html)
 
-    def take(path: str) -> str:
-        chosen = {id(n) for n in nodes if n.path == path and not n.noise}
-        out = []
-        for node, text, _ in blocks:
-            at = node
-            while at is not None and id(at) not in chosen:
-                at = at.parent
-            if at is not None:
-                out.append(text)
-        return " ".join(out)
-
-    return (take(path) if path else "") or take(best)
+    def on(path: str) -> set[int]:
+        return {id(n) for n in nodes if path and n.path == path and not n.noise}
+
+    def said(chosen: set[int]) -> int:
+        return sum(max(0, len(text) - 2 * links) for node, text, links, _ in blocks if _SENTENCE.search(text) and _under(node, chosen) is not None)
+
+    def take(chosen: set[int]) -> str:
+        return " ".join(text for node, text, _, _ in blocks if _under(node, chosen) is not None)
+
+    chosen = on(path)
+    if not take(chosen) or path != best and said(chosen) < STUB * said(on(best)):
+        chosen = on(best)
+    return take(chosen | neighbours(nodes, blocks, chosen))
 
 
 def _text(batch: pa.RecordBatch, name: str) -> list[str]:

@@ -73,3 +73,25 @@ MODIFIED = {
 @pytest.mark.parametrize("name", MODIFIED)
 def test_names_that_are_no_noise(name):
     assert alone(MODIFIED[name]) == L
+
+
+SPLIT = {
+    "headline and lead": (f'<body><div class="top"><h1>The title</h1><p>A lead.</p></div><div class="story"><p>{M} {M}</p></div><div class="more"><a href=a>Read this.</a></div></body>', f"The title A lead. {M} {M}"),
+    "headline alone": (f'<body><div class="top"><h1>The title</h1></div><div class="story"><p>{M}</p></div></body>', f"The title {M}"),
+    "second section": (f'<div class="page"><div class="first"><p>{M} {M} {M}</p></div><div class="second"><p>{L}</p></div></div>', f"{M} {M} {M} {L}"),
+    "noise beside": (f'<body><div class="story"><p>{M}</p></div><div class="comments"><p>{L}</p></div></body>', M),
+    "beside an article": (f'<body><article><p>{M}</p></article><div class="box"><p>{L}</p></div></body>', M),
+}
+
+
+@pytest.mark.parametrize("name", SPLIT)
+def test_prose_beside_the_best_container(name):
+    html, want = SPLIT[name]
+    assert alone(html) == want
+
+
+def test_a_stub_on_the_winning_path_gives_way():
+    stub = f'<body><div class="post"><p>Read on.</p></div><section><div class="story"><p>{M} {M}</p></div></section></body>'
+    assert html_extract.text_of(stub, "body/div.post") == f"{M} {M}"
+    whole = f'<body><div class="post"><p>{M}</p></div><section><ul><li><a href=x>{L}</a></ul></section></body>'
+    assert html_extract.text_of(whole, "body/div.post") == M
