@@ -5,8 +5,11 @@ go to every worker; all other words, the tail, are counted and looked up by shuf
 map-side sums, so that neither the vocabulary nor a frequent word lands in one task.
 Pass 2 counts neighbouring symbols: a symbol is one of the OWN most frequent words, or the group of words with
 the same last three bytes.  Exchange clustering moves symbols between classes while the class bigrams' mutual
-information rises.  Pass 3 scores: P(word | previous) = P(class | previous class) P(symbol | class)
-P(word | symbol), the transition smoothed towards the class's frequency, and the word's share of its group as
+information rises.  These classes are the start for all words met PLACED times or more, a vocabulary that grows
+with the input: in each of the sweeps that follow, Spark sums each such word's neighbours by class, and the word
+goes to the class that makes them likeliest.  Rarer words stay in the class of their group.  A last pass counts the class bigrams.
+Then scoring: P(word | previous) = P(class | previous class) P(symbol | class) P(word | symbol), the transition
+smoothed towards the class's frequency; a placed word is a symbol of its own, else its share of its group is
 (c + 0.1) / (group tokens + 0.1 (group types + 1)).
 """
 
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,12 @@ from pyspark.sql import functions as F
 from .common import cut, raw, read
 
 HEAD, OWN, GROUPS, CLASSES, SWEEPS, ALPHA, BACKOFF = 50_000, 600, 300, 64, 8, 0.1, 5.0
+#: Words met so often have a class of their own; nine bytes of each go to every worker, so beyond MOST_PLACED the bound rises.
+PLACED, MOST_PLACED = 10, 1 << 24
+#: Sweeps over placed words end when fewer than this share of them move, or after WORD_SWEEPS.
+SETTLED, WORD_SWEEPS = 0.01, 3
+#: Words whose neighbours are summed as one array.
+BUCKET = 4096
 #: The end token; no word holds a space.
 END = b" "
 HELD_OUT = "crc32(cast(doc_id as string)) % 10 = 0"
@@ -63,6 +73,146 @@ class Symbols:
         return np.fromiter([s if (s := own.get(w)) is not None else groups.get(w[-3:], 1) for w in words], np.int64, len(words))
 
 
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in words), np.int64)
+
+
+def _hash(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = raw(batch, "word")
+        suffixes = pa.array([w[-3:] for w in words], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(hashes(words), pa.int64()), batch.column(batch.schema.get_field_index("c")), suffixes], names=["h", "c", "s"])
+
+
+class Placed:
+    """Word -> number: its symbol, or for a placed word symbols.n + its place among the sorted hashes."""
+
+    MEMO = 300_000
+
+    def __init__(self, symbols: Symbols, sorted_hashes: np.ndarray):
+        self.symbols, self.hashes, self.memo = symbols, sorted_hashes, {}
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self.memo) > self.MEMO:
+            self.memo = {}
+        memo = self.memo
+        new = list({w for w in words if w not in memo})
+        if new:
+            number = self.symbols.of(new)
+            if len(self.hashes):
+                h = hashes(new)
+                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                own = np.fromiter([w in self.symbols.own for w in new], bool, len(new))
+                number = np.where((self.hashes[at] == h) & ~own, self.symbols.n + at, number)
+            memo.update(zip(new, number.tolist(), strict=True))
+        return np.fromiter([memo[w] for w in words], np.int64, len(words))
+
+
+def _runs(batches: Iterable[pa.RecordBatch], table) -> Iterator[np.ndarray]:
+    """Numbers of the tokens of many texts in one run, each text between end tokens."""
+    for batch in batches:
+        words = [END]
+        for text in raw(batch, "text"):
+            words += tokens(text)
+            if len(words) > 1_000_000:
+                yield table.of(words)
+                words = [END]
+        yield table.of(words)
+
+
+def neighbour_classes(runs: Iterable[np.ndarray], first: int, label: np.ndarray, classes: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, keys, times) of numbers from `first` on: a key is place in the bucket x 2 classes + class before, or classes + class after."""
+    wide = 2 * classes
+
+    def out(keys, times):
+        bucket = keys // (BUCKET * wide)
+        start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        stop = np.append(start[1:], len(keys))
+        where = (keys % (BUCKET * wide)).astype(np.int32)
+        columns = [pa.array(bucket[start]), pa.array([where[a:b].tobytes() for a, b in zip(start, stop, strict=True)], pa.binary()), pa.array([times[a:b].astype(np.int32).tobytes() for a, b in zip(start, stop, strict=True)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "times"])
+
+    keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for s in runs:
+        l = label[s].astype(np.int64)  # noqa: E741
+        after, before = np.flatnonzero(s[1:] >= first) + 1, np.flatnonzero(s[:-1] >= first)
+        met = np.concatenate([(s[after] - first) * wide + l[after - 1], (s[before] - first) * wide + classes + l[before + 1]])
+        met, n = np.unique(met, return_counts=True)
+        both, at = np.unique(np.concatenate([keys, met]), return_inverse=True)
+        times = np.bincount(at, weights=np.concatenate([times, n]), minlength=len(both)).astype(np.int64)
+        keys = both
+        if len(keys) > 4_000_000:
+            yield out(keys, times)
+            keys, times = keys[:0], times[:0]
+    if len(keys):
+        yield out(keys, times)
+
+
+def likeliest(context: np.ndarray, old: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """For rows of counts by class before and class after, the class that makes them likeliest; class 0 is the end token's."""
+    smooth = between + BACKOFF / len(between)
+    before, after = np.hsplit(context.astype(float), 2)
+    gain = before @ np.log(smooth) + after @ np.log(smooth).T
+    gain -= before.sum(axis=1)[:, None] * np.log(smooth.sum(axis=0)) + after.sum(axis=1)[:, None] * np.log(smooth.sum(axis=1))
+    gain[:, 0] = -np.inf
+    new = gain.argmax(axis=1)
+    rows = np.arange(len(old))
+    return np.where(gain[rows, new] > gain[rows, old] + 1e-9, new, old)
+
+
+def sweep(training: DataFrame, shared, label: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, int]:
+    """Labels after each placed word went to its likeliest class, and how many did move."""
+    sc = training.sparkSession.sparkContext
+    first, classes = shared.value.symbols.n, len(between)
+    state = sc.broadcast((label, between))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from neighbour_classes(_runs(batches, shared.value), first, state.value[0], classes)
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, between = state.value
+
+        def out(bucket, held):
+            old = label[first + bucket * BUCKET : first + (bucket + 1) * BUCKET]
+            new = likeliest(held.reshape(BUCKET, -1)[: len(old)], old, between).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([new.tobytes()], pa.binary())], names=["bucket", "labels"])
+
+        last, held = None, None
+        for batch in batches:
+            for bucket, keys, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != last:
+                    if last is not None:
+                        yield out(last, held)
+                    last, held = bucket, np.zeros(BUCKET * 2 * classes, np.int64)
+                held[np.frombuffer(keys, np.int32)] += np.frombuffer(times, np.int32)
+        if last is not None:
+            yield out(last, held)
+
+    parts = training.mapInArrow(count, "bucket long, keys binary, times binary").repartition("bucket").sortWithinPartitions("bucket")
+    new = label.copy()
+    for bucket, labels in parts.mapInArrow(place, "bucket long, labels binary").collect():
+        got = np.frombuffer(bytes(labels), np.uint8)
+        new[first + bucket * BUCKET : first + bucket * BUCKET + len(got)] = got
+    return new, int((new != label).sum())
+
+
+def class_bigrams(training: DataFrame, shared, label: np.ndarray, classes: int) -> np.ndarray:
+    state = training.sparkSession.sparkContext.broadcast(label)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(classes * classes, np.int64)
+        for s in _runs(batches, shared.value):
+            l = state.value[s].astype(np.int64)  # noqa: E741
+            seen += np.bincount(l[:-1] * classes + l[1:], minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["pair", "c"])
+
+    met = training.mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    between = np.zeros(classes * classes)
+    between[met["pair"].to_numpy()] = met["c"].to_numpy()
+    return between.reshape(classes, classes)
+
+
 def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """Exchange clustering of symbols by their dense matrix of neighbour counts; symbol 0 keeps class 0.
 
@@ -143,12 +293,16 @@ def scored(docs: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
     own = [w for w in least if w != END][:OWN]
     suffix = F.substring("word", -3, 3)
     groups = _without(counts, own)
-    by_suffix = groups.groupBy(suffix.alias("s")).agg(F.sum("c").alias("c"), F.count("*").alias("v"))
+    least_placed = max(PLACED, _head_bound(counts, MOST_PLACED))
+    few = F.col("c") < least_placed
+    by_suffix = groups.groupBy(suffix.alias("s")).agg(
+        F.sum("c").alias("c"), F.coalesce(F.sum(F.when(few, F.col("c"))), F.lit(0)).alias("m"), F.count_if(few).alias("v")
+    )
     kept = by_suffix.orderBy(F.desc("c"), "s").limit(GROUPS).toPandas()
-    rest = by_suffix.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    rest = by_suffix.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     symbols = Symbols(own, [bytes(s) for s in kept["s"]])
     mass, kinds = np.zeros(symbols.n), np.zeros(symbols.n)
-    for s, c, v in zip(map(bytes, kept["s"]), kept["c"], kept["v"], strict=True):
+    for s, c, v in zip(map(bytes, kept["s"]), kept["m"], kept["v"], strict=True):
         mass[symbols.groups[s]], kinds[symbols.groups[s]] = c, v
     mass[1], kinds[1] = rest[0] - mass.sum(), rest[1] - kinds.sum()
     for w, i in symbols.own.items():
@@ -158,15 +312,7 @@ def scored(docs: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
     def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared_symbols.value
         seen = np.zeros(table.n * table.n, np.int64)
-        for batch in batches:
-            words = [END]
-            for text in raw(batch, "text"):
-                words += tokens(text)
-                if len(words) > 1_000_000:
-                    s = table.of(words)
-                    seen += np.bincount(s[:-1] * table.n + s[1:], minlength=len(seen))
-                    words = [END]
-            s = table.of(words)
+        for s in _runs(batches, table):
             seen += np.bincount(s[:-1] * table.n + s[1:], minlength=len(seen))
         at = np.flatnonzero(seen)
         for i in range(0, len(at), 100_000):
@@ -180,6 +326,23 @@ def scored(docs: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
     label = exchange(pairs)
     member = np.eye(CLASSES)[label]
     between = member.T @ (pairs @ member)
+    placed = groups.where(~few).mapInArrow(_hash, "h long, c long, s binary").toArrow().sort_by("h")
+    known_suffixes = [symbols.groups.get(x, 1) for x in placed["s"].to_pylist()]
+    label = np.concatenate([label, label[np.array(known_suffixes, np.int64)]]).astype(np.uint8)
+    mass, kinds = np.concatenate([mass, placed["c"].to_numpy()]), np.concatenate([kinds, np.full(len(placed), -1.0)])
+    shared_words = spark.sparkContext.broadcast(Placed(symbols, placed["h"].to_numpy()))
+    del placed, known_suffixes
+    if len(label) > symbols.n:
+        for _ in range(WORD_SWEEPS):
+            label, moved = sweep(training, shared_words, label, between)
+            if moved < SETTLED * (len(label) - symbols.n):
+                break
+            between = class_bigrams(training, shared_words, label, CLASSES)
+        else:
+            moved = 0
+        if moved:
+            between = class_bigrams(training, shared_words, label, CLASSES)
+    label = label.astype(np.int64)
     share = np.bincount(label, weights=mass, minlength=CLASSES) + 1.0 / CLASSES
     share = share / share.sum()
     transition = np.log10((between + BACKOFF * share[None, :]) / (between.sum(axis=1, keepdims=True) + BACKOFF))
@@ -191,7 +354,7 @@ def scored(docs: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per text what the head and the symbols tell; the words of the tail with their frequencies."""
-        table, (head, label, transition, emission, group) = shared_symbols.value, model.value
+        table, (head, label, transition, emission, group) = shared_words.value, model.value
         logs = {w: float(np.log10(c + ALPHA)) for w, c in head.items()}
         for batch in batches:
             n, known, base, full, tail = [], [], [], [], []
@@ -202,9 +365,7 @@ def scored(docs: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
                 found = [logs.get(w) for w in words]
                 here = np.array([0.0 if x is None else x for x in found])
                 missing = Counter([w for w, x in zip(words, found, strict=True) if x is None])
-                grouped = s >= 1
-                single = (s == 0) | ((s >= 2) & (s < len(table.own) + 1))
-                grouped &= ~single
+                grouped = (s == 1) | ((s > len(table.symbols.own)) & (s < table.symbols.n))
                 p = transition[np.concatenate([[label[0]], k[:-1]]), k].sum() + emission[s].sum() + here[grouped].sum() - group[s[grouped]].sum()
                 n.append(len(words))
                 known.append(len(words) - sum(missing.values()))
@@ -227,21 +388,21 @@ def scored(docs: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
     looked = tail.join(rare, "word", "left")
     known = F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)
     logs = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ALPHA))
-    sums = looked.groupBy("doc_id", "part").agg(F.sum(known).alias("known2"), F.sum(logs).alias("logs"))
-    sums = sums.select(F.col("doc_id").alias("id2"), F.col("part").alias("part2"), "known2", "logs")
+    sums = looked.groupBy("doc_id", "part").agg(F.sum(known).alias("known2"), F.sum(logs).alias("logs"), F.sum(F.when(F.coalesce("c", F.lit(0)) < least_placed, logs)).alias("shares"))
+    sums = sums.select(F.col("doc_id").alias("id2"), F.col("part").alias("part2"), "known2", "logs", "shares")
     copies = parts.groupBy("doc_id", "part").agg(F.count("*").alias("copies")).select(F.col("doc_id").alias("id1"), F.col("part").alias("part1"), "copies")
     joined = (
         parts.drop("words", "times")
         .join(copies, F.col("doc_id").eqNullSafe(F.col("id1")) & (F.col("part") == F.col("part1")))
         .join(sums, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("part") == F.col("part2")), "left")
     )
-    more = F.coalesce(F.col("logs") / F.col("copies"), F.lit(0.0))
+    more, shares = (F.coalesce(F.col(x) / F.col("copies"), F.lit(0.0)) for x in ("logs", "shares"))
     return joined.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce((F.col("known2") / F.col("copies")).cast("long"), F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + more - F.col("n_tokens") * F.lit(base_log)).alias("base_score"),
-        (F.col("full") + more).alias("score"),
+        (F.col("full") + shares).alias("score"),
     )
 
 

@@ -93,3 +93,33 @@ def test_exchange_finds_the_classes():
 
 def test_no_rows(spark):
     assert language_model.scored(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_words_beyond_the_fixed_symbols_find_their_classes(spark, monkeypatch):
+    """Nouns and verbs that share their last bytes: only words with classes of their own can tell them apart."""
+    rng = random.Random(5)
+    nouns, verbs = [f"n{i}same" for i in range(30)], [f"v{i}same" for i in range(30)]
+    rows = [(i, " ".join(w for _ in range(12) for w in (rng.choice(("the", "a")), rng.choice(nouns), rng.choice(verbs)))) for i in range(300)]
+    for name, value in (("HEAD", 20), ("OWN", 22), ("GROUPS", 3)):
+        monkeypatch.setattr(language_model, name, value)
+    got = language_model.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check(got, rows)
+    # where classes are known, words cost log10 2, log10 30 and log10 30: 1.06 a token
+    assert -sum(r.score for r in got) / sum(r.n_tokens for r in got) < 1.15
+
+
+def test_neighbours_by_class_are_counted(monkeypatch):
+    monkeypatch.setattr(language_model, "BUCKET", 2)
+    s, label = np.array([0, 3, 5, 3, 1, 4, 0]), np.array([0, 1, 1, 2, 3, 1], np.uint8)
+    want = Counter()
+    for a, b in zip(s[:-1], s[1:], strict=True):
+        if b >= 3:
+            want[int(b) - 3, int(label[a])] += 1
+        if a >= 3:
+            want[int(a) - 3, 4 + int(label[b])] += 1
+    got = Counter()
+    for batch in language_model.neighbour_classes([s, s], 3, label, 4):
+        for bucket, keys, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, n in zip(np.frombuffer(keys, np.int32), np.frombuffer(times, np.int32), strict=True):
+                got[bucket * 2 + int(k) // 8, int(k) % 8] += int(n)
+    assert got == Counter({k: 2 * n for k, n in want.items()})
