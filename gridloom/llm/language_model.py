@@ -87,7 +87,7 @@ def _hash(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Placed:
     """Word -> number: its symbol, or for a placed word symbols.n + its place among the sorted hashes."""
 
-    MEMO = 300_000
+    MEMO = 200_000
 
     def __init__(self, symbols: Symbols, sorted_hashes: np.ndarray):
         self.symbols, self.hashes, self.memo = symbols, sorted_hashes, {}
@@ -114,7 +114,7 @@ def _runs(batches: Iterable[pa.RecordBatch], table) -> Iterator[np.ndarray]:
         words = [END]
         for text in raw(batch, "text"):
             words += tokens(text)
-            if len(words) > 1_000_000:
+            if len(words) > 200_000:
                 yield table.of(words)
                 words = [END]
         yield table.of(words)
@@ -132,20 +132,17 @@ def neighbour_classes(runs: Iterable[np.ndarray], first: int, label: np.ndarray,
         columns = [pa.array(bucket[start]), pa.array([where[a:b].tobytes() for a, b in zip(start, stop, strict=True)], pa.binary()), pa.array([times[a:b].astype(np.int32).tobytes() for a, b in zip(start, stop, strict=True)], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "times"])
 
-    keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held, size = [], 0
     for s in runs:
         l = label[s].astype(np.int64)  # noqa: E741
         after, before = np.flatnonzero(s[1:] >= first) + 1, np.flatnonzero(s[:-1] >= first)
-        met = np.concatenate([(s[after] - first) * wide + l[after - 1], (s[before] - first) * wide + classes + l[before + 1]])
-        met, n = np.unique(met, return_counts=True)
-        both, at = np.unique(np.concatenate([keys, met]), return_inverse=True)
-        times = np.bincount(at, weights=np.concatenate([times, n]), minlength=len(both)).astype(np.int64)
-        keys = both
-        if len(keys) > 4_000_000:
-            yield out(keys, times)
-            keys, times = keys[:0], times[:0]
-    if len(keys):
-        yield out(keys, times)
+        held += [(s[after] - first) * wide + l[after - 1], (s[before] - first) * wide + classes + l[before + 1]]
+        size += len(after) + len(before)
+        if size > 2_000_000:
+            yield out(*np.unique(np.concatenate(held), return_counts=True))
+            held, size = [], 0
+    if size:
+        yield out(*np.unique(np.concatenate(held), return_counts=True))
 
 
 def likeliest(context: np.ndarray, old: np.ndarray, between: np.ndarray) -> np.ndarray:
