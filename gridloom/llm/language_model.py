@@ -1,16 +1,18 @@
 """LM scoring with Brown class-based n-grams.
 
-Pass 1 counts all training tokens.  The HEAD most frequent words (a fixed number, so a table of bounded size)
-go to every worker; all other words, the tail, are counted and looked up by shuffles keyed on the word, after
-map-side sums, so that neither the vocabulary nor a frequent word lands in one task.
-Pass 2 counts neighbouring symbols: a symbol is one of the OWN most frequent words, or the group of words with
-the same last three bytes.  Exchange clustering moves symbols between classes while the class bigrams' mutual
-information rises.  These classes are the start for all words met PLACED times or more, a vocabulary that grows
-with the input: in each of the sweeps that follow, Spark sums each such word's neighbours by class, and the word
-goes to the class that makes them likeliest.  Rarer words stay in the class of their group.  A last pass counts the class bigrams.
-Then scoring: P(word | previous) = P(class | previous class) P(symbol | class) P(word | symbol), the transition
+Pass 1 counts all training tokens.  All words met PLACED times or more, a vocabulary that grows with the input,
+are placed: each has a class of its own.  Rarer and unseen words form groups by their last three bytes.  Pass 2
+turns every text into numbers, of a placed word or of a group, once; all later passes read those numbers.
+
+Exchange clustering first runs on the dense counts of the OWN most frequent words and the groups, which gives
+the classes that all placed words start from.  Then come sweeps over the whole vocabulary, as in distributed
+exchange clustering: Spark sums each word's and group's neighbours by class, and each goes to the class that
+raises the class bigrams' mutual information most; all move at once, and the mutual information is measured
+after each sweep.  Sweeps end when it rises by less than SETTLED, or after WORD_SWEEPS; a sweep that lowers it is undone.
+
+Scoring: P(word | previous) = P(class | previous class) P(symbol | class) P(word | symbol), the transition
 smoothed towards the class's frequency; a placed word is a symbol of its own, else its share of its group is
-(c + 0.1) / (group tokens + 0.1 (group types + 1)).
+(c + 0.1) / (group tokens + 0.1 (group types + 1)).  Rare words and their counts meet by a shuffle on the word.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +29,13 @@ from pyspark.sql import functions as F
 
 from .common import cut, raw, read
 
-HEAD, OWN, GROUPS, CLASSES, SWEEPS, ALPHA, BACKOFF = 50_000, 600, 300, 64, 8, 0.1, 5.0
-#: Words met so often have a class of their own; nine bytes of each go to every worker, so beyond MOST_PLACED the bound rises.
+OWN, GROUPS, CLASSES, SWEEPS, ALPHA, BACKOFF = 600, 300, 64, 8, 0.1, 5.0
+#: Words met so often have a class of their own; 17 bytes of each go to every worker, so beyond MOST_PLACED the bound rises.
 PLACED, MOST_PLACED = 10, 1 << 24
-#: Sweeps over placed words end when fewer than this share of them move, or after WORD_SWEEPS.
-SETTLED, WORD_SWEEPS = 0.01, 3
-#: Words whose neighbours are summed as one array.
-BUCKET = 4096
+#: Sweeps end when a token's mean log10 probability rises by less than SETTLED, or after WORD_SWEEPS.
+SETTLED, WORD_SWEEPS = 0.002, 6
+#: Texts that are turned into numbers at once, tokens whose neighbours are counted at once.
+TEXTS, RUN = 500, 2_000_000
 #: The end token; no word holds a space.
 END = b" "
 HELD_OUT = "crc32(cast(doc_id as string)) % 10 = 0"
@@ -46,9 +49,10 @@ def tokens(text: bytes) -> list[bytes]:
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: Counter = Counter()
-        for text in raw(batch, "text"):
-            seen.update(tokens(text))
-            if len(seen) > 500_000:
+        for at in range(0, batch.num_rows, TEXTS):
+            for text in raw(batch.slice(at, TEXTS), "text"):
+                seen.update(tokens(text))
+            if len(seen) > 300_000:
                 yield _counted(seen)
                 seen = Counter()
         if seen:
@@ -59,22 +63,8 @@ def _counted(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
 
 
-class Symbols:
-    """Word -> symbol, by the word itself or by its last three bytes; symbol 0 is the end token, 1 all other groups."""
-
-    def __init__(self, own: list[bytes], suffixes: list[bytes]):
-        self.own = {w: i + 2 for i, w in enumerate(w for w in own if w != END)}
-        self.own[END] = 0
-        self.groups = {s: i + len(self.own) + 1 for i, s in enumerate(suffixes)}
-        self.n = len(self.own) + 1 + len(self.groups)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        own, groups = self.own, self.groups
-        return np.fromiter([s if (s := own.get(w)) is not None else groups.get(w[-3:], 1) for w in words], np.int64, len(words))
-
-
 def hashes(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in words), np.int64)
+    return np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in words]), np.int64)
 
 
 def _hash(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,65 +74,73 @@ def _hash(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hashes(words), pa.int64()), batch.column(batch.schema.get_field_index("c")), suffixes], names=["h", "c", "s"])
 
 
-class Placed:
-    """Word -> number: its symbol, or for a placed word symbols.n + its place among the sorted hashes."""
+class Numbers:
+    """Word -> number: 0 is the end token, 1 all small groups, then the groups by suffix, then placed words in the order of their hashes.
+
+    Words are told apart by 64-bit hashes; among 16 million placed words and 10 billion others about 0.01 are confused.
+    """
 
     MEMO = 200_000
 
-    def __init__(self, symbols: Symbols, sorted_hashes: np.ndarray):
-        self.symbols, self.hashes, self.memo = symbols, sorted_hashes, {}
+    def __init__(self, suffixes: list[bytes], sorted_hashes: np.ndarray):
+        self.groups = {s: i + 2 for i, s in enumerate(suffixes)}
+        self.first, self.hashes, self.memo = len(suffixes) + 2, sorted_hashes, {END: 0}
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.memo) > self.MEMO:
-            self.memo = {}
         memo = self.memo
-        new = list({w for w in words if w not in memo})
+        found = [memo.get(w) for w in words]
+        new = list({w for w, x in zip(words, found, strict=True) if x is None})
         if new:
-            number = self.symbols.of(new)
+            number = np.fromiter([self.groups.get(w[-3:], 1) for w in new], np.int64, len(new))
             if len(self.hashes):
                 h = hashes(new)
                 at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                own = np.fromiter([w in self.symbols.own for w in new], bool, len(new))
-                number = np.where((self.hashes[at] == h) & ~own, self.symbols.n + at, number)
+                number = np.where(self.hashes[at] == h, self.first + at, number)
             memo.update(zip(new, number.tolist(), strict=True))
-        return np.fromiter([memo[w] for w in words], np.int64, len(words))
+            found = [memo[w] for w in words]
+            if len(memo) > self.MEMO:
+                self.memo = {END: 0}
+        return np.array(found, np.int32)
 
 
-def _runs(batches: Iterable[pa.RecordBatch], table) -> Iterator[np.ndarray]:
-    """Numbers of the tokens of many texts in one run, each text between end tokens."""
+def _runs(batches: Iterable[pa.RecordBatch], size: int = RUN) -> Iterator[np.ndarray]:
+    """The numbers of many texts in one run, an end token before the first and after each."""
+    held, n = [np.zeros(1, np.int32)], 1
     for batch in batches:
-        words = [END]
-        for text in raw(batch, "text"):
-            words += tokens(text)
-            if len(words) > 200_000:
-                yield table.of(words)
-                words = [END]
-        yield table.of(words)
+        for x in batch.column(0):
+            held.append(np.frombuffer(x.as_buffer(), np.int32))
+            n += len(held[-1])
+            if n > size:
+                yield np.concatenate(held)
+                held, n = [np.zeros(1, np.int32)], 1
+    if n > 1:
+        yield np.concatenate(held)
 
 
-def neighbour_classes(runs: Iterable[np.ndarray], first: int, label: np.ndarray, classes: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, keys, times) of numbers from `first` on: a key is place in the bucket x 2 classes + class before, or classes + class after."""
-    wide = 2 * classes
+def neighbour_classes(runs: Iterable[np.ndarray], label: np.ndarray, classes: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, keys, times): how often each class stands before and after each number.
 
-    def out(keys, times):
-        bucket = keys // (BUCKET * wide)
+    A bucket is 65,536 / (2 classes) numbers; a key is place in it x 2 classes + class before, or classes + class
+    after.  Times over 255 are cut into several entries.
+    """
+    wide = 2 * classes
+    dtype = np.uint32 if len(label) * wide < 1 << 32 else np.uint64
+    for s in runs:
+        l = label[s].astype(dtype)  # noqa: E741
+        n = s.astype(dtype) * dtype(wide)
+        keys, times = np.unique(np.concatenate([n[1:] + l[:-1], n[:-1] + l[1:] + dtype(classes)]), return_counts=True)
+        big = -(-times // 255)
+        if big.max() > 1:
+            last = np.cumsum(big) - 1
+            left = times - 255 * (big - 1)
+            keys, times = np.repeat(keys, big), np.full(int(big.sum()), 255, np.int64)
+            times[last] = left
+        bucket = (keys >> dtype(16)).astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         stop = np.append(start[1:], len(keys))
-        where = (keys % (BUCKET * wide)).astype(np.int32)
-        columns = [pa.array(bucket[start]), pa.array([where[a:b].tobytes() for a, b in zip(start, stop, strict=True)], pa.binary()), pa.array([times[a:b].astype(np.int32).tobytes() for a, b in zip(start, stop, strict=True)], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "times"])
-
-    held, size = [], 0
-    for s in runs:
-        l = label[s].astype(np.int64)  # noqa: E741
-        after, before = np.flatnonzero(s[1:] >= first) + 1, np.flatnonzero(s[:-1] >= first)
-        held += [(s[after] - first) * wide + l[after - 1], (s[before] - first) * wide + classes + l[before + 1]]
-        size += len(after) + len(before)
-        if size > 2_000_000:
-            yield out(*np.unique(np.concatenate(held), return_counts=True))
-            held, size = [], 0
-    if size:
-        yield out(*np.unique(np.concatenate(held), return_counts=True))
+        where, often = (keys & dtype(0xFFFF)).astype(np.uint16), times.astype(np.uint8)
+        columns = [pa.array(bucket[start])] + [pa.array([x[a:b].tobytes() for a, b in zip(start, stop, strict=True)], pa.binary()) for x in (where, often)]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "times"])
 
 
 def likeliest(context: np.ndarray, old: np.ndarray, between: np.ndarray) -> np.ndarray:
@@ -157,21 +155,21 @@ def likeliest(context: np.ndarray, old: np.ndarray, between: np.ndarray) -> np.n
     return np.where(gain[rows, new] > gain[rows, old] + 1e-9, new, old)
 
 
-def sweep(training: DataFrame, shared, label: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, int]:
-    """Labels after each placed word went to its likeliest class, and how many did move."""
-    sc = training.sparkSession.sparkContext
-    first, classes = shared.value.symbols.n, len(between)
-    state = sc.broadcast((label, between))
+def sweep(numbers: DataFrame, label: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """Labels after each number but the end token's went to its likeliest class."""
+    classes = len(between)
+    size = 65_536 // (2 * classes)
+    state = numbers.sparkSession.sparkContext.broadcast((label, between))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from neighbour_classes(_runs(batches, shared.value), first, state.value[0], classes)
+        yield from neighbour_classes(_runs(batches), state.value[0], classes)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label, between = state.value
 
         def out(bucket, held):
-            old = label[first + bucket * BUCKET : first + (bucket + 1) * BUCKET]
-            new = likeliest(held.reshape(BUCKET, -1)[: len(old)], old, between).astype(np.uint8)
+            old = label[bucket * size : (bucket + 1) * size]
+            new = likeliest(held.reshape(size, -1)[: len(old)], old, between).astype(np.uint8)
             return pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([new.tobytes()], pa.binary())], names=["bucket", "labels"])
 
         last, held = None, None
@@ -180,34 +178,45 @@ def sweep(training: DataFrame, shared, label: np.ndarray, between: np.ndarray) -
                 if bucket != last:
                     if last is not None:
                         yield out(last, held)
-                    last, held = bucket, np.zeros(BUCKET * 2 * classes, np.int64)
-                held[np.frombuffer(keys, np.int32)] += np.frombuffer(times, np.int32)
+                    last, held = bucket, np.zeros(65_536, np.int64)
+                np.add.at(held, np.frombuffer(keys, np.uint16), np.frombuffer(times, np.uint8))
         if last is not None:
             yield out(last, held)
 
-    parts = training.mapInArrow(count, "bucket long, keys binary, times binary").repartition("bucket").sortWithinPartitions("bucket")
+    parts = numbers.mapInArrow(count, "bucket long, keys binary, times binary").repartition("bucket").sortWithinPartitions("bucket")
     new = label.copy()
     for bucket, labels in parts.mapInArrow(place, "bucket long, labels binary").collect():
         got = np.frombuffer(bytes(labels), np.uint8)
-        new[first + bucket * BUCKET : first + bucket * BUCKET + len(got)] = got
-    return new, int((new != label).sum())
+        new[bucket * size : bucket * size + len(got)] = got
+    new[0] = 0
+    state.unpersist()
+    return new
 
 
-def class_bigrams(training: DataFrame, shared, label: np.ndarray, classes: int) -> np.ndarray:
-    state = training.sparkSession.sparkContext.broadcast(label)
+def bigrams(numbers: DataFrame, label: np.ndarray, n: int) -> np.ndarray:
+    """Neighbour counts (n, n) of the labels of numbers; n is of a fixed size."""
+    state = numbers.sparkSession.sparkContext.broadcast(label)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(classes * classes, np.int64)
-        for s in _runs(batches, shared.value):
+        seen = np.zeros(n * n, np.int64)
+        for s in _runs(batches):
             l = state.value[s].astype(np.int64)  # noqa: E741
-            seen += np.bincount(l[:-1] * classes + l[1:], minlength=len(seen))
+            seen += np.bincount(l[:-1] * n + l[1:], minlength=len(seen))
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["pair", "c"])
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(seen[at[i : i + 100_000]])], names=["pair", "c"])
 
-    met = training.mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
-    between = np.zeros(classes * classes)
+    met = numbers.mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    between = np.zeros(n * n)
     between[met["pair"].to_numpy()] = met["c"].to_numpy()
-    return between.reshape(classes, classes)
+    state.unpersist()
+    return between.reshape(n, n)
+
+
+def information(between: np.ndarray) -> float:
+    """Mean log10 of P(class | class before) P(word | class), less what no choice of classes changes."""
+    xlogx = lambda x: float((x * np.log10(np.maximum(x, 1e-300))).sum())
+    return (xlogx(between) - xlogx(between.sum(axis=0)) - xlogx(between.sum(axis=1))) / max(1.0, float(between.sum()))
 
 
 def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
@@ -271,157 +280,162 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return label
 
 
-def scored(docs: DataFrame, held_out: str = HELD_OUT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs (doc_id, text).
+def clustered(numbers: DataFrame, label: np.ndarray, between: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Labels and class bigrams after the sweeps, and the information before the first and after each."""
+    gained = [information(between)]
+    for _ in range(WORD_SWEEPS if most is None else most):
+        new = sweep(numbers, label, between)
+        if np.array_equal(new, label):
+            break
+        met = bigrams(numbers, new, len(between))
+        gained.append(information(met))
+        if gained[-1] <= gained[-2]:
+            break
+        label, between = new, met
+        if gained[-1] < gained[-2] + SETTLED:
+            break
+    return label, between, gained
 
-    A null or empty text is its end token alone.  A row with a null id is in training.  Repeated rows are scored
-    alike and counted in training as often as they occur.  Words of nearly equal counts enter the head together or not.
-    An empty table gives no rows.
-    """
+
+class Fitted(NamedTuple):
+    """What was learned, the texts as numbers (parts) and the counts of training tokens."""
+
+    parts: DataFrame
+    counts: DataFrame
+    least: int
+    total: int
+    types: int
+    suffixes: list[bytes]
+    hashes: np.ndarray
+    label: np.ndarray
+    transition: np.ndarray
+    emission: np.ndarray
+    information: list[float]
+
+
+def fitted(docs: DataFrame, held_out: str = HELD_OUT, sweeps: int | None = None) -> Fitted:
+    """The model of the rows of docs (doc_id, text) that are not held out; `sweeps` bounds those over the whole vocabulary."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"))
-    training = rows.where("not held_out").select("text")
-    counts = cut(training.mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
-    total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least_c = _head_bound(counts, HEAD)
-    top = counts.where(F.col("c") >= least_c).toPandas().sort_values(["c", "word"], ascending=[False, True], kind="stable")
-    head = dict(zip(map(bytes, top["word"]), map(int, top["c"]), strict=True))
-    least = list(head)
-    own = [w for w in least if w != END][:OWN]
-    suffix = F.substring("word", -3, 3)
-    groups = _without(counts, own)
-    least_placed = max(PLACED, _head_bound(counts, MOST_PLACED))
-    few = F.col("c") < least_placed
-    by_suffix = groups.groupBy(suffix.alias("s")).agg(
+    counts = cut(rows.where("not held_out").select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
+    least = max(PLACED, _bound(counts, MOST_PLACED))
+    few, word = F.col("c") < least, F.col("word") != F.lit(bytearray(END))
+    total, types, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(~word, F.col("c"))), F.lit(0))).first()
+    by_suffix = counts.where(word).groupBy(F.substring("word", -3, 3).alias("s")).agg(
         F.sum("c").alias("c"), F.coalesce(F.sum(F.when(few, F.col("c"))), F.lit(0)).alias("m"), F.count_if(few).alias("v")
     )
     kept = by_suffix.orderBy(F.desc("c"), "s").limit(GROUPS).toPandas()
     rest = by_suffix.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    symbols = Symbols(own, [bytes(s) for s in kept["s"]])
-    mass, kinds = np.zeros(symbols.n), np.zeros(symbols.n)
-    for s, c, v in zip(map(bytes, kept["s"]), kept["m"], kept["v"], strict=True):
-        mass[symbols.groups[s]], kinds[symbols.groups[s]] = c, v
-    mass[1], kinds[1] = rest[0] - mass.sum(), rest[1] - kinds.sum()
-    for w, i in symbols.own.items():
-        mass[i], kinds[i] = head.get(w, 0), -1
-    shared_symbols = spark.sparkContext.broadcast(symbols)
-
-    def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared_symbols.value
-        seen = np.zeros(table.n * table.n, np.int64)
-        for s in _runs(batches, table):
-            seen += np.bincount(s[:-1] * table.n + s[1:], minlength=len(seen))
-        at = np.flatnonzero(seen)
-        for i in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(seen[at[i : i + 100_000]])], names=["pair", "c"])
-
-    met = training.mapInArrow(neighbours, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
-    pairs = np.zeros(symbols.n * symbols.n)
-    pairs[met["pair"].to_numpy()] = met["c"].to_numpy()
-    del met
-    pairs = pairs.reshape(symbols.n, symbols.n)
-    label = exchange(pairs)
-    member = np.eye(CLASSES)[label]
-    between = member.T @ (pairs @ member)
-    placed = groups.where(~few).mapInArrow(_hash, "h long, c long, s binary").toArrow().sort_by("h")
-    known_suffixes = [symbols.groups.get(x, 1) for x in placed["s"].to_pylist()]
-    label = np.concatenate([label, label[np.array(known_suffixes, np.int64)]]).astype(np.uint8)
-    mass, kinds = np.concatenate([mass, placed["c"].to_numpy()]), np.concatenate([kinds, np.full(len(placed), -1.0)])
-    shared_words = spark.sparkContext.broadcast(Placed(symbols, placed["h"].to_numpy()))
-    del placed, known_suffixes
-    if len(label) > symbols.n:
-        for _ in range(WORD_SWEEPS):
-            label, moved = sweep(training, shared_words, label, between)
-            if moved < SETTLED * (len(label) - symbols.n):
-                break
-            between = class_bigrams(training, shared_words, label, CLASSES)
-        else:
-            moved = 0
-        if moved:
-            between = class_bigrams(training, shared_words, label, CLASSES)
+    suffixes = [bytes(s) for s in kept["s"]]
+    known = {s: i + 2 for i, s in enumerate(suffixes)}
+    placed = counts.where(word & ~few).mapInArrow(_hash, "h long, c long, s binary").toArrow().sort_by("h")
+    first, times = len(suffixes) + 2, placed["c"].to_numpy()
+    group = np.concatenate([np.arange(first), np.array([known.get(x, 1) for x in placed["s"].to_pylist()], np.int64)])
+    in_group, kinds = np.zeros(first), np.zeros(first)  # tokens and types of the words that are not placed
+    in_group[0], in_group[2:], kinds[2:] = ends, kept["m"], kept["v"]
+    in_group[1], kinds[1] = rest[0] - in_group[2:].sum(), rest[1] - kinds[2:].sum()
+    mass = np.concatenate([in_group, times])
+    sorted_hashes = placed["h"].to_numpy()
+    table = spark.sparkContext.broadcast((suffixes, sorted_hashes, np.concatenate([[ends], np.full(first - 1, -1), times])))
+    del placed
+
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per text its numbers, what placed words tell, and the other words with their frequencies."""
+        suffixes, sorted_hashes, times = table.value
+        words_of, first = Numbers(suffixes, sorted_hashes), len(suffixes) + 2
+        logs = np.log10(np.maximum(times, 0) + ALPHA)
+        logs[1:first] = 0.0
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                n, known, base, packed, rare, often = [], [], [], [], [], []
+                for text in raw(batch, "text"):
+                    words = tokens(text)
+                    s = words_of.of(words)
+                    other = np.flatnonzero((s < first) & (s > 0)).tolist()
+                    missing = Counter([words[i] for i in other])
+                    n.append(len(words))
+                    known.append(len(words) - len(other))
+                    base.append(float(logs[s].sum()))
+                    packed.append(s.tobytes())
+                    rare.append(list(missing))
+                    often.append(list(missing.values()))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(batch.schema.get_field_index(c)) for c in ("row", "doc_id", "held_out")),
+                        pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(packed, pa.binary()),
+                        pa.array(rare, pa.list_(pa.binary())), pa.array(often, pa.list_(pa.int64())),
+                    ],
+                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "numbers", "words", "times"],
+                )
+
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, numbers binary, words array<binary>, times array<long>"
+    parts = cut(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text").mapInArrow(number, schema))
+    numbers = parts.where("not held_out").select("numbers")
+    # classes to start from: the most frequent words and the groups, by dense counts
+    own = first + np.argsort(-times, kind="stable")[:OWN]
+    coarse = group.astype(np.int32)
+    coarse[own] = first + np.arange(len(own))
+    pairs = bigrams(numbers, coarse, first + len(own))
+    start = exchange(pairs)
+    member = np.eye(CLASSES)[start]
+    label, between, gained = clustered(numbers, start[coarse].astype(np.uint8), member.T @ (pairs @ member), sweeps)
     label = label.astype(np.int64)
     share = np.bincount(label, weights=mass, minlength=CLASSES) + 1.0 / CLASSES
     share = share / share.sum()
     transition = np.log10((between + BACKOFF * share[None, :]) / (between.sum(axis=1, keepdims=True) + BACKOFF))
     weight = mass + ALPHA  # every symbol of a class may come, also one not met in training
     emission = np.log10(weight / np.bincount(label, weights=weight, minlength=CLASSES)[label])
-    group = np.where(kinds >= 0, np.log10(mass + ALPHA * (np.maximum(kinds, 0) + 1)), 0.0)
-    model = spark.sparkContext.broadcast((head, label, transition, emission, group))
-    base_log = float(np.log10(total + ALPHA * (types + 1)))
+    emission[1:first] -= np.log10(in_group[1:] + ALPHA * (kinds[1:] + 1))
+    return Fitted(parts, counts, least, total, types, suffixes, sorted_hashes, label.astype(np.uint8), transition, emission, gained)
+
+
+def scored(docs: DataFrame, held_out: str = HELD_OUT, sweeps: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs (doc_id, text).
+
+    A null or empty text is its end token alone.  A row with a null id is in training.  Repeated rows are scored
+    alike and counted in training as often as they occur.  Words of nearly equal counts are placed together or not.
+    Other columns of docs, also of these names, are not read.  An empty table gives no rows.
+    """
+    found = fitted(docs, held_out, sweeps)
+    model = docs.sparkSession.sparkContext.broadcast((found.label, found.transition, found.emission))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per text what the head and the symbols tell; the words of the tail with their frequencies."""
-        table, (head, label, transition, emission, group) = shared_words.value, model.value
-        logs = {w: float(np.log10(c + ALPHA)) for w, c in head.items()}
+        label, transition, emission = model.value
         for batch in batches:
-            n, known, base, full, tail = [], [], [], [], []
-            for text in raw(batch, "text"):
-                words = tokens(text)
-                s = table.of(words)
+            full = []
+            for x in batch.column(batch.schema.get_field_index("numbers")):
+                s = np.frombuffer(x.as_buffer(), np.int32)
                 k = label[s]
-                found = [logs.get(w) for w in words]
-                here = np.array([0.0 if x is None else x for x in found])
-                missing = Counter([w for w, x in zip(words, found, strict=True) if x is None])
-                grouped = (s == 1) | ((s > len(table.symbols.own)) & (s < table.symbols.n))
-                p = transition[np.concatenate([[label[0]], k[:-1]]), k].sum() + emission[s].sum() + here[grouped].sum() - group[s[grouped]].sum()
-                n.append(len(words))
-                known.append(len(words) - sum(missing.values()))
-                base.append(float(here.sum()))
-                full.append(float(p))
-                tail.append(missing)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "part", "held_out")),
-                    pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64()),
-                    pa.array([list(t) for t in tail], pa.list_(pa.binary())), pa.array([list(t.values()) for t in tail], pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "part", "held_out", "n_tokens", "known", "base", "full", "words", "times"],
-            )
-
-    schema = "doc_id long, part long, held_out boolean, n_tokens long, known long, base double, full double, words array<binary>, times array<long>"
-    parts = cut(rows.withColumn("part", F.xxhash64("text")).mapInArrow(score, schema))
-    tail = parts.select("doc_id", "part", F.explode(F.arrays_zip("words", "times")).alias("x")).select("doc_id", "part", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    rare = counts.where(F.col("c") < least_c)
-    looked = tail.join(rare, "word", "left")
-    known = F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)
+                full.append(float(transition[np.concatenate([label[:1], k[:-1]]), k].sum() + emission[s].sum()))
+            rest = [i for i, name in enumerate(batch.schema.names) if name != "numbers"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(full, pa.float64())], names=[*(batch.schema.names[i] for i in rest), "full"])
+
+    parts, total = found.parts, found.total
+    whole = parts.drop("words", "times").mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, full double")
+    tail = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    looked = tail.join(found.counts.where(F.col("c") < found.least), "word", "left")
     logs = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ALPHA))
-    sums = looked.groupBy("doc_id", "part").agg(F.sum(known).alias("known2"), F.sum(logs).alias("logs"), F.sum(F.when(F.coalesce("c", F.lit(0)) < least_placed, logs)).alias("shares"))
-    sums = sums.select(F.col("doc_id").alias("id2"), F.col("part").alias("part2"), "known2", "logs", "shares")
-    copies = parts.groupBy("doc_id", "part").agg(F.count("*").alias("copies")).select(F.col("doc_id").alias("id1"), F.col("part").alias("part1"), "copies")
-    joined = (
-        parts.drop("words", "times")
-        .join(copies, F.col("doc_id").eqNullSafe(F.col("id1")) & (F.col("part") == F.col("part1")))
-        .join(sums, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("part") == F.col("part2")), "left")
-    )
-    more, shares = (F.coalesce(F.col(x) / F.col("copies"), F.lit(0.0)) for x in ("logs", "shares"))
-    return joined.select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("known") + F.coalesce((F.col("known2") / F.col("copies")).cast("long"), F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * F.lit(base_log)).alias("base_score"),
-        (F.col("full") + shares).alias("score"),
+    sums = looked.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("known2"), F.sum(logs).alias("logs"))
+    more = F.coalesce("logs", F.lit(0.0))
+    return whole.join(sums, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("known2", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + more - F.col("n_tokens") * F.lit(float(np.log10(total + ALPHA * (found.types + 1))))).alias("base_score"), (F.col("full") + more).alias("score"),
     )
 
 
-def _head_bound(counts: DataFrame, head: int) -> int:
-    """A count that at most `head` words reach: from counts' eighths of a power of two, so that no task sends a table of its own."""
+def _bound(counts: DataFrame, most: int) -> int:
+    """A count that at most `most` words reach: from counts' eighths of a power of two, so that no task sends a table of its own."""
     eighth = F.floor(8 * F.log2(F.col("c"))).cast("int")
     sizes = counts.groupBy(eighth.alias("k")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("k")).collect()
     bound, held = 1 << 62, 0
     for k in sizes:
         held += k["n"]
-        if held > head:
+        if held > most:
             break
         bound = k["c"]
     return bound
 
 
-def _without(counts: DataFrame, own: list[bytes]) -> DataFrame:
-    """counts but for the words in `own` (OWN at most) and the end token."""
-    spark = counts.sparkSession
-    words = spark.createDataFrame([(bytearray(w),) for w in [*own, END]], "word binary")
-    return counts.join(F.broadcast(words), "word", "left_anti")
-
-
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(read(spark, sf_dir, "documents"))
