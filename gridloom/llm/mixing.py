@@ -13,31 +13,33 @@ from pyspark.sql import functions as F
 from .common import read
 
 TEMPERATURE, SEED, SOURCES = 0.5, 11, 10_000
-#: A source's distribution is tabled so far; beyond lies less than 2 ** -53 for rates up to LARGEST, what is over is split off as whole copies.
+#: A draw's distribution is tabled so far; beyond lies less than 2 ** -53 for means up to LARGEST.  A larger rate is cut
+#: into equal means of at most LARGEST, whose independent draws are added: their sum is Poisson at every rate.
 STEPS, LARGEST = 160, 64.0
 
 
 def hashed(*parts: Column) -> Column:
     """A number in [0, 1) of 52 bits from MD5."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
 def distribution(rate: Column) -> Column:
-    """struct<sure, cdf>: whole copies for certain (of a rate over LARGEST), and P(at most k) of the rest for k = 0, 1, ... below 1."""
-    sure = F.greatest(F.floor(rate - LARGEST), F.lit(0))
-    mean = rate - sure
+    """struct<draws, cdf>: the number of draws, and P(at most k) of each for k = 0, 1, ... below 1."""
+    draws = F.greatest(F.ceil(rate / F.lit(LARGEST)), F.lit(1)).cast("int")
+    mean = rate / draws
     first = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("c"))
     step = lambda s, k: F.struct((s.p * mean / k).alias("p"), F.concat(s.c, F.array(F.element_at(s.c, -1) + s.p * mean / k)).alias("c"))
     cdf = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), first, step, lambda s: F.filter(s.c, lambda x: x < 1))
-    return F.struct(sure.cast("int").alias("sure"), cdf.alias("cdf"))
+    return F.struct(draws.alias("draws"), cdf.alias("cdf"))
 
 
-def drawn(u: Column, d: Column) -> Column:
-    """The distribution's inverse at u: the number of k with P(at most k) <= u.
+def drawn(seed: int, key: Column, d: Column) -> Column:
+    """The sum over draws of the distribution's inverse: the number of k with P(at most k) <= a number hashed from seed, draw and key.
 
-    u is bound to a variable, as else its hash would be computed for each k.
+    That number is bound to a variable, as else its hash would be computed for each k.
     """
-    return d.sure + F.element_at(F.transform(F.array(u), lambda v: F.size(F.filter(d.cdf, lambda c: v >= c))), 1)
+    inverse = lambda j: F.element_at(F.transform(F.array(hashed(F.lit(seed), j, key)), lambda v: F.size(F.filter(d.cdf, lambda c: v >= c))), 1)
+    return F.aggregate(F.sequence(F.lit(0), d.draws - 1), F.lit(0), lambda n, j: n + inverse(j))
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
@@ -57,20 +59,31 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     return sized.select("source", rate.alias("rate"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
+def mixed(
+    docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """docs' columns and copy_no (int), each row as often as drawn, dealt to partitions and ordered in them by a hash: a global shuffle.
 
-    A row's draw depends on its id and the seed alone, so repeated rows are drawn alike.  The table of rates goes
-    to all workers if it has at most SOURCES rows; a larger one is joined by shuffles.  An empty table gives no
-    rows.
+    A row's draw depends on the seed and its id alone, or its text where the id is null, so repeated rows are
+    drawn alike.  A column of docs that is named copy_no already comes out with underscores after its name.  The
+    table of rates goes to all workers if it has at most SOURCES rows; a larger one is joined by shuffles.  An
+    empty table gives no rows.
     """
     table = rates(docs.select("source"), weights, temperature).select(F.col("source").alias("mix_source"), distribution(F.col("rate")).alias("mix"))
     small = table.limit(SOURCES + 1).count() <= SOURCES
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    names, taken = [], {c.lower() for c in docs.columns} | {"copy_no"}
+    for c in docs.columns:
+        name = c
+        while name.lower() == "copy_no" or name != c and name.lower() in taken:
+            name += "_"
+        names.append(name)
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("doc"))
     met = boxed.join(F.broadcast(table) if small else table, F.col("doc.source").eqNullSafe(F.col("mix_source")))
-    counted = met.select("doc", drawn(hashed(F.lit(seed), F.col(f"doc.`{id_col}`")), F.col("mix")).alias("n")).where("n > 0")
-    copies = counted.select("doc", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"))
-    keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), F.col(f"doc.`{id_col}`"), "copy_no"))
+    text = F.coalesce(F.col(f"doc.`{text_col}`"), F.lit("")) if text_col in docs.columns else F.lit("")
+    key = F.coalesce(F.col(f"doc.`{id_col}`").cast("string"), F.concat(F.lit("null|"), F.md5(text.cast("binary"))))
+    counted = met.select("doc", key.alias("key"), "mix").select("doc", "key", drawn(seed, F.col("key"), F.col("mix")).alias("n")).where("n > 0")
+    copies = counted.select("doc", "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"))
+    keyed = copies.select("doc", "copy_no", F.xxhash64(F.lit(seed), "key", "copy_no").alias("mix_key"))
     return keyed.repartition("mix_key").sortWithinPartitions("mix_key").select("doc.*", "copy_no")
 
 
@@ -81,11 +94,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = """
 WITH n AS (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source),
 r AS (SELECT source, sqrt(n) / sum(sqrt(n)) OVER () * sum(n) OVER () / n AS rate FROM n),
-d AS (SELECT d.*, rate, ('0x' || substr(md5('11|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS u
+d AS (SELECT row_number() OVER () AS rid, d.*, greatest(ceil(rate / 64), 1)::BIGINT AS draws, rate / greatest(ceil(rate / 64), 1) AS mean,
+        coalesce(doc_id::VARCHAR, 'null|' || md5(coalesce(text, ''))) AS key
       FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-c AS (SELECT *, list_reduce(list_prepend({'p': exp(-rate), 'c': exp(-rate), 'k': 0::DOUBLE, 'm': 0::DOUBLE},
+u AS (SELECT rid, mean, ('0x' || substr(md5('11|' || j || '|' || key), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM (SELECT rid, mean, key, unnest(range(draws)) AS j FROM d)),
+t AS (SELECT rid, sum(list_reduce(list_prepend({'p': exp(-mean), 'c': exp(-mean), 'k': 0::DOUBLE, 'm': 0::DOUBLE},
         [{'p': 0::DOUBLE, 'c': 0::DOUBLE, 'k': i::DOUBLE, 'm': 0::DOUBLE} FOR i IN range(1, 161)]),
-        lambda s, x: {'p': s.p * rate / x.k, 'c': s.c + s.p * rate / x.k, 'k': x.k, 'm': s.m + CASE WHEN u >= s.c THEN 1 ELSE 0 END}).m::BIGINT AS times
-      FROM d)
-SELECT doc_id, text, lang, source, n_chars, unnest(range(1, times + 1)) AS copy_no FROM c WHERE times > 0
+        lambda s, x: {'p': s.p * mean / x.k, 'c': s.c + s.p * mean / x.k, 'k': x.k, 'm': s.m + CASE WHEN u >= s.c THEN 1 ELSE 0 END}).m)::BIGINT AS times
+      FROM u GROUP BY rid)
+SELECT doc_id, text, lang, source, n_chars, unnest(range(1, times + 1)) AS copy_no FROM d JOIN t USING (rid) WHERE times > 0
 """
