@@ -6,7 +6,8 @@ line is filed under hashes of its variants, each with the deleted place, and of
 each line only with the earliest of a key, and the edit distance is verified on the texts.
 
 Only lines that can have a neighbour emit variants: an edit leaves the first or the last half of a line as it
-was, so lines first meet on hashes of their halves; those alone on all of theirs have no neighbour.
+was, so lines first meet on hashes of their halves; those alone on all of theirs have no neighbour.  Texts are
+cut into lines once for all that needs hashes alone; what those tell is written to shared storage.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, read, whole_groups
 
-#: Lines shorter than this have only equal lines as neighbours: an edit makes a short line another line.
-NEAR_CHARS = 20
+#: Lines shorter than this have only equal lines as neighbours: in a line of one character an edit leaves nothing.
+NEAR_CHARS = 2
+#: Of a Bloom filter that spares lines a shuffle; beyond some 11 million wanted lines it fills up and spares fewer.
 FILTER_BITS, FILTER_HASHES = 1 << 27, 6
 
 _MIX = np.random.default_rng(5).integers(1, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -127,16 +129,23 @@ def _lines(docs: DataFrame) -> DataFrame:
     return worded.select(F.struct(F.col("id").isNull().alias("late"), "id", "row", "no").alias("at"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), "line")
 
 
+def _halves(near_chars: int) -> list[Column]:
+    """Hashes of the first and last `half` characters: lines of 2 half and 2 half + 1 have them, and for those a character shorter lines of 2 half + 2."""
+    n = F.length("line")
+    half = F.floor(n / 2).cast("int")
+    out = []
+    for size, ok in ((half, n >= near_chars), (half - 1, (n % 2 == 0) & (n > near_chars))):
+        for side, part in enumerate((F.substring("line", F.lit(1), size), F.right("line", size))):
+            out.append(F.when(ok, F.xxhash64(F.lit(side), size, part)))
+    return out
+
+
 def _filter(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """lines less most whose h is not among wanted: a Bloom filter of FILTER_BITS at most, with false hits only.
 
-    With more lines wanted than a filter of that size tells apart, all lines pass, and the join that follows
-    does the whole work.
+    The join that follows takes out the false ones.
     """
-    n = wanted.count()
-    bits = 1 << max(10, (12 * n).bit_length())
-    if bits > FILTER_BITS:
-        return lines
+    bits = max(1 << 10, min(FILTER_BITS, 1 << (12 * wanted.count()).bit_length()))
     places = F.explode(F.array(*[F.pmod(F.shiftright("h", 8) + F.lit(k) * F.shiftright(F.xxhash64("h"), 8), F.lit(bits)) for k in range(FILTER_HASHES)]))
     words = wanted.select(places.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 63))")).alias("m")).toPandas()
     table = np.zeros(bits // 64, np.uint64)
@@ -160,17 +169,14 @@ def _filter(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     """(id, row, no): the lines of docs (id, row, text) that an earlier line equals or nears, by id, row and line number."""
     lines = _lines(docs)
-    slim = lines.select("at", "h", "g")
-    classes = cut(slim.groupBy("h", "g").agg(F.min("at").alias("first"), F.count("*").alias("times")))
-    long_lines = lines.where(F.length("line") >= near_chars)
-
-    def halves(tag):  # of the shorter line's length, so that lines of lengths n and n + 1 meet
-        half = F.floor((tag - 1) / 2).cast("int")
-        return F.xxhash64(F.lit(0), tag, F.substring("line", F.lit(1), half)), F.xxhash64(F.lit(1), tag, F.right("line", half))
-
-    met = long_lines.select("h", F.explode(F.array(*halves(F.length("line")), *halves(F.length("line") - 1))).alias("half"))
-    shared = met.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
+    halves = ["a", "b", "c", "d"]
+    slim = cut(lines.select("at", "h", "g", *[x.alias(k) for k, x in zip(halves, _halves(near_chars), strict=True)]))
+    classes = cut(slim.groupBy("h", "g").agg(F.min("at").alias("first"), F.count("*").alias("times"), *[F.min(k).alias(k) for k in halves]))
+    met = classes.select("h", F.explode(F.array(*halves)).alias("half")).where("half is not null")
+    # written, so that the joins that follow have plain exchanges on both sides, and Spark can split a hot half or line
+    shared = cut(met.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half"))
     wanted = cut(met.join(shared, "half", "left_semi").select("h").distinct())
+    long_lines = lines.where(F.length("line") >= near_chars)
     texts = _filter(long_lines, wanted).groupBy("h", "g", "line").agg(F.min("at").alias("at")).join(wanted, "h", "left_semi")
     # ranks in the order of `at`, in place of it in the many rows that follow
     able = cut(texts.repartitionByRange("at").sortWithinPartitions("at").select("h", "g", "line", F.monotonically_increasing_id().alias("rank")))
@@ -179,8 +185,8 @@ def repeats(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     other = able.select(F.col("rank").alias("best"), F.col("line").alias("other"))
     paired = found.join(able, "rank").join(other, "best").select("h", "g", "line", "other")
     late = paired.mapInArrow(_verify, "h long, g long").distinct().withColumn("near", F.lit(True))
-    doomed = classes.join(late, ["h", "g"], "left").where("times > 1 or near").select("h", "g", "first", "near")
-    hit = slim.join(doomed, ["h", "g"]).where("near or at <> first")
+    doomed = cut(classes.join(late, ["h", "g"], "left").where("times > 1 or near").select("h", "g", "first", "near"))
+    hit = slim.select("at", "h", "g").join(doomed, ["h", "g"]).where("near or at <> first")
     return hit.select("at.id", "at.row", "at.no")
 
 
@@ -190,7 +196,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Earlier is by id, then by a hash of the text, then by line number; null ids come last.  An earlier line that
     is itself removed counts too.  Lines are cut at \\n; lines without a word stay.  A null text stays null.  Of
     repeated rows (equal id and text) none is earlier: each keeps what the first keeps.  Every row of docs stays,
-    with an empty text if all its lines go.  An empty table gives no rows.
+    with an empty text if all its lines go.  Columns of docs keep their names and values, whatever these are.  An
+    empty table gives no rows.
     """
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     ids = boxed.select("doc", F.col(f"doc.`{id_col}`").alias("id"), F.xxhash64(F.col(f"doc.`{text_col}`")).alias("row"))
@@ -198,8 +205,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone = repeats(slim, near_chars)
     lost = gone.groupBy("id", "row").agg(F.collect_set("no").alias("lost")).select(F.col("id").alias("id2"), F.col("row").alias("row2"), "lost")
     met = ids.join(lost, F.col("id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2")), "left")
-    lines = F.split(F.col(f"doc.`{text_col}`"), "\n", -1)
-    left = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("lost", i), x)), lambda x: x.isNotNull()), "\n")
+    # the lines are bound to a variable, so that the text is cut once
+    lines = F.array(F.split(F.col(f"doc.`{text_col}`"), "\n", -1))
+    left = F.element_at(F.transform(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "lost"), lambda i: F.get(x, i)), "\n")), 1)
     text = F.when(F.col("lost").isNull(), F.col(f"doc.`{text_col}`")).otherwise(left)
     return met.withColumn("text", text).select(*[F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns])
 

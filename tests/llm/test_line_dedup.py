@@ -2,6 +2,9 @@
 
 import random
 import re
+import time
+
+import pytest
 
 from gridloom.llm import line_dedup
 
@@ -38,7 +41,7 @@ def brute(rows, least):
 def corpus():
     rng = random.Random(3)
     base = [prose(rng.randint(1, 12), 1000 + k) for k in range(60)]
-    rows = [(0, None), (1, ""), (2, "\n\n  \n"), (3, "short"), (4, "short\nshorts"), (5, "é" * 30 + "\n" + "é" * 29 + "\n" + "é" * 31), (6, "a" * 20), (7, "a" * 19), (8, "\U0001f600" * 25), (9, "\U0001f600" * 24 + "\U0001f601")]
+    rows = [(0, None), (1, ""), (2, "\n\n  \n"), (3, "short"), (4, "short\nshorts\na\nb\nab\nabc\nxy"), (201, "b\nax\nabcd\nabyd\nzz z\nzz"), (5, "é" * 30 + "\n" + "é" * 29 + "\n" + "é" * 31), (6, "a" * 20), (7, "a" * 19), (8, "\U0001f600" * 25), (9, "\U0001f600" * 24 + "\U0001f601")]
     for i in range(10, 120):
         lines = []
         for _ in range(rng.randint(1, 8)):
@@ -63,6 +66,22 @@ def test_as_by_brute_force(spark):
     assert {r.doc_id: r.text for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("least", [1, 3, 20])
+def test_other_least_lengths(spark, least):
+    rows = corpus()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.text for r in line_dedup.deduplicated(frame, near_chars=least).collect()} == brute(rows, least)
+
+
+def test_a_document_of_many_lines_takes_linear_time(spark):
+    """150,000 lines, equal ones and others; a search in a list for each line would take minutes."""
+    frame = spark.createDataFrame([(1, "\n".join(["the same line again"] * 100_000 + [f"{i:06d} own line {i * 7919:010d}" for i in range(0, 500_000, 10)]))], "doc_id long, text string")
+    began = time.monotonic()
+    text = line_dedup.deduplicated(frame).collect()[0].text
+    assert time.monotonic() - began < 60
+    assert text.count("the same line again") == 1 and text.split("\n")[1] == "000000 own line 0000000000"
+
+
 def test_a_full_filter_gives_the_same(spark, monkeypatch):
     rows = corpus()
     frame = spark.createDataFrame(rows, "doc_id long, text string")
