@@ -1,15 +1,20 @@
 """HTML extraction on pages of several layouts, and votes by host."""
 
+import random
+import time
+
 import pytest
 
 from gridloom.llm import html_extract
 
+from .helpers import WORDS
+
 L = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor."
 M = f"{L} {L}"
 
 
 def alone(html):
-    return html_extract.text_of(html, html_extract.best_path(*html_extract.parse(html))[0])
+    return html_extract.text_of(html, html_extract.read_page(html)[1])
 
 
 PAGES = {
@@ -95,3 +100,71 @@ def test_a_stub_on_the_winning_path_gives_way():
     assert html_extract.text_of(stub, "body/div.post") == f"{M} {M}"
     whole = f'<body><div class="post"><p>{M}</p></div><section><ul><li><a href=x>{L}</a></ul></section></body>'
     assert html_extract.text_of(whole, "body/div.post") == M
+
+
+UNNAMED = {
+    "a reply": (f'<body><div class="k1"><p>{M} {M} {M}</p></div><div class="u9"><p>Reply by Bob: {L[:40]}.</p></div></body>', f"{M} {M} {M}"),
+    "replies": (f'<body><div class="k1"><p>{M}</p><div class="u9"><p>Bob says: {L}</p></div><div class="u9"><p>Ann Lee wrote: {L}</p></div></div></body>', M),
+    "under a title": (f'<body><div class="k1"><p>{M}</p></div><div class="k2"><h3>Comments (2)</h3><p>{M}</p><p>{M}</p></div></body>', M),
+    "a notice": (f'<body><div class="k2"><p>We use cookies. Read our privacy policy on cookies and accept all. {L} {L}</p></div><div class="k1"><p>{L}</p></div></body>', L),
+    "about cookies": (f'<body><div class="k1"><p>{M} {M} Cookies are sweet. {M} {M}</p></div></body>', f"{M} {M} Cookies are sweet. {M} {M}"),
+    "legal news": (f'<body><div class="legal-news"><p>{M}</p></div></body>', M),
+    "tags": (f'<body><div class="post tags-visible"><p>{M}</p></div><div class="tags">a b</div></body>', M),
+}
+
+
+@pytest.mark.parametrize("name", UNNAMED)
+def test_signs_of_noise_without_names(name):
+    html, want = UNNAMED[name]
+    assert alone(html) == want
+
+
+def sentence(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n)).capitalize() + "."
+
+
+def truth(rng, template, notice):
+    """A page and its article, known as it is put together."""
+    parts = [sentence(rng, rng.randint(6, 14)) for _ in range(rng.randint(4, 12))]
+    title = " ".join(rng.choice(WORDS) for _ in range(5))
+    text = "".join(f"<p>{x}</p>" for x in parts)
+    body = {
+        "article": f'<header><a href=/>Home</a></header><article><h1>{title}</h1>{text}</article>',
+        "div": f'<div class="x7"><h1>{title}</h1>{text}</div>',
+        "deep": f'<div class="wrap"><div class="mid"><div class="t t-{rng.randint(1, 9)}"><h1>{title}</h1>{text}</div></div></div>',
+        "main": f'<main id="c"><h1>{title}</h1>{text}<div class="share-box"><a href=s>Share</a></div></main>',
+    }[template]
+    extra = [
+        f'<div class="u1"><p>{notice}</p></div>',
+        "<nav><ul>" + "".join(f"<li><a href=/{k}>{rng.choice(WORDS)}</a>" for k in range(6)) + "</ul></nav>",
+        f'<div class="comments"><h3>3 comments</h3><p>{sentence(rng, 30)}</p><p>{sentence(rng, 30)}</p></div>',
+        f'<div class="u9"><p>Ann says: {sentence(rng, 9)}</p></div><div class="u9"><p>Bo wrote: {sentence(rng, 9)}</p></div>',
+        f'<aside><p>{sentence(rng, 40)}</p></aside>', "<script>var a = '<p>no.</p>';</script><style>p{}</style>",
+        f'<div class="advert-box"><p>{sentence(rng, 25)}</p></div>', f'<form><input><p>{sentence(rng, 9)}</p></form>',
+    ]
+    before = [x for x in extra if rng.random() < 0.4]
+    after = [x for x in extra if rng.random() < 0.4]
+    return f"<html><head><title>{title}</title></head><body>{''.join(before)}{body}{''.join(after)}<footer>{notice}</footer></body></html>", " ".join([title, *parts])
+
+
+def test_hosts_of_one_and_of_two_templates(spark):
+    """Every text equals the article that the page was put together from; the notice is told by its repetition alone."""
+    rng = random.Random(4)
+    rows, want = [], {}
+    for h, templates in enumerate((["article"], ["div"], ["deep"], ["main"], ["article", "div"], ["deep", "main"])):
+        notice = " ".join(sentence(rng, 12) for _ in range(5))
+        for k in range(30):
+            html, text = truth(rng, templates[k % len(templates)], notice)
+            rows.append((100 * h + k, f"https://h{h}.example/{k}", html))
+            want[100 * h + k] = text
+    rows += [(10_000 + k, f"https://h1.example/copy/{k}", rows[30][2]) for k in range(60)]  # an article with many copies is no notice
+    want |= {10_000 + k: want[100] for k in range(60)}
+    got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert [i for i in want if got[i] != want[i]] == []
+
+
+@pytest.mark.parametrize("html", ["<div>x. " * 100_000, "<div>" * 50_000 + "word." + "</section></div>" * 50_000, "<ul>" + "<li><div>item one." * 50_000, f"<div>{'<p>' * 100_000}{L}"])
+def test_deep_nesting_takes_linear_time(html):
+    began = time.monotonic()
+    assert len(alone(html)) > 4
+    assert time.monotonic() - began < 10
