@@ -70,9 +70,9 @@ _ENDS_P = _BLOCKS - {"br"}
 
 
 #: What comments, and notices and adverts, say of themselves.
-_COMMENT = re.compile(r"(?:reply|replies|re:|comments?|responses?)\b|(?:\S+ ){1,4}(?:says|said|wrote|writes|commented|replied)\s*[:.,]", re.I)
-_NOTICE = re.compile(r"\bcookies?\b|\bconsent\b|privacy policy|terms of (?:use|service)|\bsubscribe\b|newsletter|sign up|all rights reserved|\u00a9|advertisement|sponsored|\baccept all\b", re.I)
-_TITLES = re.compile(r"(?:\d+ )?(?:comments?|replies|responses?|reader comments?|leave a (?:reply|comment)|related(?: \w+)?|advertisement|newsletter)\W*(?:\d+\W*)?", re.I)
+_COMMENT = re.compile(r"(?:reply|replies|re:|comments?|responses?)\b|(?:\S+ ){1,4}(?:says|said|wrote|writes|commented|replied)\s*[:.,]")
+_NOTICE = ("cookie", "consent to", "privacy policy", "terms of use", "terms of service", "subscribe", "newsletter", "sign up", "all rights reserved", "\u00a9", "advertisement", "sponsored", "accept all")
+_TITLES = re.compile(r"(?:\d+ )?(?:comments?|replies|responses?|reader comments?|leave a (?:reply|comment)|related(?: \w+)?|advertisement|newsletter)\W*(?:\d+\W*)?")
 
 
 #: (container, text, characters in links, is a headline)
@@ -253,9 +253,9 @@ def _vote_noise(page: Page, by_name: bool, common: frozenset[int]) -> None:
     sums = lambda values: [0, *accumulate(values)]
     size, linked = sums(len(b[1]) for b in blocks), sums(b[2] for b in blocks)
     again = sums(len(b[1]) if common and hashed(b[1]) in common else 0 for b in blocks)
-    notices, words = sums(len(_NOTICE.findall(b[1])) for b in blocks), sums(b[1].count(" ") + 1 for b in blocks)
-    opens = [bool(_COMMENT.match(b[1])) for b in blocks]
-    titled = [b[1] for b in blocks]
+    low = [b[1].lower() for b in blocks]
+    notices, words = sums(sum(x.count(term) for term in _NOTICE) for x in low), sums(x.count(" ") + 1 for x in low)
+    opens = [bool(_COMMENT.match(x)) for x in low]
     alike = Counter(n.path for n in page.nodes if n.container and n.start < n.end and opens[n.start])
     whole, own = size[-1], size[-1] - again[-1]
     for node in page.nodes:
@@ -276,7 +276,7 @@ def _vote_noise(page: Page, by_name: bool, common: frozenset[int]) -> None:
             votes += 2 if said > 1 and said >= 0.03 * (words[b] - words[a]) else said > 0
             if opens[a]:
                 votes += 1 + (alike[node.path] > 1)
-            if _TITLES.fullmatch(titled[a]) and b - a > 1:
+            if _TITLES.fullmatch(low[a]) and b - a > 1:
                 votes += 2
             if again[b] - again[a] >= 0.8 * here and own - (here - (again[b] - again[a])) >= OWN_TEXT:
                 votes += 2
