@@ -105,17 +105,18 @@ def components(links: DataFrame) -> DataFrame:
     """Connected components of links (u, v: long): one row (node, root) per node, root the smallest node reachable.
 
     Alternating large-star and small-star contraction.  A round is two group-bys with map-side minima, each
-    joined back on its node; both sides of a join come from plain exchanges, so that Spark can split the
-    links of a hub.  Rounds end when every node has one link, to a node that has none itself.  Links of a node with itself count as none;
+    joined back on its node; the minima are written first, so that both sides of a join come from plain
+    exchanges, and Spark can split the links of a hub.  Rounds end when every node has one link, to a node that has none itself.  Links of a node with itself count as none;
     no links give no rows.
     """
     edges = links.where("u <> v").mapInArrow(_contract, "u long, v long").distinct()
     edges = cut(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).where("u <> v").union(low).distinct()
         edges = cut(small)
         n = edges.groupBy("u").count().agg(F.max("count")).first()[0] or 1

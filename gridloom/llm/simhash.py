@@ -99,6 +99,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << j).cast("long") for j in range(32)))
     ball = lambda tag, part: F.transform(flips, lambda m: part.bitwiseXOR(m).bitwiseOR(F.lit(tag << 32)))
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
+    # few fingerprints fill few files; 66 rows of each are better made by many tasks
+    fps = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     filed = fps.select("fp", F.explode(F.concat(ball(0, low), ball(1, high))).alias("entry"))
     shared = filed.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
@@ -110,10 +112,13 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
 
 
 def _roots(prints: DataFrame, distance: int) -> DataFrame:
-    """(fp, first, root): of each fingerprint the smallest id, and the smallest fingerprint that it reaches."""
+    """(fp, first, root): of each fingerprint the smallest id, and the smallest fingerprint that it reaches.
+
+    Written, so that joins with it have plain exchanges on both sides, and Spark can split a hot fingerprint.
+    """
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(classes.select("fp"), distance))
-    return classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return cut(classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -126,7 +131,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
     named = _roots(prints, distance)
     groups = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    byclass = named.join(groups, "root").select("fp", "component_id")
+    byclass = cut(named.join(groups, "root").select("fp", "component_id"))
     return prints.join(byclass, "fp").select("doc_id", "fp", "component_id")
 
 
