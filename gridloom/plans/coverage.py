@@ -1,21 +1,27 @@
-"""Coverages: a catalog and four Parquet tables each (levels, sections, tiles, pixels) under one root.
+"""Coverages: a catalog, and for each coverage a table of sections and one of pixels, under one root.
 
-Pixels are partitioned by pyramid level and section, so that a query at one level reads that level alone.
-Changes write a new version of a table and move the catalog to it; readers of the old one are not disturbed.
+Pixels lie in a folder per pyramid level and section (pixels/pyramid_level=L/section_id=N).  A load appends its own
+folder and writes nothing else again, deletion removes folders, and queries by level and section read theirs
+alone.  A section counts from when its row is written, after its pixels.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import pixels, pyramid, statistics
 from ..types import SAMPLES, allowed, default_nodata
 
+SECTIONS = "section_id int, section_name string, width int, height int, file_path string, xres double, yres double, minx double, miny double, maxx double, maxy double"
+PIXELS = "r long, c long, bands array<double>, tile_row long, tile_col long, tile_id long, pyramid_level int, section_id int"
+FACTOR = 8
+
 
 @dataclass
 class Coverage:
@@ -39,7 +45,8 @@ class Coverage:
     license: str = ""
     default_bands: list[int] = field(default_factory=list)
     auto_ndvi: bool = False
-    version: str = ""
+    palette: list[tuple[int, int, int]] = field(default_factory=list)
+    styles: dict[str, str] = field(default_factory=dict)
 
 
 class Catalog:
@@ -57,10 +64,10 @@ class Catalog:
         return f"{self.root}/_catalog/{name.lower()}.json"
 
     def get(self, name: str) -> Coverage | None:
-        path = self._path(self._file(name))
-        if not self._fs.exists(path):
+        if not isinstance(name, str) or not name or not self._fs.exists(self._path(self._file(name))):
             return None
-        return Coverage(**json.loads(self.spark.read.text(self._file(name), wholetext=True).first()[0]))
+        found = json.loads(self.spark.read.text(self._file(name), wholetext=True).first()[0])
+        return Coverage(**{**found, "palette": [tuple(x) for x in found.get("palette", [])]})
 
     def _put(self, c: Coverage) -> None:
         out = self._fs.create(self._path(self._file(c.name)), True)
@@ -69,7 +76,7 @@ class Catalog:
         finally:
             out.close()
 
-    def create(self, name, sample, pixel, bands, compression="NONE", tile_w=512, tile_h=512, srid=-1, xres=1.0, yres=None, nodata=None, strict=False, mixed=False) -> int:
+    def create(self, name, sample, pixel, bands, compression="NONE", tile_w=512, tile_h=512, srid=-1, xres=1.0, yres=None, nodata=None, strict=False, mixed=False, palette=()) -> int:
         """1, 0 (not allowed or there already) or -1 (invalid argument)."""
         sample, pixel, compression = (str(x).upper() for x in (sample, pixel, compression))
         if not isinstance(name, str) or not name or not isinstance(bands, int) or xres <= 0 or sample not in SAMPLES:
@@ -79,9 +86,11 @@ class Catalog:
         if not any(p == pixel and s == sample and lo <= bands <= hi and c == compression for p, s, lo, hi, c in allowed()) or self.get(name):
             return 0
         nodata = default_nodata(pixel, sample, bands) if nodata is None else [float(x) for x in nodata]
-        if len(nodata) != bands:
+        if len(nodata) != bands or len(palette) > 256:
             return 0
-        self._put(Coverage(name, sample, pixel, bands, compression, tile_w, tile_h, srid, float(xres), float(yres or xres), nodata, strict, mixed))
+        for table in ("sections", "pixels"):
+            self._fs.mkdirs(self._path(self._dir(name, table)))
+        self._put(Coverage(name, sample, pixel, bands, compression, tile_w, tile_h, srid, float(xres), float(yres or xres), nodata, strict, mixed, palette=[tuple(p) for p in palette]))
         return 1
 
     def drop(self, name: str) -> int:
@@ -92,15 +101,16 @@ class Catalog:
         self._fs.delete(self._path(f"{self.root}/{c.name.lower()}"), True)
         return 1
 
-    def copy(self, name: str, to: str) -> int:
-        c = self.get(name)
+    def copy(self, name: str, to: str | None = None, source: Catalog | None = None) -> int:
+        """A whole coverage, of this catalog or of another one."""
+        source, to = source or self, to or name
+        c = source.get(name)
         if c is None or self.get(to):
             return 0
-        version = uuid.uuid4().hex if c.version else ""
-        if c.version:
-            for t in ("sections", "pixels"):
-                self._write(self._table(c, t), replace(c, name=to, version=version), t)
-        self._put(replace(c, name=to, version=version))
+        for t, keys in (("pixels", ["pyramid_level", "section_id"]), ("sections", [])):
+            self._fs.mkdirs(self._path(self._dir(to, t)))
+            source._table(c.name, t).write.mode("append").partitionBy(*keys).parquet(self._dir(to, t))
+        self._put(replace(c, name=to))
         return 1
 
     def _change(self, name: str, **what) -> int:
@@ -130,119 +140,245 @@ class Catalog:
         c = self.get(name)
         return -1 if c is None or c.pixel != "MULTIBAND" or not c.default_bands else int(c.auto_ndvi)
 
+    def set_palette(self, name: str, palette: Sequence[tuple[int, int, int]]) -> int:
+        """The colours of a PALETTE coverage, 256 at most."""
+        c = self.get(name)
+        return 0 if c is None or c.pixel != "PALETTE" or len(palette) > 256 else self._change(name, palette=[tuple(map(int, p)) for p in palette])
+
+    def merge_palette(self, name: str, palette: Sequence[tuple[int, int, int]]) -> list[int] | None:
+        """Colours that the coverage lacks are appended; returns the number of each given colour in it, None beyond 256."""
+        c = self.get(name)
+        if c is None or c.pixel != "PALETTE":
+            return None
+        merged = list(dict.fromkeys([*c.palette, *(tuple(map(int, p)) for p in palette)]))
+        if len(merged) > 256:
+            return None
+        if merged != c.palette:
+            self._change(name, palette=merged)
+        return [merged.index(tuple(map(int, p))) for p in palette]
+
+    def set_style(self, name: str, style: str, document: str) -> int:
+        """A style document that maps can name, case-insensitively."""
+        c = self.get(name)
+        return 0 if c is None else self._change(name, styles={**c.styles, style.lower(): document})
+
     def names(self) -> list[str]:
         path = self._path(f"{self.root}/_catalog")
         return sorted(x.getPath().getName()[:-5] for x in self._fs.listStatus(path)) if self._fs.exists(path) else []
 
     # -- data
 
-    def _table(self, c: Coverage, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{c.name.lower()}/{table}-{c.version}")
+    def _dir(self, name: str, table: str, level: int | None = None, section_id: int | None = None) -> str:
+        out = f"{self.root}/{name.lower()}/{table}"
+        return out if level is None else f"{out}/pyramid_level={level}" if section_id is None else f"{out}/pyramid_level={level}/section_id={section_id}"
 
-    def _write(self, df: DataFrame, c: Coverage, table: str) -> None:
-        by = ["pyramid_level"] if table == "pixels" else []
-        df.write.partitionBy(*by).parquet(f"{self.root}/{c.name.lower()}/{table}-{c.version}")
+    def _table(self, name: str, table: str) -> DataFrame:
+        if table == "sections":
+            return self.spark.read.schema(SECTIONS).parquet(self._dir(name, table))
+        return self.spark.read.schema(PIXELS).parquet(self._dir(name, table))
 
     def sections(self, name: str) -> DataFrame:
-        return self._table(self.get(name), "sections")
+        return self._table(self.get(name).name, "sections")
+
+    def section_ids(self, name: str, section: str) -> list[int]:
+        """The numbers of the sections of that name; several are ambiguous."""
+        return [r[0] for r in self.sections(name).where(F.col("section_name") == section).select("section_id").orderBy("section_id").collect()]
 
     def pixels(self, name: str, level: int | None = None, section_id: int | None = None) -> DataFrame:
-        px = self._table(self.get(name), "pixels")
+        px = self._table(self.get(name).name, "pixels")
         if level is not None:
             px = px.where(F.col("pyramid_level") == level)
         return px if section_id is None else px.where(F.col("section_id") == section_id)
 
-    def _replace(self, c: Coverage, sections: DataFrame, px: DataFrame) -> None:
-        new = replace(c, version=uuid.uuid4().hex)
-        self._write(sections, new, "sections")
-        self._write(px, new, "pixels")
-        self._put(new)
+    def levels(self, name: str, section_id: int | None = None) -> list[int]:
+        """The pyramid levels there are, from the names of folders."""
+        base = self._path(self._dir(self.get(name).name, "pixels"))
+        found = [int(x.getPath().getName().partition("=")[2]) for x in self._fs.listStatus(base) if "pyramid_level=" in x.getPath().getName()] if self._fs.exists(base) else []
+        if section_id is not None:
+            found = [k for k in found if self._fs.exists(self._path(self._dir(name, "pixels", k, section_id)))]
+        return sorted(k for k in found if list(self._fs.listStatus(self._path(self._dir(name, "pixels", k)))))
 
-    def load(self, name: str, section: str, px: DataFrame, width: int, height: int, minx: float, maxy: float, xres: float | None = None, yres: float | None = None, source: str = "") -> int:
-        """Add a section: px has r, c and bands (array<double>).  0 if its resolution isn't the coverage's."""
+    def fits(self, c: Coverage, xres: float, yres: float) -> bool:
+        tolerance = 1e-6 if c.strict else 0.01
+        return c.mixed or (abs(xres - c.xres) <= c.xres * tolerance and abs(yres - c.yres) <= c.yres * tolerance)
+
+    def load(
+        self, name: str, section: str, px: DataFrame, width: int, height: int, minx: float, maxy: float, xres: float | None = None, yres: float | None = None,
+        source: str = "", pyramidize: bool = False,
+    ) -> int:
+        """Add a section: px has r, c and bands (array<double>).  0 if its resolution isn't the coverage's or its name is taken."""
         c = self.get(name)
         if c is None or width <= 0 or height <= 0:
             return -1
         xres, yres = xres or c.xres, yres or c.yres
-        tolerance = 1e-6 if c.strict else 0.01
-        if not c.mixed and (abs(xres - c.xres) > c.xres * tolerance or abs(yres - c.yres) > c.yres * tolerance):
+        if not self.fits(c, xres, yres) or self.section_ids(name, section):
             return 0
-        old = self.sections(name) if c.version else None
-        if old is not None and not old.where(F.col("section_name") == section).isEmpty():
-            return 0
-        number = 1 if old is None else 1 + (old.agg(F.max("section_id")).first()[0] or 0)
-        row = (number, section, width, height, source, xres, yres, minx, maxy - height * yres, minx + width * xres, maxy)
-        schema = "section_id int, section_name string, width int, height int, file_path string, xres double, yres double, minx double, miny double, maxx double, maxy double"
-        sections = self.spark.createDataFrame([row], schema)
-        cells = px.select(F.lit(number).alias("section_id"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("bands").cast("array<double>").alias("bands"))
-        cells = pixels.tiled(cells, c.tile_w, c.tile_h, width).withColumn("pyramid_level", F.lit(0))
-        if old is not None:
-            sections, cells = old.unionByName(sections), self.pixels(name).unionByName(cells)
-        self._replace(c, sections, cells)
+        self._append(c, [(section, width, height, source, xres, yres, minx, maxy)], px.withColumn("_at", F.lit(0)), pyramidize)
         return 1
 
+    def _append(self, c: Coverage, rows: list[tuple], px: DataFrame, pyramidize: bool) -> list[int]:
+        """Sections (name, width, height, path, xres, yres, minx, maxy) and their pixels, which _at numbers from 0 in order."""
+        first = 1 + (self._table(c.name, "sections").agg(F.max("section_id")).first()[0] or 0)
+        numbered = [(first + i, n, w, h, path, x, y, minx, maxy - h * y, minx + w * x, maxy) for i, (n, w, h, path, x, y, minx, maxy) in enumerate(rows)]
+        for number, *_ in numbered:  # what an earlier load that failed left there
+            self._fs.delete(self._path(self._dir(c.name, "pixels", 0, number)), True)
+        widths = self.spark.createDataFrame([(i, r[2]) for i, r in enumerate(numbered)], "_at int, _w int")
+        cells = px.join(F.broadcast(widths), "_at") if len(rows) > 1 else px.withColumn("_w", F.lit(rows[0][1]))
+        cells = cells.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("bands").cast("array<double>").alias("bands"), "_w", (F.col("_at") + first).cast("int").alias("section_id"))
+        row, col = F.floor(F.col("r") / c.tile_h), F.floor(F.col("c") / c.tile_w)
+        cells = cells.withColumns({"tile_row": row, "tile_col": col, "tile_id": row * F.ceil(F.col("_w") / c.tile_w) + col, "pyramid_level": F.lit(0)}).drop("_w")
+        cells.write.mode("append").partitionBy("pyramid_level", "section_id").parquet(self._dir(c.name, "pixels"))
+        self.spark.createDataFrame(numbered, SECTIONS).coalesce(1).write.mode("append").parquet(self._dir(c.name, "sections"))
+        ids = [r[0] for r in numbered]
+        if pyramidize:
+            for i in ids:
+                self.pyramidize(c.name, section_id=i)
+        return ids
+
     def delete_section(self, name: str, section_id: int) -> int:
         c = self.get(name)
-        if c is None or not c.version or self.sections(name).where(F.col("section_id") == section_id).isEmpty():
+        if c is None or self.sections(name).where(F.col("section_id") == section_id).isEmpty():
             return 0
-        self._replace(c, self.sections(name).where(F.col("section_id") != section_id), self.pixels(name).where(F.col("section_id") != section_id))
+        # the table of sections is small: it is written anew beside itself and takes its place
+        new, old = f"{self._dir(c.name, 'sections')}-{uuid.uuid4().hex}", self._path(self._dir(c.name, "sections"))
+        self.sections(name).where(F.col("section_id") != section_id).write.parquet(new)
+        self._fs.delete(old, True)
+        self._fs.rename(self._path(new), old)
+        for k in self.levels(name):
+            self._fs.delete(self._path(self._dir(c.name, "pixels", k, section_id)), True)
         return 1
 
-    def pyramidize(self, name: str, top: int = 1) -> int:
-        """Levels 1 to top at 1:8 each, section by section; an existing pyramid is built anew."""
+    def pyramidize(self, name: str, top: int = 1, section_id: int | None = None, force: bool = False, factor: int = FACTOR) -> int:
+        """Levels 1 to top at 1:factor each of all sections or one; those that have a pyramid keep it unless force is set."""
         c = self.get(name)
-        if c is None or not c.version:
+        if c is None or (section_id is not None and self.sections(name).where(F.col("section_id") == section_id).isEmpty()):
             return 0
+        if force:
+            self.depyramidize(name, section_id)
+        base = self.pixels(name, 0, section_id)
+        if 1 in self.levels(name):
+            base = base.join(self.pixels(name, 1).select("section_id").distinct(), "section_id", "left_anti")
         names = [f"b{i}" for i in range(c.bands)]
-        below = self.pixels(name, 0).select("section_id", "r", "c", *[F.element_at("bands", i + 1).alias(n) for i, n in enumerate(names)])
-        out, whole = self.pixels(name, 0), c.sample not in ("FLOAT", "DOUBLE")
+        below = base.select("section_id", "r", "c", *[F.element_at("bands", i + 1).alias(n) for i, n in enumerate(names)])
+        wide = self.sections(name).agg(F.max("width")).first()[0]
         for k in range(1, top + 1):
-            below = pyramid.reduced(below, 8, names, c.nodata, ["section_id"], whole)
-            level = below.select("section_id", "r", "c", F.array(*names).alias("bands"))
-            wide = self.sections(name).agg(F.max("width")).first()[0]
-            out = out.unionByName(pixels.tiled(level, c.tile_w, c.tile_h, max(1, -(-wide // 8**k))).withColumn("pyramid_level", F.lit(k)))
-        self._replace(c, self.sections(name), out)
+            below = pyramid.reduced(below, factor, names, c.nodata, ["section_id"], c.sample not in ("FLOAT", "DOUBLE"))
+            level = pixels.tiled(below.select("section_id", "r", "c", F.array(*names).alias("bands")), c.tile_w, c.tile_h, max(1, -(-wide // factor**k)))
+            level.withColumn("pyramid_level", F.lit(k)).repartition("section_id", "tile_row").write.mode("append").partitionBy("pyramid_level", "section_id").parquet(self._dir(c.name, "pixels"))
+        return 1
+
+    def pyramidize_monolithic(self, name: str, levels: int = 1) -> int:
+        """Pyramids of the whole coverage, later sections over earlier ones, as levels of section 0; an older one is replaced."""
+        c = self.get(name)
+        if c is None or c.mixed:
+            return 0
+        for k in self.levels(name, 0):
+            self._fs.delete(self._path(self._dir(c.name, "pixels", k, 0)), True)
+        box = statistics.extent(self.sections(name)).first()
+        if box.minx is None:
+            return 0
+        names = [f"b{i}" for i in range(c.bands)]
+        placed = self.pixels(name, 0).join(self.sections(name).select("section_id", F.col("minx").alias("sminx"), F.col("maxy").alias("smaxy")), "section_id")
+        whole = lambda x: F.round(x).cast("long")
+        at = placed.withColumns({"out_x": F.col("c") + whole((F.col("sminx") - box.minx) / c.xres), "out_y": F.col("r") + whole((F.lit(box.maxy) - F.col("smaxy")) / c.yres)})
+        nodata = F.array(*[F.lit(v) for v in c.nodata])
+        below = pixels.mosaic(at.where(F.col("bands") != nodata), F.struct("section_id", "r", "c"), ["bands"])
+        below = below.select(F.col("out_y").alias("r"), F.col("out_x").alias("c"), *[F.element_at("bands", i + 1).alias(n) for i, n in enumerate(names)])
+        wide = round((box.maxx - box.minx) / c.xres)
+        for k in range(1, levels + 1):
+            below = pyramid.reduced(below, FACTOR, names, c.nodata, [], c.sample not in ("FLOAT", "DOUBLE"))
+            level = pixels.tiled(below.select("r", "c", F.array(*names).alias("bands")), c.tile_w, c.tile_h, max(1, -(-wide // FACTOR**k)))
+            level.write.parquet(self._dir(c.name, "pixels", k, 0))
         return 1
 
     def depyramidize(self, name: str, section_id: int | None = None) -> int:
         c = self.get(name)
-        if c is None or not c.version:
+        if c is None:
             return 0
-        self._replace(c, self.sections(name), pyramid.without_pyramid(self.pixels(name), section_id))
+        for k in self.levels(name):
+            if k > 0:
+                self._fs.delete(self._path(self._dir(c.name, "pixels", k, section_id)), True)
         return 1
 
-    def statistics(self, name: str) -> DataFrame:
-        """(band, n, no_data, min, max, mean, ssd, k, var, stddev) of a coverage, from its tiles' partials."""
+    def statistics(self, name: str, section_id: int | None = None) -> DataFrame:
+        """(band, n, no_data, min, max, mean, ssd, k, var, stddev) of a coverage or a section, from its tiles' partials."""
         c = self.get(name)
-        flat = self.pixels(name, 0).select("section_id", "tile_id", F.posexplode("bands").alias("band", "v"))
+        flat = self.pixels(name, 0, section_id).select("section_id", "tile_id", F.posexplode("bands").alias("band", "v"))
         nodata = F.element_at(F.array(*[F.lit(x) for x in c.nodata]), F.col("band") + 1)
         flat = flat.withColumn("v", F.when(F.col("v") != nodata, F.col("v")))
         parts = statistics.partials(flat, ["section_id", "tile_id", "band"])
         return statistics.variance(statistics.merged(parts, ["band"]))
 
-    def pixel_at(self, name: str, points: DataFrame) -> DataFrame:
-        """points (x, y, ...) with the bands below them, of the section loaded last; NO-DATA where there is none."""
-        c = self.get(name)
+    def sampled(self, name: str, points: DataFrame, level: int = 0) -> DataFrame:
+        """(x, y, bands) of the distinct points (x, y) that lie on a pixel of a level, of the section loaded last.
+
+        Sections are filed under the cells of a grid as wide as they are on average, so that a point finds those
+        that may hold it by an equal key.
+        """
         boxes = self.sections(name).select("section_id", "minx", "miny", "maxx", "maxy", "xres", "yres")
-        mark = points.withColumn("_p", F.xxhash64(*points.columns))
+        size = boxes.agg(F.avg(F.col("maxx") - F.col("minx")).alias("w"), F.avg(F.col("maxy") - F.col("miny")).alias("h")).first()
+        if size.w is None:
+            return points.select("x", "y").limit(0).withColumn("bands", F.lit(None).cast("array<double>"))
+        key = lambda v, side: F.floor(v / F.lit(side)).cast("long")
+        span = lambda a, b, side: F.explode(F.sequence(key(F.col(a), side), key(F.col(b), side)))
+        filed = boxes.withColumn("gx", span("minx", "maxx", size.w)).withColumn("gy", span("miny", "maxy", size.h))
+        cells = points.select("x", "y").distinct().withColumns({"gx": key(F.col("x"), size.w), "gy": key(F.col("y"), size.h)})
         inside = (F.col("x") >= F.col("minx")) & (F.col("x") <= F.col("maxx")) & (F.col("y") >= F.col("miny")) & (F.col("y") <= F.col("maxy"))
-        met = mark.join(F.broadcast(boxes.limit(100_000)) if boxes.count() <= 100_000 else boxes, inside)
-        cell = met.withColumns({"r": pixels.trunc((F.col("maxy") - F.col("y")) / F.col("yres")), "c": pixels.trunc((F.col("x") - F.col("minx")) / F.col("xres"))})
-        got = cell.join(self.pixels(name, 0).select("section_id", "r", "c", "bands"), ["section_id", "r", "c"])
-        top = got.groupBy("_p").agg(F.max_by("bands", "section_id").alias("bands"))
-        nodata = F.array(*[F.lit(x) for x in c.nodata])
-        return mark.join(top, "_p", "left").withColumn("bands", F.coalesce("bands", nodata)).drop("_p")
-
-    def raw(self, name: str, width: int, height: int, minx: float, maxy: float, xres: float, level: int = 0, section_id: int | None = None) -> DataFrame:
-        """(out_y, out_x, bands): a window of cells, later sections over earlier ones, NO-DATA where there is none."""
-        c = self.get(name)
-        step = 8**level
-        boxes = self.sections(name).select("section_id", F.col("minx").alias("sminx"), F.col("maxy").alias("smaxy"), F.col("xres").alias("sres"))
-        px = self.pixels(name, level, section_id).join(boxes, "section_id")
-        x = (F.col("sminx") + (F.col("c") + 0.5) * F.col("sres") * step - minx) / xres
-        y = (F.lit(maxy) - (F.col("smaxy") - (F.col("r") + 0.5) * F.col("sres") * step)) / xres
+        step = FACTOR**level
+        met = cells.join(filed, ["gx", "gy"]).where(inside)
+        met = met.select("section_id", "x", "y", pixels.trunc((F.col("maxy") - F.col("y")) / (F.col("yres") * step)).alias("r"), pixels.trunc((F.col("x") - F.col("minx")) / (F.col("xres") * step)).alias("c"))
+        got = met.join(self.pixels(name, level).select("section_id", "r", "c", "bands"), ["section_id", "r", "c"])
+        nodata = F.array(*[F.lit(v) for v in self.get(name).nodata])
+        return got.where(F.col("bands") != nodata).groupBy("x", "y").agg(F.max_by("bands", "section_id").alias("bands"))
+
+    def pixel_at(self, name: str, points: DataFrame, level: int = 0) -> DataFrame:
+        """points (x, y, ...) with the bands below them at a level, of the section loaded last; NO-DATA where there is none."""
+        got = self.sampled(name, points, level).select(F.col("x").alias("_x"), F.col("y").alias("_y"), "bands")
+        nodata = F.array(*[F.lit(v) for v in self.get(name).nodata])
+        met = points.join(got, F.col("x").eqNullSafe(F.col("_x")) & F.col("y").eqNullSafe(F.col("_y")), "left").drop("_x", "_y")
+        return met.withColumn("bands", F.coalesce("bands", nodata))
+
+    def level_of(self, name: str, xres: float, yres: float) -> int | None:
+        """The level whose resolution is the given one, within the coverage's tolerance; the last such, None if there is none."""
+        c = self.get(name)
+        tolerance = 1e-6 if c.strict else 0.01
+        found = [k for k in self.levels(name) if abs(c.xres * FACTOR**k - xres) <= xres * tolerance and abs(c.yres * FACTOR**k - yres) <= yres * tolerance]
+        return found[-1] if found else None
+
+    def best_level(self, name: str, xres: float, yres: float) -> int:
+        """The coarsest level that is not coarser than asked for, else the base."""
+        c = self.get(name)
+        return max((k for k in self.levels(name) if c.xres * FACTOR**k <= xres and c.yres * FACTOR**k <= yres), default=0)
+
+    def raw(self, name: str, width: int, height: int, minx: float, maxy: float, xres: float, level: int = 0, section_id: int | None = None, yres: float | None = None) -> DataFrame:
+        """(out_y, out_x, bands): a window of cells, later sections over earlier ones, NO-DATA where there is none.
+
+        Sections beside the window are not read: the join's key is the folder.  Rows and columns outside of what
+        the window can need of any section are left by filters that reach the scan.
+        """
+        c = self.get(name)
+        step, yres = FACTOR**level, yres or xres
+        maxx, miny = minx + width * xres, maxy - height * yres
+        boxes = self.sections(name).where(pixels.intersects(minx, miny, maxx, maxy))
+        if section_id is not None:
+            boxes = boxes.where(F.col("section_id") == section_id)
+        row = lambda y: (F.col("maxy") - y) / (F.col("yres") * step)
+        col = lambda x: (x - F.col("minx")) / (F.col("xres") * step)
+        need = boxes.agg(F.min(row(F.lit(maxy))), F.max(row(F.lit(miny))), F.min(col(F.lit(minx))), F.max(col(F.lit(maxx)))).first()
+        boxes = boxes.select("section_id", F.col("minx").alias("sminx"), F.col("maxy").alias("smaxy"), F.col("xres").alias("sx"), F.col("yres").alias("sy"))
+        px = self.pixels(name, level, section_id)
+        if need[0] is not None:
+            px = px.where((F.col("r") >= int(need[0]) - 1) & (F.col("r") <= int(need[1]) + 1) & (F.col("c") >= int(need[2]) - 1) & (F.col("c") <= int(need[3]) + 1))
+        px = px.join(boxes, "section_id")
+        x = (F.col("sminx") + (F.col("c") + 0.5) * F.col("sx") * step - minx) / xres
+        y = (F.lit(maxy) - (F.col("smaxy") - (F.col("r") + 0.5) * F.col("sy") * step)) / yres
         nodata = F.array(*[F.lit(v) for v in c.nodata])
         cells = px.where((x >= 0) & (y >= 0) & (x < width) & (y < height) & (F.col("bands") != nodata)).withColumns({"out_x": pixels.trunc(x), "out_y": pixels.trunc(y)})
         top = pixels.mosaic(cells, F.struct("section_id", "tile_id", "r", "c"), ["bands"])
-        grid = self.spark.range(height).select(F.col("id").alias("out_y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("out_x"))
-        return grid.join(top, ["out_y", "out_x"], "left").withColumn("bands", F.coalesce("bands", nodata))
+        return window(self.spark, width, height).join(top, ["out_y", "out_x"], "left").withColumn("bands", F.coalesce("bands", nodata))
+
+
+def window(spark: SparkSession, width: int, height: int) -> DataFrame:
+    """(out_y, out_x) of every cell."""
+    across: Column = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")))
+    return spark.range(height).select(F.col("id").alias("out_y"), across.alias("out_x"))

@@ -32,7 +32,7 @@ def _window(catalog: Catalog, name: str, width: int, height: int, box: Sequence[
     if not fits(width, height, box, res, res):
         return -1
     c = catalog.get(name)
-    if c is None or not c.version or (bands is not None and not all(0 <= b < c.bands for b in bands)):
+    if c is None or (bands is not None and not all(0 <= b < c.bands for b in bands)):
         return 0
     if section_id is not None and catalog.sections(name).where(F.col("section_id") == section_id).isEmpty():
         return 0

@@ -40,6 +40,58 @@ def encode_png(x: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
+PNG = b"\x89PNG\r\n\x1a\n"
+
+
+def decode_png(b: bytes) -> np.ndarray:
+    """(h, w, bands) of a PNG without interlacing: gray, RGB, either with alpha, or palette indices."""
+    if b[:8] != PNG:
+        raise ValueError("no PNG")
+    at, data, head = 8, b"", None
+    while at + 8 <= len(b):
+        size, tag = struct.unpack(">I4s", b[at : at + 8])
+        part = b[at + 8 : at + 8 + size]
+        if tag == b"IHDR":
+            head = struct.unpack(">IIBBBBB", part)
+        elif tag == b"IDAT":
+            data += part
+        at += 12 + size
+    if head is None or head[6]:
+        raise ValueError("this kind of PNG isn't read")
+    w, h, bits, kind = head[:4]
+    bands = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+    wide = (w * bands * bits + 7) // 8
+    back = max(1, bands * bits // 8)
+    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, wide + 1)
+    out = np.zeros((h, wide), np.uint8)
+    above = np.zeros(wide, np.uint8)
+    for y in range(h):
+        how, line = lines[y, 0], lines[y, 1:].copy()
+        if how == 1:  # to the left: sums modulo 256 per byte of a pixel
+            for k in range(back):
+                line[k::back] = np.cumsum(line[k::back], dtype=np.uint8)
+        elif how == 2:
+            line += above
+        elif how in (3, 4):
+            row, up = line.tolist(), above.tolist()
+            for i in range(wide):
+                left, upper_left = (row[i - back], up[i - back]) if i >= back else (0, 0)
+                if how == 3:
+                    guess = (left + up[i]) // 2
+                else:
+                    p = left + up[i] - upper_left
+                    guess = min((left, up[i], upper_left), key=lambda v, p=p: abs(p - v))
+                row[i] = (row[i] + guess) & 255
+            line = np.array(row, np.uint8)
+        out[y] = above = line
+    if bits == 16:
+        return out.view(">u2").astype(np.uint16).reshape(h, w, bands)
+    if bits < 8:
+        per = np.unpackbits(out, axis=1).reshape(h, -1, bits)
+        out = (per * (1 << np.arange(bits - 1, -1, -1))).sum(axis=2).astype(np.uint8)[:, :w]
+    return out.reshape(h, w, bands)
+
+
 def encode_tiff(x: np.ndarray, sample: str, geo: tuple[float, float, float, float] | None = None, srid: int | None = None, compress: bool = False) -> bytes:
     """(h, w, bands) in strips of 64 rows; geo: x and y resolution, least x, largest y."""
     kind = np.dtype("<" + SAMPLES[sample][3])
@@ -136,24 +188,6 @@ def read_tiff(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, r long, c long, bands array<double>")
 
 
-def sniff(files: DataFrame) -> DataFrame:
-    """Metadata of binaryFile rows: path, bytes, md5, width, height, bands, bits, error."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    x, tags = decode_tiff(content)
-                    rows.append({"path": path, "width": x.shape[1], "height": x.shape[0], "bands": x.shape[2], "bits": tags[258][0], "error": None})
-                except (ValueError, KeyError, struct.error, zlib.error) as error:
-                    rows.append({"path": path, "width": None, "height": None, "bands": None, "bits": None, "error": str(error)})
-            schema = pa.schema([("path", pa.string()), ("width", pa.int64()), ("height", pa.int64()), ("bands", pa.int64()), ("bits", pa.int64()), ("error", pa.string())])
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return files.select("path", "content").mapInArrow(run, "path string, width long, height long, bands long, bits long, error string")
-
-
 def gathered(cells: DataFrame, width: int, height: int, bands: int) -> np.ndarray:
     """A dense window (out_y, out_x, bands) as an array on the driver: for images, of MAX_SIDE squared at most."""
     if width * height > MAX_SIDE * MAX_SIDE:

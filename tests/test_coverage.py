@@ -1,13 +1,18 @@
 """Coverages end to end: creation, sections, points, windows, pyramids, exports, styles, streaming."""
 
+import hashlib
+import struct
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import vector
+from gridloom.plans import load
 from gridloom.plans.coverage import Catalog
 from gridloom.plans.styles import parse_raster_style
-from gridloom.sources import ascii_grid, images, raw
+from gridloom.sources import ascii_grid, files, images, raw
 from gridloom.streaming import ingest
 
 
@@ -82,13 +87,87 @@ def test_tiff_round_trip(spark, tmp_path, compress):
     (tmp_path / "b.tif").write_bytes(b"junk")
     back, tags = images.decode_tiff((tmp_path / "a.tif").read_bytes())
     assert (back == x).all() and images.georeference(tags) == (0.5, 0.5, 10.0, 20.0)
-    files = spark.read.format("binaryFile").load(str(tmp_path))
-    found = {r.path[-5:]: r for r in images.sniff(files).collect()}
-    assert found["a.tif"].width == 7 and found["b.tif"].error
-    px = images.read_tiff(files.where("path like '%a.tif'"))
+    found_files = spark.read.format("binaryFile").load(str(tmp_path))
+    found = {r.path[-5:]: r for r in files.headers(found_files).collect()}
+    assert found["a.tif"].width == 7 and found["a.tif"].sample == "UINT8" and found["b.tif"].error
+    assert found["a.tif"].md5 == hashlib.md5((tmp_path / "a.tif").read_bytes()).hexdigest()
+    px = files.cells(found_files.where("path like '%a.tif'"))
     assert px.count() == 130 * 7 and px.where("r = 5 and c = 6").first().bands == x[5, 6].tolist()
 
 
+def filtered_png(x):
+    """A PNG whose rows use all five filters in turn."""
+    h, w, n = x.shape
+    rows, up = b"", np.zeros(w * n, int)
+    for y in range(h):
+        line = x[y].reshape(-1).astype(int)
+        left = np.concatenate([np.zeros(n, int), line[:-n]])
+        corner = np.concatenate([np.zeros(n, int), up[:-n]])
+        p = left + up - corner
+        best = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+        guess = [0 * line, left, up, (left + up) // 2, best][y % 5]
+        rows += bytes([y % 5]) + ((line - guess) % 256).astype(np.uint8).tobytes()
+        up = line
+    chunk = lambda tag, data: struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data))
+    return images.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 2: 4, 3: 2, 4: 6}[n], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("bands", [1, 2, 3, 4])
+def test_png_filters(bands):
+    x = np.random.default_rng(bands).integers(0, 256, (11, 7, bands)).astype(np.uint8)
+    assert np.array_equal(images.decode_png(filtered_png(x)), x)
+
+
+def test_loading_by_path(catalog, spark, tmp_path):
+    """A folder of a TIFF, a PNG with a world file, an ASCII grid, and files that are refused."""
+    src = tmp_path / "in"
+    src.mkdir()
+    a, b = np.arange(12, dtype=float).reshape(3, 4, 1), np.full((2, 2), 77, np.uint8)
+    (src / "a.tif").write_bytes(images.encode_tiff(a, "UINT8", (1.0, 1.0, 0.0, 3.0)))
+    (src / "b.png").write_bytes(images.encode_png(b))
+    (src / "b.pgw").write_text(images.world_file(1.0, 1.0, 10.0, 2.0))
+    (src / "c.asc").write_text("ncols 2\nnrows 1\nxllcenter 20.5\nyllcorner 0\ncellsize 1\nnodata_value 0\n5 6\n")
+    (src / "d.tif").write_bytes(images.encode_tiff(a, "UINT8", (2.0, 2.0, 0.0, 3.0)))
+    (src / "e.tif").write_bytes(b"junk")
+    assert catalog.create("g", "UINT8", "DATAGRID", 1, tile_w=256, tile_h=256) == 1
+    assert load.load_rasters_from_dir(catalog, "none", str(src)) == -1
+    assert load.load_raster(catalog, "g", str(src / "d.tif")) == 0 and load.load_raster(catalog, "g", str(src / "b.png")) == 0
+    assert load.load_raster(catalog, "g", str(src / "a.tif"), force_srid=4326) == 0
+    assert load.load_rasters_from_dir(catalog, "g", str(src), with_world=True, pyramidize=True) == 1
+    assert [(r.section_name, r.minx, r.maxy, r.width) for r in catalog.sections("g").orderBy("section_id").collect()] == [("a", 0, 3, 4), ("b", 10, 2, 2), ("c", 20, 1, 2)]
+    assert load.load_raster(catalog, "g", str(src / "a.tif")) == 0
+    points = spark.createDataFrame([(1.5, 0.5), (11.5, 0.5), (21.5, 0.5)], "x double, y double")
+    assert {p.x: p.bands[0] for p in catalog.pixel_at("g", points).collect()} == {1.5: 9.0, 11.5: 77.0, 21.5: 6.0}
+    assert catalog.levels("g") == [0, 1] and catalog.pixels("g", 1).count() == 3
+    assert load.import_section_raw_pixels(catalog, "g", "r", 2, 1, b"\x01\x02", (30.0, 0.0, 32.0, 1.0)) == 1
+    assert load.import_section_raw_pixels(catalog, "g", "r2", 2, 1, b"\x01", (30.0, 0.0, 32.0, 1.0)) == 0
+
+
+def test_a_load_writes_its_own_section_alone(catalog, spark, tmp_path):
+    """Bytes written don't grow with what is there, points are found by equal keys, and levels and sections are folders."""
+    assert catalog.create("g", "INT16", "DATAGRID", 1, tile_w=256, tile_h=256, nodata=[-1]) == 1
+    held = []
+    for k in range(4):
+        px = spark.range(400).select(F.floor(F.col("id") / 20).alias("r"), (F.col("id") % 20).alias("c"), F.array(F.col("id").cast("double") + k).alias("bands"))
+        assert catalog.load("g", f"s{k}", px, 20, 20, 20.0 * k, 20.0) == 1
+        held.append(sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")))
+    steps = np.diff([0, *held])
+    assert max(steps) < 1.3 * min(steps)
+    points = spark.createDataFrame([(70.5, 0.5)], "x double, y double")
+    plan = catalog.pixel_at("g", points)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert catalog.raw("g", 5, 5, 41.0, 19.0, 1.0).agg(F.sum(F.col("bands")[0])).first()[0] == sum(20 * r + c + 2 for r in range(1, 6) for c in range(1, 6))
+    assert catalog.pyramidize_monolithic("g") == 1 and catalog.levels("g") == [0, 1]
+    assert catalog.pyramidize("g", section_id=2) == 1 and catalog.levels("g", 2) == [0, 1] and catalog.levels("g", 1) == [0]
+    assert catalog.depyramidize("g", 2) == 1 and catalog.levels("g", 2) == [0]
+
+
+def test_palettes(catalog):
+    assert catalog.create("p", "UINT8", "PALETTE", 1, tile_w=256, tile_h=256, palette=[(0, 0, 0), (255, 0, 0)]) == 1
+    assert catalog.merge_palette("p", [(255, 0, 0), (1, 2, 3)]) == [1, 2] and catalog.get("p").palette[2] == (1, 2, 3)
+    assert catalog.merge_palette("p", [(i, 9, 9) for i in range(255)]) is None and catalog.set_palette("p", [(1, 1, 1)]) == 1
+
+
 def test_png_and_world_file():
     assert images.encode_png(np.zeros((2, 3, 4))).startswith(b"\x89PNG")
     assert images.parse_world_file(images.world_file(0.5, 0.25, 10.0, 20.0)) == (0.5, 0.25, 10.0, 20.0)
