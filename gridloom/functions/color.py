@@ -81,3 +81,10 @@ def scale_denominator(xres: float, yres: float, geographic: bool = False) -> flo
     """The standard scale of a resolution, for pixels of 0.28 mm."""
     res = math.sqrt(xres * yres) * (6378137.0 * 2 * math.pi / 360 if geographic else 1.0)
     return res / 0.000254 * (0.28 / 0.254)
+
+
+def channels_of(colour) -> tuple[int, int, int] | None:
+    """(r, g, b) of #rrggbb, None for what is none."""
+    if not isinstance(colour, str) or len(colour) != 7 or colour[0] != "#" or not all(x in "0123456789abcdefABCDEF" for x in colour[1:]):
+        return None
+    return tuple(int(colour[i : i + 2], 16) for i in (1, 3, 5))

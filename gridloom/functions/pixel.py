@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..types import PIXELS, SAMPLES
+from .buffers import GRAYS
 
 PIXEL = "struct<sample_type:string,pixel_type:string,bands:array<double>,transparent:boolean>"
 PALETTE = "array<struct<r:int,g:int,b:int>>"
@@ -121,3 +122,28 @@ def set_palette_color(palette: Column, index: Column, text: Column) -> Column:
 
 def palette_equals(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), -1).otherwise((a == b).cast("int"))
+
+
+def palette_index(palette: Column, text: Column) -> Column:
+    """The number of the first entry of a colour #rrggbb, or null."""
+    at = F.array_position(palette, parsed_color(text))
+    return F.when(at > 0, (at - 1).cast("int"))
+
+
+def palette_union(a: Column, b: Column) -> Column:
+    """Distinct colours of a, then those of b that it lacks; null beyond 256."""
+    every = F.array_union(a, b)
+    return F.when(F.size(every) <= 256, every)
+
+
+def palette_type(palette: Column) -> Column:
+    """struct<sample_type, pixel_type> by its distinct colours: a bitmap's, a gray scale's, or a palette of so many bits."""
+    colours = F.array_distinct(palette)
+    n = F.size(colours)
+    gray = lambda levels: F.array(*[F.struct(*[F.lit(x).alias(c) for c in "rgb"]) for x in levels])
+    kind = F.when(colours == gray(GRAYS["1-BIT"]), "MONOCHROME")
+    for levels in (GRAYS["2-BIT"], GRAYS["4-BIT"]):
+        kind = kind.when(colours == gray(levels), "GRAYSCALE")
+    every = (n == 256) & F.forall(F.sequence(F.lit(0), F.lit(255)), lambda i: (F.get(colours, i).r == i) & (F.get(colours, i).g == i) & (F.get(colours, i).b == i))
+    sample = F.when(n <= 2, "1-BIT").when(n <= 4, "2-BIT").when(n <= 16, "4-BIT").otherwise("UINT8")
+    return F.when(palette.isNotNull(), F.struct(sample.alias("sample_type"), kind.when(every, "GRAYSCALE").otherwise("PALETTE").alias("pixel_type")))

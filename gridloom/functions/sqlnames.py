@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import zlib
 
 from pyspark.sql import SparkSession
 
@@ -10,8 +11,10 @@ from .. import __version__
 from ..types import PIXELS, SAMPLES
 from .pixel import LIMITS, PALETTE, PIXEL
 
-#: Codecs for which the engine can read or write tiles: Parquet pages, zlib and lzma; PNG is written.
-CODECS = {"none": 1, "deflate": 1, "deflate_no": 1, "lzma": 1, "lzma_no": 1, "jpeg": 0, "png": 1, "fax4": 0, "charls": 0, "webp": 0, "ll_webp": 0, "jp2": 0, "ll_jp2": 0}
+#: Codecs for which the engine reads and writes images: none, zlib, PNG; others have no decoder here.
+CODECS = {"none": 1, "deflate": 1, "deflate_no": 1, "lzma": 0, "lzma_no": 0, "jpeg": 0, "png": 1, "fax4": 0, "charls": 0, "webp": 0, "ll_webp": 0, "jp2": 0, "ll_jp2": 0}
+#: Versions of the libraries below, none for those that the engine does without.
+VERSIONS = {"cairo": None, "curl": None, "zlib": zlib.ZLIB_VERSION, "lzma": None, "png": None, "jpeg": None, "tiff": None, "geotiff": None, "webp": None, "charLS": None, "openJPEG": None}
 STATS = "struct<sample_type:string,no_data:double,count:double,bands:array<struct<min:double,max:double,mean:double,sum_sq_diff:double,histogram:array<double>>>>"
 
 _S = ", ".join(f"'{s}'" for s in SAMPLES)
@@ -60,16 +63,25 @@ FUNCTIONS = {
     "GetBandStatistics_Var": (f"s {STATS}, b int", "double", _VAR),
     "GetBandStatistics_StdDev": (f"s {STATS}, b int", "double", f"sqrt({_VAR})"),
     "engine_version": ("", "string", f"'{__version__}'"),
+    **{f"{name}_version": ("", "string", f"'{value}'" if value else "CAST(NULL AS STRING)") for name, value in VERSIONS.items()},
+    "version": ("", "string", f"'{__version__}'"),
     "target_cpu": ("", "string", f"'{sys.platform}'"),
     **{f"has_codec_{name}": ("", "int", str(yes)) for name, yes in CODECS.items()},
 }
 
 
-def register(spark: SparkSession) -> list[str]:
-    """Make the functions known to the session's SQL; returns their names."""
+#: Names that Spark has for functions of its own; these are known with a prefix only.
+TAKEN = {"version"}
+
+
+def register(spark: SparkSession, prefix: str = "") -> list[str]:
+    """Make the functions known to the session's SQL, each name with a prefix where queries spell them so; returns the names."""
+    made = []
     for name, (parameters, kind, body) in FUNCTIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
-    return list(FUNCTIONS)
+        if prefix or name not in TAKEN:
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({parameters}) RETURNS {kind} RETURN {body}")
+            made.append(prefix + name)
+    return made
 
 
 def max_threads(spark: SparkSession) -> int:

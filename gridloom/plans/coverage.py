@@ -309,8 +309,8 @@ class Catalog:
         parts = statistics.partials(flat, ["section_id", "tile_id", "band"])
         return statistics.variance(statistics.merged(parts, ["band"]))
 
-    def sampled(self, name: str, points: DataFrame, level: int = 0) -> DataFrame:
-        """(x, y, bands) of the distinct points (x, y) that lie on a pixel of a level, of the section loaded last.
+    def sampled(self, name: str, points: DataFrame, level: int = 0, keys: Sequence[str] = ("x", "y")) -> DataFrame:
+        """keys and bands of the points (x, y) that lie on a pixel of a level, of the section loaded last; other keys than x, y tell points apart.
 
         Sections are filed under the cells of a grid as wide as they are on average, so that a point finds those
         that may hold it by an equal key.
@@ -318,18 +318,19 @@ class Catalog:
         boxes = self.sections(name).select("section_id", "minx", "miny", "maxx", "maxy", "xres", "yres")
         size = boxes.agg(F.avg(F.col("maxx") - F.col("minx")).alias("w"), F.avg(F.col("maxy") - F.col("miny")).alias("h")).first()
         if size.w is None:
-            return points.select("x", "y").limit(0).withColumn("bands", F.lit(None).cast("array<double>"))
+            return points.select(*keys).limit(0).withColumn("bands", F.lit(None).cast("array<double>"))
         key = lambda v, side: F.floor(v / F.lit(side)).cast("long")
         span = lambda a, b, side: F.explode(F.sequence(key(F.col(a), side), key(F.col(b), side)))
         filed = boxes.withColumn("gx", span("minx", "maxx", size.w)).withColumn("gy", span("miny", "maxy", size.h))
-        cells = points.select("x", "y").distinct().withColumns({"gx": key(F.col("x"), size.w), "gy": key(F.col("y"), size.h)})
+        cells = points.select("x", "y").distinct() if tuple(keys) == ("x", "y") else points.select(*keys, "x", "y")
+        cells = cells.withColumns({"gx": key(F.col("x"), size.w), "gy": key(F.col("y"), size.h)})
         inside = (F.col("x") >= F.col("minx")) & (F.col("x") <= F.col("maxx")) & (F.col("y") >= F.col("miny")) & (F.col("y") <= F.col("maxy"))
         step = FACTOR**level
         met = cells.join(filed, ["gx", "gy"]).where(inside)
-        met = met.select("section_id", "x", "y", pixels.trunc((F.col("maxy") - F.col("y")) / (F.col("yres") * step)).alias("r"), pixels.trunc((F.col("x") - F.col("minx")) / (F.col("xres") * step)).alias("c"))
+        met = met.select("section_id", *keys, pixels.trunc((F.col("maxy") - F.col("y")) / (F.col("yres") * step)).alias("r"), pixels.trunc((F.col("x") - F.col("minx")) / (F.col("xres") * step)).alias("c"))
         got = met.join(self.pixels(name, level).select("section_id", "r", "c", "bands"), ["section_id", "r", "c"])
         nodata = F.array(*[F.lit(v) for v in self.get(name).nodata])
-        return got.where(F.col("bands") != nodata).groupBy("x", "y").agg(F.max_by("bands", "section_id").alias("bands"))
+        return got.where(F.col("bands") != nodata).groupBy(*keys).agg(F.max_by("bands", "section_id").alias("bands"))
 
     def pixel_at(self, name: str, points: DataFrame, level: int = 0) -> DataFrame:
         """points (x, y, ...) with the bands below them at a level, of the section loaded last; NO-DATA where there is none."""

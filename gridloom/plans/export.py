@@ -1,7 +1,7 @@
 """Exports of a coverage's window, whole or of one section: TIFF with or without georeference, PNG, ASCII and NDVI grids.
 
 Each takes width, height, a box (minx, miny, maxx, maxy) and a resolution, and gives 1 (done), 0 (no such coverage
-or section, or bands that it lacks) or -1 (a size that the box and the resolution don't make, within 1 %).
+or section, bands that it lacks, or a resolution that no level has) or -1 (a size that the box and the resolution don't make, within 1 %).
 Images are bounded by the guard of images.gathered; grids are written by Spark, a row of the grid per record.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import ndvi
-from ..sources import ascii_grid, images
+from ..sources import ascii_grid, images, raw
 from .coverage import Catalog
 
 NO_NDVI = -9999.0
@@ -28,15 +28,19 @@ def fits(width: int, height: int, box: Sequence[float], xres: float, yres: float
     return abs(width * xres - wide) <= wide / 100 and abs(height * yres - high) <= high / 100
 
 
-def _window(catalog: Catalog, name: str, width: int, height: int, box: Sequence[float], res: float, section_id: int | None, bands: Sequence[int] | None) -> DataFrame | int:
-    if not fits(width, height, box, res, res):
+def _window(catalog: Catalog, name: str, width: int, height: int, box: Sequence[float], res: float, section_id: int | None, bands: Sequence[int] | None, yres: float | None = None) -> DataFrame | int:
+    yres = yres or res
+    if not fits(width, height, box, res, yres):
         return -1
     c = catalog.get(name)
     if c is None or (bands is not None and not all(0 <= b < c.bands for b in bands)):
         return 0
     if section_id is not None and catalog.sections(name).where(F.col("section_id") == section_id).isEmpty():
         return 0
-    cells = catalog.raw(name, width, height, box[0], box[3], res, 0, section_id)
+    level = catalog.level_of(name, res, yres)
+    if level is None:
+        return 0
+    cells = catalog.raw(name, width, height, box[0], box[3], res, level, section_id, yres)
     return cells if bands is None else cells.withColumn("bands", F.array(*[F.element_at("bands", b + 1) for b in bands]))
 
 
@@ -53,16 +57,18 @@ def _put(catalog: Catalog, path: str, content: bytes) -> None:
 def write_tiff(
     catalog: Catalog, name: str, path: str, width: int, height: int, box: Sequence[float], res: float,
     section_id: int | None = None, bands: Sequence[int] | None = None, geo: bool = True, world_file: str | None = None, compress: bool = False,
+    yres: float | None = None,
 ) -> int:
     """geo: with GeoTIFF tags; world_file: a path for it; bands: one or three by number, all without."""
-    cells = _window(catalog, name, width, height, box, res, section_id, bands)
+    yres = yres or res
+    cells = _window(catalog, name, width, height, box, res, section_id, bands, yres)
     if isinstance(cells, int):
         return cells
     c = catalog.get(name)
     x = images.gathered(cells, width, height, c.bands if bands is None else len(bands))
-    _put(catalog, path, images.encode_tiff(x, c.sample, (res, res, box[0], box[3]) if geo else None, c.srid, compress))
+    _put(catalog, path, images.encode_tiff(x, c.sample, (res, yres, box[0], box[3]) if geo else None, c.srid, compress))
     if world_file:
-        _put(catalog, world_file, images.world_file(res, res, box[0], box[3]).encode())
+        _put(catalog, world_file, images.world_file(res, yres, box[0], box[3]).encode())
     return 1
 
 
@@ -80,7 +86,7 @@ def write_png(catalog: Catalog, name: str, path: str, width: int, height: int, b
     return 1
 
 
-def write_ascii_grid(catalog: Catalog, name: str, path: str, width: int, height: int, box: Sequence[float], res: float, section_id: int | None = None) -> int:
+def write_ascii_grid(catalog: Catalog, name: str, path: str, width: int, height: int, box: Sequence[float], res: float, section_id: int | None = None, centred: bool = False, digits: int = 8) -> int:
     """Of single-band coverages; 0 for others."""
     cells = _window(catalog, name, width, height, box, res, section_id, None)
     if isinstance(cells, int):
@@ -88,11 +94,11 @@ def write_ascii_grid(catalog: Catalog, name: str, path: str, width: int, height:
     c = catalog.get(name)
     if c.bands != 1:
         return 0
-    ascii_grid.write(cells.withColumn("v", F.element_at("bands", 1)), path, width, height, box[0], box[1], res, c.nodata[0])
+    ascii_grid.write(cells.withColumn("v", F.element_at("bands", 1)), path, width, height, box[0], box[1], res, c.nodata[0], centred=centred, digits=digits)
     return 1
 
 
-def write_ndvi_ascii_grid(catalog: Catalog, name: str, path: str, width: int, height: int, box: Sequence[float], res: float, red: int, nir: int, section_id: int | None = None) -> int:
+def write_ndvi_ascii_grid(catalog: Catalog, name: str, path: str, width: int, height: int, box: Sequence[float], res: float, red: int, nir: int, section_id: int | None = None, centred: bool = False, digits: int = 8) -> int:
     """The normalised difference of two bands; NO_NDVI where the pixel is NO-DATA or both bands are 0."""
     cells = _window(catalog, name, width, height, box, res, section_id, None)
     if isinstance(cells, int):
@@ -102,5 +108,14 @@ def write_ndvi_ascii_grid(catalog: Catalog, name: str, path: str, width: int, he
         return 0
     nodata = F.array(*[F.lit(v) for v in c.nodata])
     value = F.when(F.col("bands") != nodata, ndvi(F.element_at("bands", red + 1), F.element_at("bands", nir + 1)))
-    ascii_grid.write(cells.withColumn("v", F.coalesce(value, F.lit(NO_NDVI))), path, width, height, box[0], box[1], res, NO_NDVI)
+    ascii_grid.write(cells.withColumn("v", F.coalesce(value, F.lit(NO_NDVI))), path, width, height, box[0], box[1], res, NO_NDVI, centred=centred, digits=digits)
     return 1
+
+
+def raw_pixels(catalog: Catalog, name: str, width: int, height: int, box: Sequence[float], xres: float, yres: float | None = None, section_id: int | None = None, big_endian: bool = False) -> bytes | None:
+    """The window as a buffer of samples; None where a window or level isn't there.  Rows are encoded by Spark."""
+    cells = _window(catalog, name, width, height, box, xres, section_id, None, yres)
+    if isinstance(cells, int) or width * height > images.MAX_SIDE**2:
+        return None
+    rows = raw.encode(cells, catalog.get(name).sample, big_endian)
+    return b"".join(bytes(r.content) for r in sorted(rows.collect(), key=lambda r: r.out_y))

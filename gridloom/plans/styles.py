@@ -44,6 +44,27 @@ class RasterStyle:
     def stretched(self, v: Column, low: Column, high: Column) -> Column:
         return C.gamma(v, low, high, self.gamma) if self.contrast == "gamma" else C.stretched(v, low, high)
 
+    def mapped(self, v: Column) -> Column:
+        """struct<r, g, b> of a value by the colour map."""
+        if self.categories:
+            base, steps = self.categories
+            out = F.lit(base)
+            for at, colour in sorted(steps):
+                out = F.when(v >= at, colour).otherwise(out)
+            return rgb(F.coalesce(F.when(v.isNotNull(), out), F.lit(self.fallback)))
+        if self.points:
+            return C.interpolate(v, [(a, channels(t)) for a, t in self.points], channels(self.fallback))
+        raise ValueError("the style has no colour map")
+
+
+def channels(colour: str) -> tuple[int, int, int]:
+    return tuple(int(colour[i : i + 2], 16) for i in (1, 3, 5))
+
+
+def rgb(colour: Column) -> Column:
+    """struct<r, g, b> of #rrggbb."""
+    return F.struct(*[F.conv(F.substring(colour, i, 2), 16, 10).cast("int").alias(n) for n, i in (("r", 2), ("g", 4), ("b", 6))])
+
 
 def _tag(e) -> str:
     return e.tag.rpartition("}")[2]

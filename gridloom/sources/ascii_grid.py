@@ -43,18 +43,18 @@ def number(v) -> str:
     return "0" if text in ("", "-0") else text
 
 
-def lines(cells: DataFrame, width: int, height: int, minx: float, miny: float, res: float, nodata: float, value: str = "v", row: str = "out_y", col: str = "out_x") -> DataFrame:
-    """(at, line): header lines, then one line per row; a cell's text has trailing zeros cut."""
+def lines(cells: DataFrame, width: int, height: int, minx: float, miny: float, res: float, nodata: float, value: str = "v", row: str = "out_y", col: str = "out_x", centred: bool = False, digits: int = 8) -> DataFrame:
+    """(at, line): header lines, of the lower left pixel's corner or centre, then one line per row; a cell's text has trailing zeros cut."""
     spark = cells.sparkSession
-    top = [("ncols", width), ("nrows", height), ("xllcorner", f"{minx:1.8f}"), ("yllcorner", f"{miny:1.8f}"), ("cellsize", f"{res:1.8f}"), ("NODATA_value", number(nodata))]
+    top = [("ncols", width), ("nrows", height), *[(f"{k}ll{'center' if centred else 'corner'}", f"{v + res / 2 * centred:1.8f}") for k, v in (("x", minx), ("y", miny))], ("cellsize", f"{res:1.8f}"), ("NODATA_value", number(nodata))]
     head = spark.createDataFrame([(i - 6, f"{k:<14}{v}") for i, (k, v) in enumerate(top)], "at long, line string")
-    shown = F.regexp_replace(F.regexp_replace(F.format_string("%.8f", F.col(value).cast("double")), r"0+$", ""), r"\.$", "")
+    shown = F.regexp_replace(F.format_string(f"%.{digits}f", F.col(value).cast("double")), r"\.0*$|(\.\d*?)0+$", "$1")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(col).alias("x"), shown.alias("t"))))
     body = cells.groupBy(F.col(row).cast("long").alias("at")).agg(F.array_join(F.transform(ordered, lambda s: s.t), " ").alias("line"))
     return head.unionByName(body)
 
 
-def write(cells: DataFrame, path: str, width: int, height: int, minx: float, miny: float, res: float, nodata: float, value: str = "v") -> None:
+def write(cells: DataFrame, path: str, width: int, height: int, minx: float, miny: float, res: float, nodata: float, value: str = "v", centred: bool = False, digits: int = 8) -> None:
     """A folder of text parts in row order, with CRLF line ends; one part per range of rows."""
-    out = lines(cells, width, height, minx, miny, res, nodata, value).orderBy("at").select("line")
+    out = lines(cells, width, height, minx, miny, res, nodata, value, centred=centred, digits=digits).orderBy("at").select("line")
     out.write.option("lineSep", "\r\n").text(path)
