@@ -257,9 +257,9 @@ def ascii_grid_rows(spark, d):
     return rows.select("out_y", F.array_join(F.transform("values", lambda v: v.cast("string")), " ").alias("line"))
 
 
-@query(IM + ", w AS (SELECT r, list(b0 ORDER BY c) AS v FROM im WHERE r BETWEEN 50 AND 149 GROUP BY r) SELECT r AS out_r, len(v) AS n, list_sum(v)::BIGINT AS total FROM w")
+@query(IM + ", w AS (SELECT r, list(b0 ORDER BY c) AS v FROM im GROUP BY r) SELECT r AS out_r, len(v) AS n, list_sum(v)::BIGINT AS total FROM w")
 def raw_rows(spark, d):
-    rows = X.rows_of(image(spark, d).where("r between 50 and 149"), "b0", "r", "c")
+    rows = X.rows_of(image(spark, d), "b0", "r", "c")
     return rows.select(F.col("r").alias("out_r"), F.size("values").cast("long").alias("n"), F.aggregate("values", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
@@ -406,9 +406,9 @@ def opacity_and_gray(spark, d):
     return image(spark, d).select("r", "c", C.blend(F.col("b0"), F.lit(255), 0.25).alias("v"), C.gray(F.col("b0"), F.col("b1"), F.col("b2")).alias("gray"))
 
 
-@query(IM + " SELECT r, c, '#' || lower(printf('%02x%02x%02x', b0, b1, b2)) AS color FROM im WHERE b0 < 256 AND b1 < 256 AND b2 < 256")
+@query(IM + " SELECT r, c, '#' || lower(printf('%02x%02x%02x', least(b0, 255), least(b1, 255), least(b2, 255))) AS color FROM im")
 def hex_colors(spark, d):
-    return image(spark, d).where("b0 < 256 and b1 < 256 and b2 < 256").select("r", "c", C.hex_color(F.col("b0"), F.col("b1"), F.col("b2")).alias("color"))
+    return image(spark, d).select("r", "c", C.hex_color(*[F.least(F.col(b), F.lit(255)) for b in ("b0", "b1", "b2")]).alias("color"))
 
 
 # -- vector layers
@@ -479,10 +479,23 @@ def _options() -> list[tuple]:
     return [(p, s, n, c) for p in PIXELS for s in SAMPLES for n in (1, 2, 3, 4, 5) for c in COMPRESSIONS]
 
 
+#: The combinations that may be, written out on their own.
+_PLAIN_SQL = "c IN ('NONE', 'DEFLATE', 'DEFLATE_NO', 'LZMA', 'LZMA_NO')"
+_RULES_SQL = f"""(p = 'MONOCHROME' AND s = '1-BIT' AND n = 1 AND ({_PLAIN_SQL} OR c IN ('PNG', 'CCITTFAX4')))
+OR (p = 'PALETTE' AND s IN ('1-BIT', '2-BIT', '4-BIT', 'UINT8') AND n = 1 AND ({_PLAIN_SQL} OR c IN ('GIF', 'PNG')))
+OR (p = 'GRAYSCALE' AND s IN ('2-BIT', '4-BIT', 'UINT8') AND n = 1 AND c NOT IN ('GIF', 'CCITTFAX4'))
+OR (p = 'RGB' AND s = 'UINT8' AND n = 3 AND c NOT IN ('GIF', 'CCITTFAX4'))
+OR (p = 'RGB' AND s = 'UINT16' AND n = 3 AND ({_PLAIN_SQL} OR c IN ('PNG', 'CHARLS', 'LOSSY_JP2', 'LOSSLESS_JP2')))
+OR (p = 'MULTIBAND' AND s = 'UINT8' AND n IN (3, 4) AND c NOT IN ('GIF', 'CCITTFAX4', 'JPEG'))
+OR (p = 'MULTIBAND' AND s = 'UINT16' AND n IN (3, 4) AND ({_PLAIN_SQL} OR c IN ('PNG', 'CHARLS', 'LOSSY_JP2', 'LOSSLESS_JP2')))
+OR (p = 'MULTIBAND' AND s IN ('UINT8', 'UINT16') AND (n = 2 OR n > 4) AND {_PLAIN_SQL})
+OR (p = 'DATAGRID' AND s IN ('UINT8', 'UINT16') AND n = 1 AND ({_PLAIN_SQL} OR c IN ('PNG', 'CHARLS', 'LOSSY_JP2', 'LOSSLESS_JP2')))
+OR (p = 'DATAGRID' AND s IN ('INT8', 'INT16', 'INT32', 'UINT32', 'FLOAT', 'DOUBLE') AND n = 1 AND {_PLAIN_SQL})"""
+
+
 def _allowed_sql() -> str:
-    rows = ", ".join(str(x) for x in allowed())
     lists = "SELECT p, s, n, c FROM (SELECT unnest({p}) AS p), (SELECT unnest({s}) AS s), (SELECT unnest([1, 2, 3, 4, 5]) AS n), (SELECT unnest({c}) AS c)".format(p=list(PIXELS), s=list(SAMPLES), c=list(COMPRESSIONS))
-    return f"WITH o AS ({lists}), a(p, s, lo, hi, c) AS (VALUES {rows}) SELECT p AS pixel, n::INT AS bands, count(*) AS combinations FROM o WHERE EXISTS (SELECT 1 FROM a WHERE a.p = o.p AND a.s = o.s AND a.c = o.c AND o.n BETWEEN a.lo AND a.hi) GROUP BY 1, 2"
+    return f"SELECT p AS pixel, n::INT AS bands, count(*) AS combinations FROM ({lists}) WHERE {_RULES_SQL} GROUP BY 1, 2"
 
 
 @query(_allowed_sql())
@@ -531,13 +544,13 @@ def sections(spark, d):
 # -- scalar functions by their SQL names, over columns
 
 
-_ONES = "SELECT r, c, least(b0, 255) AS v FROM im WHERE r < 500"
+_ONES = "SELECT r, c, least(b0, 255) AS v FROM im"
 
 
 @query(IM + f", x AS ({_ONES}) SELECT r, c, v::DOUBLE AS value, 'UINT8' AS sample_type, 'GRAYSCALE' AS pixel_type, 1 AS bands, 0 AS is_none, 1 AS valid, (v = 100)::INT AS same, 1 AS transparent FROM x")
 def sql_pixel_functions(spark, d):
     sqlnames.register(spark)
-    x = image(spark, d).where("r < 500").select("r", "c", F.least("b0", F.lit(255)).alias("v"))
+    x = image(spark, d).select("r", "c", F.least("b0", F.lit(255)).alias("v"))
     p = x.selectExpr("r", "c", "SetPixelValue(CreatePixel('UINT8', 'GRAYSCALE', 1), 0, v) AS p")
     return p.selectExpr(
         "r", "c", "GetPixelValue(p, 0) AS value", "GetPixelSampleType(p) AS sample_type", "GetPixelType(p) AS pixel_type", "GetPixelNumBands(p) AS bands", "IsPixelNone(p) AS is_none",

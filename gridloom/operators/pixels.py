@@ -95,15 +95,18 @@ def pick_bands(px: DataFrame, bands: Sequence[int], names: Sequence[str], source
 
 
 def palette_colors(px: DataFrame, palette: DataFrame, index: str = "v") -> DataFrame:
-    """Add r, g, b by a palette (idx, pr, pg, pb) of up to 256 entries, a size that the type bounds."""
-    return px.join(F.broadcast(palette.limit(256)), F.col(index) == F.col("idx"), "left").drop("idx")
+    """Add r, g, b by a palette (idx, pr, pg, pb); ValueError if it has more than the 256 entries that the type allows."""
+    if palette.limit(257).count() > 256:
+        raise ValueError("a palette has 256 entries at most")
+    return px.join(F.broadcast(palette), F.col(index) == F.col("idx"), "left").drop("idx")
 
 
 def with_neighbours(px: DataFrame, value: str = "v") -> DataFrame:
     """Add e: the 3x3 neighbourhood as an array of nine, row by row, nulls beyond the edges.
 
-    Each cell is sent to the nine cells that see it and gathered there by one grouping on the cell: work per
-    cell is fixed, and unlike windows over whole rows and columns no task holds a whole column.
+    Each cell is sent to the nine cells that see it and gathered there by one grouping on the cell.  Where a
+    partition holds neighbouring cells, they are gathered before the shuffle, which then has about a row per cell;
+    unlike windows over whole rows and columns no task holds a whole column.
     """
     offsets = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(3 * (1 - dr) + 1 - dc).alias("k")) for dr in (-1, 0, 1) for dc in (-1, 0, 1)])
     sent = px.select("r", "c", F.col(value).alias("v"), F.explode(offsets).alias("o"))
