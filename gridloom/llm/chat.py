@@ -77,8 +77,9 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted, segments, recovered, round_trip, escaped), one row per conv_id of rows (conv_id, turn, role, text).
 
     Turns go by turn, role and text, nulls first; repeated rows are turns of their own.  A null text or role is
-    empty.  Rows with a null conv_id are one conversation.  segments joined give formatted; the texts under the
-    loss mask are those whose loss is true.  An empty table gives no rows.
+    empty.  Rows with a null conv_id are one conversation.  segments joined give formatted, with the loss mask of
+    each; recovered is what the parser reads back from formatted.  Other columns are not read.  An empty table
+    gives no rows.
     """
     clean = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = clean.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
@@ -99,7 +100,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD).alias("text")
     )
     done = format_conversations(rows.union(hard))
-    under = F.array_join(F.transform(F.filter("segments", lambda s: s.loss), lambda s: unescape(s.text)), "")
+    under = F.array_join(F.transform(F.filter("recovered", lambda t: t.role == LEARNED), lambda t: t.text), "")  # as the parser reads it
     digest = F.array_join(F.transform("recovered", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return done.select(
         "conv_id", F.size("recovered").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),

@@ -17,10 +17,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only on a single machine where that is unset."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")

@@ -153,7 +153,8 @@ def near_duplicates(
     Vectors link if their labels are equal and not null, their lengths are equal and their cosine is at least
     `cosine`.  A vector that is null, empty, zero or holds null or non-finite components, or whose id is null,
     links with nothing: n_links 0, component_id its own id.  Equal vectors of a label are one class, hashed
-    once; its members link with each other, repeated rows too.  An empty table gives no rows.
+    once; its members link with each other, repeated rows too.  Other columns are not read.  An empty table gives
+    no rows.
     """
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("long").alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

@@ -83,8 +83,8 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOUR
     A document is its words and an end mark; one longer than a bin is cut into pieces from word `start` on, all
     full but the last.  Two pieces in a bin are never of the same cluster: `cluster` names a column, else it is
     all with the same words, A-Z lower-cased.  Null or empty texts are one mark long and conflict by source
-    alone.  A null source is a source.  Repeated rows are told apart by copy_no, from 1.  An empty table gives
-    no rows.
+    alone.  A null source is a source.  Repeated rows are told apart by copy_no, from 1.  Other columns are not
+    read.  An empty table gives no rows.
     """
     folded = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
     slim = docs.select("doc_id", "source", folded.alias("folded"), *([F.col(cluster).alias("given")] if cluster else []))

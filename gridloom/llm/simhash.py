@@ -126,7 +126,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     One row per input row.  Null or empty texts have the fingerprint zero and link like any other.  Repeated
     rows come out repeated; a row with a null id carries links but gives no id to its component, whose
-    component_id is null only if no row in it has an id.  An empty table gives no rows.
+    component_id is null only if no row in it has an id.  Other columns are not read.  An empty table gives no
+    rows.
     """
     prints = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
     named = _roots(prints, distance)

@@ -58,6 +58,13 @@ class Automaton:
                     z = self.fail[z]
                 self.fail[child], self.pops[child] = (self.step[z << 8 | b], n) if z >= 0 else (-1, n)
 
+    @classmethod
+    def of(cls, step: dict, fail: list, pops: list) -> Automaton:
+        """One whose tables are made already."""
+        out = cls.__new__(cls)
+        out.step, out.fail, out.pops = step, fail, pops
+        return out
+
     def length(self, text: bytes) -> int:
         """Pieces of the greedy longest match."""
         step, fail, pops, node, n = self.step, self.fail, self.pops, 0, 0
@@ -76,12 +83,14 @@ def counted(docs: DataFrame, pieces: list[bytes]) -> DataFrame:
     """doc_id, n_words, n_tokens, one row per row of docs (doc_id, text).
 
     Words are runs of anything but ASCII white space.  A null or empty text has none.  Repeated rows come out
-    repeated; an empty table gives no rows.  The vocabulary is of fixed size and goes to each worker once.
+    repeated; other columns are not read; an empty table gives no rows.  The automaton is made once, from a
+    vocabulary of fixed size, and goes to each worker as plain tables.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    made = Automaton(pieces)
+    shared = docs.sparkSession.sparkContext.broadcast((made.step, made.fail, made.pops))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, seen = Automaton(shared.value), {}
+        automaton, seen = Automaton.of(*shared.value), {}
         for batch in batches:
             n_words, n_tokens = [], []
             for text in raw(batch, "text"):

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 
 import duckdb
 from pyspark.sql import functions as F
@@ -33,6 +34,9 @@ def test_round_trip(spark):
     assert {r.conv_id: [(t.role, t.text) for t in r.recovered] for r in got} == source
     for r in got:
         assert r.round_trip and r.formatted == "".join(s.text for s in r.segments)
+        escaped = [s.text for s in r.segments if s.loss]
+        assert len(escaped) == sum(t.role == "assistant" for t in r.recovered)
+        assert [re.sub(rf"\\({chat.CONTROL})", r"\1", x) for x in escaped] == [t.text for t in r.recovered if t.role == "assistant"] if r.escaped else True
 
 
 def test_parser_rejects_what_is_not_of_the_grammar(spark):

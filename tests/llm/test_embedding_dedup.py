@@ -65,6 +65,23 @@ def test_recall_on_pairs_at_the_bound(spark):
     assert found >= 0.99 * 800
 
 
+def test_recall_on_the_table_with_perturbed_copies(spark):
+    """The given vectors and for each a copy turned by up to the bound's angle: links against brute force."""
+    rng = np.random.default_rng(11)
+    rows = [(r.vec_id, np.asarray(r.embedding, np.float64), r.label) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect() if r.embedding is not None and r.label is not None]
+    out = []
+    for i, v, label in rows:
+        w = rng.normal(size=len(v))
+        w -= (w @ v) / (v @ v) * v
+        c = rng.uniform(0.9801, 0.9999)
+        out += [(i, v.tolist(), label), (i + 1_000_000, (c * v + np.sqrt(1 - c * c) * np.linalg.norm(v) / np.linalg.norm(w) * w).tolist(), label)]
+    want = {(i, n) for i, n, _, _ in brute(out) if n}
+    frame = spark.createDataFrame(out, "vec_id long, embedding array<double>, label int")
+    got = {(r.vec_id, r.n_links) for r in embedding_dedup.near_duplicates(frame).collect() if r.n_links}
+    assert len(want) >= 2 * len(rows) * 0.99 and {i for i, _ in got} <= {i for i, _ in want}
+    assert len(got & want) >= 0.99 * len(want)
+
+
 def test_repeated_rows_null_ids_and_no_rows(spark):
     schema = "vec_id long, embedding array<float>, label int"
     rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (2, [0.0, 1.0], 0)]
