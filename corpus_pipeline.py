@@ -1,6 +1,7 @@
 """The corpus pipeline: quality rules, line dedup, SimHash near-dedup, mixing, packing.
 
-A stage takes (spark, docs, sf_dir); each is written as Parquet and reread before the next.
+A stage takes (spark, docs, sf_dir); each is written as Parquet and reread before the next.  All stages but the
+last return the columns of documents, in COLUMNS, and no others that docs may have.
 """
 
 from __future__ import annotations
