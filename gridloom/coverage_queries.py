@@ -522,7 +522,7 @@ def sql_opaque_functions(spark, d):
     )
 
 
-_HAS = {"none": 1, "deflate": 1, "deflate_no": 1, "lzma": 0, "lzma_no": 0, "jpeg": 0, "png": 1, "fax4": 0, "charls": 0, "webp": 0, "ll_webp": 0, "jp2": 0, "ll_jp2": 0}
+_HAS = {"none": 1, "deflate": 1, "deflate_no": 1, "lzma": 0, "lzma_no": 0, "jpeg": 1, "png": 1, "fax4": 0, "charls": 0, "webp": 0, "ll_webp": 0, "jp2": 0, "ll_jp2": 0}
 
 
 @query(" UNION ALL ".join(f"SELECT 'has_codec_{k}' AS name, '{v}' AS value" for k, v in _HAS.items()) + " UNION ALL " + " UNION ALL ".join(f"SELECT '{k}_version', NULL" for k in ("cairo", "curl", "lzma", "png", "jpeg", "tiff", "geotiff", "webp", "charLS", "openJPEG")) + " UNION ALL SELECT 'zlib', 'known' UNION ALL SELECT 'own', 'known' UNION ALL SELECT 'target_cpu', 'known'")
@@ -568,6 +568,83 @@ def smallest_areas_first(spark, d):
     return p.select(F.row_number().over(X.Window.orderBy(F.col("p_size") * F.col("p_retailprice"), "p_partkey")).cast("long").alias("n"), "p_partkey")
 
 
+_RULES = """<FeatureTypeStyle xmlns="http://www.opengis.net/se" xmlns:ogc="http://www.opengis.net/ogc">
+<Rule><Name>far</Name><MinScaleDenominator>1000000</MinScaleDenominator><PointSymbolizer><Graphic><Mark><Fill><SvgParameter name="fill">#ffffff</SvgParameter></Fill></Mark></Graphic></PointSymbolizer></Rule>
+<Rule><Name>small</Name><ogc:Filter><ogc:And><ogc:PropertyIsLessThan><ogc:PropertyName>P_SIZE</ogc:PropertyName><ogc:Literal>20</ogc:Literal></ogc:PropertyIsLessThan>
+<ogc:PropertyIsLike wildCard="%" singleChar="_" escapeChar="!"><ogc:PropertyName>p_brand</ogc:PropertyName><ogc:Literal>brand%</ogc:Literal></ogc:PropertyIsLike></ogc:And></ogc:Filter>
+<PointSymbolizer><Graphic><Mark><Fill><SvgParameter name="fill">#ff0000</SvgParameter></Fill></Mark><Size>1</Size></Graphic></PointSymbolizer></Rule>
+<Rule><Name>rest</Name><ElseFilter/><PointSymbolizer><Graphic><Mark><Fill><SvgParameter name="fill">#0000ff</SvgParameter></Fill></Mark><Size>3</Size></Graphic></PointSymbolizer></Rule></FeatureTypeStyle>"""
+
+
+@query(FT + """, d AS (SELECT 63 - floor(y)::BIGINT AS out_y, floor(x)::BIGINT AS out_x, 1 AS paint FROM ft WHERE p_size < 20 UNION ALL SELECT 63 - floor(y)::BIGINT + dy, floor(x)::BIGINT + dx, 2 FROM ft, (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx) WHERE p_size >= 20),
+t AS (SELECT out_y, out_x, max(paint) AS paint FROM d GROUP BY 1, 2), w AS (SELECT y.range AS out_y, x.range AS out_x FROM range(64) y, range(64) x)
+SELECT out_y, out_x, CASE paint WHEN 1 THEN 255 WHEN 2 THEN 0 ELSE 238 END AS r, CASE WHEN paint IS NULL THEN 238 ELSE 0 END AS g, CASE paint WHEN 1 THEN 0 WHEN 2 THEN 255 ELSE 238 END AS b FROM w LEFT JOIN t USING (out_y, out_x)""")
+def map_vector_style(spark, d):
+    """A registered layer drawn by a style document, from the PNG of its SQL name."""
+    cat, at = Catalog(spark, folder(spark)), folder(spark)
+    f = features(spark, d).select(F.col("p_partkey").alias("fid"), (F.col("x") + 0.5).alias("x"), (F.col("y") + 0.5).alias("y"), "p_size", "p_brand")
+    f.write.mode("overwrite").parquet(f"{at}/parts")
+    assert cat.set_vector("parts", f"{at}/parts", "point", {"sizes": _RULES}) == 1
+    content = calls.statement(cat, "SELECT GetMapImageFromVector(NULL, 'Parts', BuildMBR(0, 0, 64, 64), 64, 64, 'Sizes', 'image/png', '#eeeeee')")
+    px = files.cells(spark.createDataFrame([("x.png", bytearray(content))], "path string, content binary"))
+    return px.select(F.col("r").alias("out_y"), F.col("c").alias("out_x"), *[F.element_at("bands", k + 1).cast("int").alias(n) for k, n in enumerate("rgb")])
+
+
+@query(IM + """, s AS (SELECT r // 4096 AS section, b0 AS v FROM im), e AS (SELECT section, min(v) AS lo, max(v) AS hi FROM s GROUP BY 1), a AS (SELECT min(lo) AS lo, max(hi) AS hi FROM e),
+h AS (SELECT section, lo, hi, least(greatest(floor((v - lo) / ((hi - lo) / 255.0::DOUBLE)), 0), 255)::INT AS bin, count(*) AS n FROM s JOIN e USING (section) GROUP BY ALL)
+SELECT least(greatest(floor(((bin + 0.5::DOUBLE) * ((h.hi - h.lo) / 255.0::DOUBLE) + h.lo - a.lo) / ((a.hi - a.lo) / 255.0::DOUBLE)), 0), 255)::INT AS bin, sum(n)::BIGINT AS n FROM h, a GROUP BY 1""")
+def histogram_rebin(spark, d):
+    """Histograms of sections with bounds of their own, merged into the coverage's."""
+    s = image(spark, d).select(F.floor(F.col("r") / 4096).alias("section"), F.col("b0").alias("v"))
+    e = s.groupBy("section").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    low, high = e.agg(F.min("lo"), F.max("hi")).first()
+    at = F.least(F.greatest(F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / F.lit(255.0))), F.lit(0)), F.lit(255)).cast("int")
+    h = s.join(e, "section").groupBy("section", "lo", "hi", at.alias("bin")).agg(F.count("*").alias("n"))
+    return statistics.rebinned(h, low, high)
+
+
+@query("SELECT 'x' AS axis, 3.0 AS shift, 0.5 AS by_x, -2.0 AS by_y UNION ALL SELECT 'y', -7.0, 1.25, 4.0")
+def affine_fit(spark, d):
+    """The transformation that the points of `events` went through, found again by least squares."""
+    p = table(spark, d, "events").select((F.col("user_id") % 97).cast("double").alias("x"), (F.col("event_id") % 89).cast("double").alias("y"))
+    fit = statistics.affine(p.withColumns({"x2": 3.0 + 0.5 * F.col("x") - 2.0 * F.col("y"), "y2": -7.0 + 1.25 * F.col("x") + 4.0 * F.col("y")}))
+    return spark.createDataFrame([(k, *[round(v, 6) for v in row]) for k, row in zip("xy", fit, strict=True)], "axis string, shift double, by_x double, by_y double")
+
+
+@query("SELECT l_orderkey AS fid, count(*) FILTER (l_linenumber > 1) AS faces, count(*) FILTER (l_returnflag IS NOT NULL AND l_linenumber = 1) AS edges FROM lineitem GROUP BY 1")
+def topology_switches(spark, d):
+    """Sub-layers by their switches: faces have numbers above the outer one, edges are those that are set."""
+    li = table(spark, d, "lineitem")
+    return li.groupBy(F.col("l_orderkey").alias("fid")).agg(F.count_if(F.col("l_linenumber") > 1).alias("faces"), F.count_if(F.col("l_returnflag").isNotNull() & (F.col("l_linenumber") == 1)).alias("edges"))
+
+
+@query("SELECT n_name AS layer, r_name AS style, (row_number() OVER (ORDER BY r_name DESC, n_name))::BIGINT AS place FROM nation JOIN region ON lower(r_name) = lower(r_name) AND r_regionkey = n_regionkey")
+def styled_layers_in_order(spark, d):
+    """Layers with their styles, by kind from the last and name from the first."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    met = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("layer"), F.col("r_name").alias("style"))  # regions are few by what they are
+    return met.withColumn("place", F.row_number().over(X.Window.orderBy(F.desc("style"), "layer")).cast("long"))
+
+
+@query(SECTIONS + ", l AS (SELECT s, 0 AS level, r // 256 AS tr, c // 256 AS tc, count(*) AS n FROM se GROUP BY ALL UNION ALL SELECT s, 1, tr // 256, tc // 256, count(*) FROM (SELECT DISTINCT s, r // 8 AS tr, c // 8 AS tc FROM se) GROUP BY ALL) SELECT s AS section_id, CASE s WHEN 1 THEN 'a' ELSE 'b' END AS section_name, level AS pyramid_level, count(*) AS tiles, sum(n)::BIGINT AS cells FROM l GROUP BY ALL")
+def catalog_list(spark, d):
+    """Sections with their tiles and cells by level."""
+    from .__main__ import listed
+
+    cat = stored(spark, d)
+    cat.pyramidize("mb")
+    return listed(cat, "mb")
+
+
+@query("SELECT r.range AS r, c.range AS c, (r.range * 1000 + c.range)::DOUBLE AS v FROM range(300) r, range(270) c")
+def load_generated_tiles(spark, d):
+    """A section whose tiles a function makes."""
+    cat = Catalog(spark, folder(spark))
+    assert cat.create("t", "INT32", "DATAGRID", 1, tile_w=256, tile_h=256) == 1
+    assert load.load_tiles(cat, "t", "made", 270, 300, 0.0, 300.0, lambda r, c, w, h: [[[1000 * (r + i) + c + j] for j in range(w)] for i in range(h)]) == 1
+    return cat.pixels("t", 0).select("r", "c", F.element_at("bands", 1).alias("v"))
+
+
 # -- streaming
 
 

@@ -51,6 +51,25 @@ def binned(px: DataFrame, value: str = "v", bins: int = 256) -> DataFrame:
     return px.where(F.col(value).isNotNull()).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def rebinned(hist: DataFrame, low: float = 0.0, high: float = 0.0, keys: Sequence[str] = (), bins: int = 256) -> DataFrame:
+    """Histograms (lo, hi, bin, n) of several bounds as one over low to high: each bin's count goes where the bin's middle lies."""
+    middle = (F.col("bin") + 0.5) * ((F.col("hi") - F.col("lo")) / (bins - 1)) + F.col("lo")
+    step = (high - low) / (bins - 1)
+    at = F.least(F.greatest(F.floor((middle - F.lit(low)) / F.lit(step)), F.lit(0)), F.lit(bins - 1)) if step else F.lit(0)
+    return hist.groupBy(*keys, at.cast("int").alias("bin")).agg(F.sum("n").alias("n"))
+
+
+def affine(points: DataFrame) -> tuple[tuple[float, float, float], tuple[float, float, float]]:
+    """The least squares fit x2 = a + b x + c y, y2 = d + e x + f y of control points (x, y, x2, y2): sums by Spark, two 3 x 3 systems here."""
+    import numpy as np
+
+    x, y = F.col("x"), F.col("y")
+    names = {"n": F.lit(1.0), "x": x, "y": y, "xx": x * x, "xy": x * y, "yy": y * y, **{f"{p}{q}": F.col(p) * w for p in ("x2", "y2") for q, w in (("", F.lit(1.0)), ("x", x), ("y", y))}}
+    s = points.agg(*[F.sum(v).alias(k) for k, v in names.items()]).first()
+    m = np.array([[s.n, s.x, s.y], [s.x, s.xx, s.xy], [s.y, s.xy, s.yy]])
+    return tuple(tuple(float(v) for v in np.linalg.solve(m, [s[p], s[p + "x"], s[p + "y"]])) for p in ("x2", "y2"))
+
+
 def cumulative(hist: DataFrame) -> DataFrame:
     """A histogram (bin, n) of up to 256 bins with the count before each bin and the total."""
     up = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)

@@ -13,8 +13,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Row
 
+from ..functions import sqlnames
 from ..functions.color import channels_of
 from ..sources import fonts
+from ..types import tile_form
 from . import export, load, maps
 from .coverage import Catalog
 
@@ -159,7 +161,37 @@ def _map(catalog, attached, prefix, name, box, width, height, style="default", m
         return None
     if not reaspect and abs((box[2] - box[0]) / (box[3] - box[1]) - width / height) > 0.01 * width / height:
         return None
-    return maps.get_map_image(held, name, box, width, height, style, mime, background, bool(transparent))
+    return maps.get_map_image(held, name, box, width, height, style, mime, background, bool(transparent), quality)
+
+
+@named("GetMapImageFromVector")
+def _vector_map(catalog, attached, prefix, name, box, width, height, style="default", mime="image/png", background="#ffffff", transparent=0, quality=80, reaspect=0):
+    held, box = _of(catalog, attached, prefix), _box(box)
+    if held is None or box is None or not _kinds((name, width, height, style, mime, background), str, int, int, str, str, str) or channels_of(background) is None:
+        return None
+    if not reaspect and abs((box[2] - box[0]) / (box[3] - box[1]) - width / height) > 0.01 * width / height:
+        return None
+    return maps.get_vector_image(held, name, box, width, height, style, mime, background, bool(transparent), quality)
+
+
+@named("GetMaxThreads")
+def _threads(catalog, _):
+    return sqlnames.max_threads(catalog.spark)
+
+
+@named("SetMaxThreads")
+def _set_threads(catalog, _, n):
+    return sqlnames.set_max_threads(catalog.spark, n)
+
+
+@named("IsValidRasterTile")
+def _valid_tile(catalog, attached, prefix, name, level, tile, even=None):
+    """A tile here is a struct of sample_type, pixel_type, bands (a number) and compression."""
+    held = _of(catalog, attached, prefix)
+    c = held.get(name) if held is not None and isinstance(name, str) else None
+    if c is None or not _kinds((level,), int) or not isinstance(tile, Row):
+        return -1
+    return int((tile.pixel_type, tile.sample_type, tile.bands, tile.compression) == tile_form(c.pixel, c.sample, c.bands, c.compression, level))
 
 
 def _tile(catalog, attached, prefix, name, tile, bands, background, transparent):
@@ -278,6 +310,22 @@ for _name, _section, _ndvi in (("WriteAsciiGrid", False, False), ("WriteSectionA
     named(_name, files=True)(lambda catalog, attached, *values, s=_section, n=_ndvi: _grid(catalog, attached, values, s, n))
 
 
+def _jpeg(catalog, attached, values, section: bool, world: bool):
+    left = list(values)
+    take = lambda n=1: [left.pop(0) for _ in range(n)]
+    (prefix, name), part = take(2), take()[0] if section else None
+    (path, width, height, box, xres) = take(5)
+    yres, quality = take()[0] if left else xres, take()[0] if left else 80
+    held, box = _of(catalog, attached, prefix), _box(box)
+    if held is None or box is None or not _kinds((name, path, width, height, xres, yres, quality), str, str, int, int, NUMBER, NUMBER, int) or (section and not isinstance(part, int)):
+        return -1
+    return export.write_jpeg(held, name, path, width, height, box, xres, yres, part, quality, (path.rpartition(".")[0] or path) + ".jgw" if world else None)
+
+
+for _name, _section, _world in (("WriteJpeg", False, False), ("WriteJpegJgw", False, True), ("WriteSectionJpeg", True, False), ("WriteSectionJpegJgw", True, True)):
+    named(_name, files=True)(lambda catalog, attached, *values, s=_section, w=_world: _jpeg(catalog, attached, values, s, w))
+
+
 # -- fonts: the object is the file's bytes
 
 

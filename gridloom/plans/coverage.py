@@ -162,6 +162,26 @@ class Catalog:
         c = self.get(name)
         return 0 if c is None else self._change(name, styles={**c.styles, style.lower(): document})
 
+    # -- vector layers: Parquet tables of features with their styles
+
+    def set_vector(self, name: str, path: str, kind: str, styles: dict[str, str] | None = None) -> int:
+        """A layer of features (fid; x, y or path; attributes) at a path; kind: point, line or polygon."""
+        if kind not in ("point", "line", "polygon"):
+            return -1
+        out = self._fs.create(self._path(f"{self.root}/_vectors/{name.lower()}.json"), True)
+        try:
+            out.write(bytearray(json.dumps({"path": path, "kind": kind, "styles": styles or {}}), "utf-8"))
+        finally:
+            out.close()
+        return 1
+
+    def vector(self, name: str) -> dict | None:
+        path = f"{self.root}/_vectors/{name.lower()}.json"
+        return json.loads(self.spark.read.text(path, wholetext=True).first()[0]) if self._fs.exists(self._path(path)) else None
+
+    def features(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.vector(name)["path"])
+
     def names(self) -> list[str]:
         path = self._path(f"{self.root}/_catalog")
         return sorted(x.getPath().getName()[:-5] for x in self._fs.listStatus(path)) if self._fs.exists(path) else []

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import ndvi
-from ..sources import ascii_grid, images, raw
+from ..sources import ascii_grid, images, jpeg, raw
 from .coverage import Catalog
 
 NO_NDVI = -9999.0
@@ -86,6 +86,24 @@ def write_png(catalog: Catalog, name: str, path: str, width: int, height: int, b
     return 1
 
 
+def write_jpeg(
+    catalog: Catalog, name: str, path: str, width: int, height: int, box: Sequence[float], res: float, yres: float | None = None, section_id: int | None = None, quality: int = 80, world_file: str | None = None
+) -> int:
+    """Of bytes alone: one band as gray, three as RGB; 0 for others."""
+    yres = yres or res
+    cells = _window(catalog, name, width, height, box, res, section_id, None, yres)
+    if isinstance(cells, int):
+        return cells
+    c = catalog.get(name)
+    if c.sample != "UINT8" or c.pixel not in ("GRAYSCALE", "RGB", "MULTIBAND", "DATAGRID") or c.bands not in (1, 3):
+        return 0
+    x = images.gathered(cells, width, height, c.bands).astype(np.uint8)
+    _put(catalog, path, jpeg.encode(catalog.spark, x[:, :, 0] if c.bands == 1 else x, quality))
+    if world_file:
+        _put(catalog, world_file, images.world_file(res, yres, box[0], box[3]).encode())
+    return 1
+
+
 def write_ascii_grid(catalog: Catalog, name: str, path: str, width: int, height: int, box: Sequence[float], res: float, section_id: int | None = None, centred: bool = False, digits: int = 8) -> int:
     """Of single-band coverages; 0 for others."""
     cells = _window(catalog, name, width, height, box, res, section_id, None)

@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color as C
-from ..operators import pixels, statistics
-from ..sources import files, images
+from ..operators import pixels, statistics, vector
+from ..sources import files, images, jpeg
 from .coverage import Catalog, Coverage, window
-from .styles import RasterStyle, channels, parse_raster_style
+from .styles import RasterStyle, VectorRule, channels, parse_raster_style, parse_vector_style
 
 RGBA = ["r", "g", "b", "a"]
 
@@ -213,21 +213,26 @@ def array(cells: DataFrame | None, width: int, height: int) -> np.ndarray | None
     return images.gathered(cells.select("out_y", "out_x", F.array(*[F.col(n).cast("double") for n in RGBA]).alias("bands")), width, height, 4).astype(np.uint8)
 
 
-def encoded(cells: DataFrame | None, width: int, height: int, mime: str = "image/png") -> bytes | None:
-    """The image: PNG with alpha where any pixel has it, or TIFF; None for other types."""
-    if cells is None or mime not in ("image/png", "image/tiff"):
+MIMES = ("image/png", "image/tiff", "image/jpeg")
+
+
+def encoded(cells: DataFrame | None, width: int, height: int, mime: str = "image/png", quality: int = 80) -> bytes | None:
+    """The image: PNG with alpha where any pixel has it, TIFF or JPEG; None for other types."""
+    if cells is None or mime not in MIMES:
         return None
     x = array(cells, width, height)
+    if mime == "image/jpeg":
+        return jpeg.encode(cells.sparkSession, x[:, :, :3], quality)
     if mime == "image/tiff":
         return images.encode_tiff(x[:, :, :3], "UINT8")
     return images.encode_png(x if (x[:, :, 3] < 255).any() else x[:, :, :3])
 
 
-def get_map_image(catalog: Catalog, name: str, box: Sequence[float], width: int, height: int, style: str | None = None, mime: str = "image/png", background: str = "#ffffff", transparent: bool = False) -> bytes | None:
+def get_map_image(catalog: Catalog, name: str, box: Sequence[float], width: int, height: int, style: str | None = None, mime: str = "image/png", background: str = "#ffffff", transparent: bool = False, quality: int = 80) -> bytes | None:
     """The image of a map; None for arguments that are none, such as sides under 64 pixels."""
-    if width < 64 or height < 64 or mime not in ("image/png", "image/tiff"):
+    if width < 64 or height < 64 or mime not in MIMES:
         return None
-    return encoded(map_raster(catalog, name, box, width, height, style, background, transparent), width, height, mime)
+    return encoded(map_raster(catalog, name, box, width, height, style, background, transparent), width, height, mime, quality)
 
 
 def histogram_image(hist: DataFrame) -> DataFrame:
@@ -310,3 +315,49 @@ def map_vector(drawn: DataFrame, colours: DataFrame, width: int, height: int, ba
     top = drawn.join(colours, "fid").groupBy("out_y", "out_x").agg(F.max_by(F.struct(*RGBA), F.struct("paint", "fid")).alias("p"))
     cells = window(drawn.sparkSession, width, height).join(top, ["out_y", "out_x"], "left")
     return laid(cells.select("out_y", "out_x", *[F.col(f"p.{n}").alias(n) for n in "rgb"], F.coalesce("p.a", F.lit(0)).alias("a")), background, transparent)
+
+
+def map_layer(features: DataFrame, kind: str, rules: Sequence[VectorRule], box: Sequence[float], width: int, height: int, background: str = "#ffffff", transparent: bool = False) -> DataFrame:
+    """Features (fid; x, y or path; attributes) drawn by the first rule of each that holds at the map's scale; later rules and fids paint over earlier ones.
+
+    kind: point, line or polygon.  A polygon's stroke is painted over its fill.
+    """
+    scale = C.scale_denominator((box[2] - box[0]) / width, (box[3] - box[1]) / height)
+    kinds = {f.name: "number" if f.dataType.typeName() in ("integer", "long", "double", "float", "short", "decimal") else "text" for f in features.schema.fields}
+    tests = [(r.name, r.test(kinds), r.min_scale, r.max_scale) for r in rules if not r.otherwise]
+    last = next((r.name for r in rules if r.otherwise), None)
+    ruled = features.withColumn("_rule", vector.first_rule(tests, scale, last))
+    marks, colours = None, None
+    for k, r in enumerate(rules):
+        mine = ruled.where(F.col("_rule") == r.name)
+        parts = []
+        if kind == "point" and r.fill:
+            parts.append((points_drawn(mine, box, width, height, r.size), r.fill, r.fill_opacity))
+        if kind == "polygon" and r.fill:
+            parts.append((polygons_drawn(mine, box, width, height), r.fill, r.fill_opacity))
+        if kind in ("line", "polygon") and r.stroke:
+            path = F.concat("path", F.slice("path", 1, 1)) if kind == "polygon" else F.col("path")
+            parts.append((lines_drawn(mine.withColumn("path", path), box, width, height), r.stroke, r.stroke_opacity))
+        for j, (cells, colour, opacity) in enumerate(parts):
+            one = cells.withColumn("paint", F.lit(2 * k + j))
+            marks = one if marks is None else marks.unionByName(one)
+            row = (2 * k + j, *channels(colour), int(255 * opacity + 0.5))
+            colours = [row] if colours is None else [*colours, row]
+    if marks is None:
+        return blank(features.sparkSession, width, height, background, transparent)
+    table = F.broadcast(features.sparkSession.createDataFrame(colours, "paint int, r int, g int, b int, a int"))  # two rows a rule at most
+    top = marks.groupBy("out_y", "out_x").agg(F.max(F.struct("paint", "fid")).alias("m")).select("out_y", "out_x", F.col("m.paint").alias("paint")).join(table, "paint")
+    cells = window(features.sparkSession, width, height).join(top, ["out_y", "out_x"], "left")
+    return laid(cells.select("out_y", "out_x", "r", "g", "b", F.coalesce("a", F.lit(0)).alias("a")), background, transparent)
+
+
+def get_vector_image(catalog: Catalog, name: str, box: Sequence[float], width: int, height: int, style: str | None = None, mime: str = "image/png", background: str = "#ffffff", transparent: bool = False, quality: int = 80) -> bytes | None:
+    """The image of a vector layer of the catalog; None for an unknown layer or style, or arguments that are none."""
+    layer = catalog.vector(name)
+    if layer is None or width < 64 or height < 64 or mime not in MIMES:
+        return None
+    known = {k.lower(): v for k, v in layer["styles"].items()}
+    if style is not None and style.lower() != "default" and style.lower() not in known:
+        return None
+    rules = parse_vector_style(known[style.lower()]) if style is not None and style.lower() in known else [VectorRule("default", fill="#808080", stroke="#000000")]
+    return encoded(map_layer(catalog.features(name), layer["kind"], rules, box, width, height, background, transparent), width, height, mime, quality)

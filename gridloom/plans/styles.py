@@ -1,4 +1,4 @@
-"""Raster styles from SE / SLD documents, as expressions on band columns."""
+"""Styles from SE / SLD documents, as expressions on band and attribute columns."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import color as C
+from ..operators import vector
 
 
 @dataclass
@@ -115,3 +116,81 @@ def parse_raster_style(document: str) -> RasterStyle:
     if (e := _find(root, "ShadedRelief")) is not None:
         s.relief = float(_text(e, "ReliefFactor") or 55)
     return s
+
+
+@dataclass
+class VectorRule:
+    """One rule of a vector style: a filter, a range of scales, and how features are drawn."""
+
+    name: str
+    filter: ET.Element | None = None
+    otherwise: bool = False
+    min_scale: float | None = None
+    max_scale: float | None = None
+    fill: str | None = None
+    fill_opacity: float = 1.0
+    stroke: str | None = None
+    stroke_opacity: float = 1.0
+    size: int = 1
+
+    def test(self, kinds: dict[str, str]) -> Column | None:
+        """The filter over columns of given kinds (text or number); a column that isn't there matches nothing."""
+        return None if self.filter is None else _condition(self.filter, kinds)
+
+
+_COMPARES = {"PropertyIsEqualTo": "=", "PropertyIsNotEqualTo": "<>", "PropertyIsLessThan": "<", "PropertyIsGreaterThan": ">", "PropertyIsLessThanOrEqualTo": "<=", "PropertyIsGreaterThanOrEqualTo": ">="}
+
+
+def _condition(e: ET.Element, kinds: dict[str, str]) -> Column:
+    tag, parts = _tag(e), list(e)
+    if tag in ("And", "Or"):
+        tests = [_condition(x, kinds) for x in parts]
+        out = tests[0]
+        for t in tests[1:]:
+            out = out & t if tag == "And" else out | t
+        return out
+    if tag == "Not":
+        return ~_condition(parts[0], kinds)
+    named = (_text(e, "PropertyName") or "").lower()
+    column = next((c for c in kinds if c.lower() == named), None)
+    if column is None:
+        return F.lit(False)
+    col, kind = F.col(f"`{column}`"), kinds[column]
+    if tag in _COMPARES:
+        return vector.compare(col, kind, _COMPARES[tag], _text(e, "Literal"))
+    if tag == "PropertyIsBetween":
+        low, high = (_text(_find(e, side), "Literal") for side in ("LowerBoundary", "UpperBoundary"))
+        return vector.between(col, kind, low, high)
+    if tag == "PropertyIsLike":
+        return vector.like(col, _text(e, "Literal") or "", e.get("wildCard", "%"), e.get("singleChar", "_"), e.get("escapeChar", "\\"))
+    if tag == "PropertyIsNull":
+        return vector.is_null(col)
+    raise ValueError(f"no such filter: {tag}")
+
+
+def parse_vector_style(document: str) -> list[VectorRule]:
+    """Rules in their order."""
+    out = []
+    for k, e in enumerate(x for x in ET.fromstring(document).iter() if _tag(x) == "Rule"):
+        r = VectorRule(_text(e, "Name") or f"rule {k}")
+        found = _find(e, "Filter")
+        r.filter = None if found is None else list(found)[0]
+        r.otherwise = _find(e, "ElseFilter") is not None
+        for limit, name in (("min_scale", "MinScaleDenominator"), ("max_scale", "MaxScaleDenominator")):
+            if t := _text(e, name):
+                setattr(r, limit, float(t))
+        for x in e.iter():
+            if _tag(x) in ("Fill", "Stroke"):
+                values = {p.get("name"): (p.text or "").strip() for p in x if _tag(p) in ("SvgParameter", "CssParameter")}
+                kind = _tag(x).lower()
+                setattr(r, kind, values.get(kind, "#808080" if kind == "fill" else "#000000"))
+                setattr(r, f"{kind}_opacity", float(values.get(f"{kind}-opacity", 1)))
+        if t := _text(e, "Size"):
+            r.size = max(1, round(float(t)))
+        out.append(r)
+    return out
+
+
+def parse_group_style(document: str) -> list[tuple[str, str | None]]:
+    """(layer, style) of a group's document, from the bottom up."""
+    return [(_text(e, "Name"), _text(_find(e, "NamedStyle"), "Name")) for e in ET.fromstring(document).iter() if _tag(e) == "NamedLayer"]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import images
 
 #: The endings of world files by those of images.
-WORLD = {"tif": ("tfw", "tifw", "wld"), "tiff": ("tfw", "tifw", "wld"), "png": ("pgw", "pngw", "wld"), "asc": ()}
+WORLD = {"tif": ("tfw", "tifw", "wld"), "tiff": ("tfw", "tifw", "wld"), "png": ("pgw", "pngw", "wld"), "jpg": ("jgw", "jpgw", "wld"), "jpeg": ("jgw", "jpegw", "wld"), "gif": ("gfw", "wld"), "asc": ()}
 HEADER = "path string, kind string, bytes long, md5 string, width long, height long, bands int, sample string, xres double, yres double, minx double, maxy double, error string"
 _NAMES = [x.split()[0] for x in HEADER.split(", ")]
 _SAMPLES = {"u1": "UINT8", "i1": "INT8", "u2": "UINT16", "i2": "INT16", "u4": "UINT32", "i4": "INT32", "f4": "FLOAT", "f8": "DOUBLE"}

@@ -59,7 +59,7 @@ def test_results_for_odd_arguments(catalog, spark):
     assert catalog.load("g", "s", px, 64, 64, 0.0, 64.0) == 1
     box = "BuildMBR(0, 0, 64, 64)"
     assert run(f"SELECT GetMapImageFromRaster(NULL, 'g', {box}, 64, 64)")[:4] == b"\x89PNG" and run(f"SELECT GetMapImageFromRaster(NULL, 'g', {box}, 63, 64)") is None
-    for bad in ("NULL, 'none', {b}, 64, 64", "NULL, 'g', 1, 64, 64", "NULL, 'g', {b}, 64, 64, 'nosuch'", "NULL, 'g', {b}, 64, 64, 'default', 'image/jpeg'", "NULL, 'g', {b}, 64, 64, 'default', 'image/png', 'white'", "'other', 'g', {b}, 64, 64", "NULL, 'g', {b}, 128, 64"):
+    for bad in ("NULL, 'none', {b}, 64, 64", "NULL, 'g', 1, 64, 64", "NULL, 'g', {b}, 64, 64, 'nosuch'", "NULL, 'g', {b}, 64, 64, 'default', 'image/webp'", "NULL, 'g', {b}, 64, 64, 'default', 'image/png', 'white'", "'other', 'g', {b}, 64, 64", "NULL, 'g', {b}, 128, 64"):
         assert run(f"SELECT GetMapImageFromRaster({bad.format(b=box)})") is None
     assert run(f"SELECT GetMapImageFromRaster(NULL, 'g', {box}, 128, 64, 'default', 'image/tiff', '#ffffff', 0, 80, 1)")[:2] == b"II"
     pixel = run("SELECT GetPixelFromRasterByPoint(NULL, 'g', MakePoint(1.5, 62.5), 0)")

@@ -8,10 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import __main__ as command
 from gridloom.operators import vector
-from gridloom.plans import load
+from gridloom.plans import calls, load
 from gridloom.plans.coverage import Catalog
-from gridloom.plans.styles import parse_raster_style
+from gridloom.plans.styles import parse_group_style, parse_raster_style
 from gridloom.sources import ascii_grid, files, images, raw
 from gridloom.streaming import ingest
 
@@ -162,6 +163,58 @@ def test_a_load_writes_its_own_section_alone(catalog, spark, tmp_path):
     assert catalog.depyramidize("g", 2) == 1 and catalog.levels("g", 2) == [0]
 
 
+def test_jpeg(catalog, spark, tmp_path):
+    """A JPEG written, loaded again by its world file, within what the codec loses; a gray one by folder."""
+    x = np.repeat(np.repeat(np.array([[20, 200], [120, 90]]), 16, 0), 16, 1)
+    rgb = np.stack([x, 255 - x, x // 2], axis=2).astype(float)
+    assert catalog.create("c", "UINT8", "RGB", 3, tile_w=256, tile_h=256) == 1 and catalog.load("c", "s", cells(spark, rgb), 32, 32, 0.0, 32.0) == 1
+    box = "BuildMBR(0, 0, 32, 32)"
+    for name in ("WriteJpeg(NULL, 'c', ", "WriteSectionJpegJgw(NULL, 'c', 1, "):
+        assert calls.statement(catalog, f"SELECT {name}'{tmp_path}/a.jpg', 32, 32, {box}, 1.0, 1.0, 95)") == 1
+    assert (tmp_path / "a.jgw").exists() and (tmp_path / "a.jpg").read_bytes()[:2] == b"\xff\xd8"
+    assert catalog.create("d", "UINT8", "RGB", 3, tile_w=256, tile_h=256) == 1
+    assert load.load_raster(catalog, "d", f"{tmp_path}/a.jpg") == 0 and load.load_raster(catalog, "d", f"{tmp_path}/a.jpg", with_world=True) == 1
+    back = images.gathered(catalog.raw("d", 32, 32, 0.0, 32.0, 1.0), 32, 32, 3)
+    assert np.abs(back - rgb)[4:12, 4:12].max() <= 6 and np.abs(back - rgb).mean() < 8
+    head = files.headers(spark.createDataFrame([("x", bytearray(images.encode_png(x.astype(np.uint8))))], "path string, content binary")).first()
+    assert "<RasterWidth>32</RasterWidth>" in load.summary(head) and f"<MD5>{head.md5}</MD5>" in load.summary(head)
+
+
+def test_command_line(catalog, spark, tmp_path):
+    root = ["--root", f"file://{tmp_path}"]
+    run = lambda *a: command.run(spark, [a[0], *root, *map(str, a[1:])])
+    assert run("create", "--coverage", "g", "--sample", "UINT8", "--pixel", "GRAYSCALE", "--bands", 1, "--tile-width", 256, "--tile-height", 256)[0] == 1
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.tif").write_bytes(images.encode_tiff(np.arange(4096).reshape(64, 64, 1) % 251, "UINT8", (1.0, 1.0, 0.0, 64.0)))
+    assert run("import", "--coverage", "g", "--src", tmp_path / "in", "--ending", "tif", "--pyramidize")[0] == 1
+    assert run("list", "--coverage", "g") == (1, ["1\ta\t0\t1\t4096", "1\ta\t1\t1\t64"])
+    assert run("catalog")[1][0].startswith("g\tUINT8\tGRAYSCALE")
+    box = ("--box", 0, 0, 64, 64)
+    assert run("export", "--coverage", "g", "--dst", tmp_path / "o.tif", "--width", 64, "--height", 64, "--resolution", 1, "--geo", *box)[0] == 1
+    assert run("sect-export", "--coverage", "g", "--section", 1, "--dst", tmp_path / "p.tif", "--width", 64, "--height", 64, "--resolution", 1, *box)[0] == 1
+    assert images.decode_tiff((tmp_path / "o.tif").read_bytes())[0][63, 63, 0] == 4095 % 251
+    assert run("map", "--coverage", "g", "--dst", tmp_path / "m.png", "--width", 64, "--height", 64, *box)[0] == 1 and (tmp_path / "m.png").read_bytes()[:4] == b"\x89PNG"
+    assert run("histogram", "--coverage", "g", "--band", 0, "--dst", tmp_path / "h.png")[0] == 1 and images.decode_png((tmp_path / "h.png").read_bytes()).shape == (160, 512, 1)
+    assert run("pyrmono", "--coverage", "g")[0] == 1 and run("pyramidize", "--coverage", "g", "--force")[0] == 1 and run("de-pyramidize", "--coverage", "g")[0] == 1
+    assert run("delete", "--coverage", "g", "--section", 1)[0] == 1 and run("drop", "--coverage", "g")[0] == 1 and run("list", "--coverage", "g")[0] == 0
+
+
+def test_threads_and_tiles_by_name(catalog, spark):
+    before = calls.statement(catalog, "SELECT GetMaxThreads()")
+    assert calls.statement(catalog, "SELECT SetMaxThreads(256)") == 64 and calls.statement(catalog, "SELECT SetMaxThreads('x')") == -1
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    catalog.create("p", "4-BIT", "PALETTE", 1, "PNG", tile_w=256, tile_h=256)
+    tile = "struct('{}' AS sample_type, '{}' AS pixel_type, {} AS bands, 'PNG' AS compression)"
+    for level, form, want in ((0, ("4-BIT", "PALETTE", 1), 1), (1, ("4-BIT", "PALETTE", 1), 0), (1, ("UINT8", "RGB", 3), 1)):
+        assert calls.statement(catalog, f"SELECT IsValidRasterTile(NULL, 'p', {level}, {tile.format(*form)})") == want
+    assert calls.statement(catalog, "SELECT IsValidRasterTile(NULL, 'none', 0, 1)") == -1
+
+
+def test_group_documents():
+    doc = "<StyledLayerDescriptor><NamedLayer><Name>under</Name></NamedLayer><NamedLayer><Name>over</Name><NamedStyle><Name>red</Name></NamedStyle></NamedLayer></StyledLayerDescriptor>"
+    assert parse_group_style(doc) == [("under", None), ("over", "red")]
+
+
 def test_palettes(catalog):
     assert catalog.create("p", "UINT8", "PALETTE", 1, tile_w=256, tile_h=256, palette=[(0, 0, 0), (255, 0, 0)]) == 1
     assert catalog.merge_palette("p", [(255, 0, 0), (1, 2, 3)]) == [1, 2] and catalog.get("p").palette[2] == (1, 2, 3)

@@ -47,6 +47,7 @@ def sql(spark):
         ("PaletteEquals(array(struct(1 AS r, 2 AS g, 3 AS b)), NULL)", -1),
         ("has_codec_deflate()", 1),
         ("has_codec_webp()", 0),
+        ("has_codec_jpeg()", 1),
         ("has_codec_lzma()", 0),
         ("cairo_version()", None),
         ("zlib_version() IS NOT NULL", True),
