@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HEADER = ("ncols", "nrows", "xllcorner", "xllcenter", "yllcorner", "yllcenter", "cellsize", "nodata_value")
@@ -25,15 +25,20 @@ def header(spark: SparkSession, path: str) -> dict[str, float]:
     return found
 
 
-def _is_row(line: str) -> bool:
-    return bool(line) and line.split()[0].lower() not in HEADER
-
-
 def read(spark: SparkSession, path: str) -> tuple[dict[str, float], DataFrame]:
-    """The header and the cells (r, c, v); a line is a row of the grid, cells split and exploded on the executors."""
+    """The header and the cells (r, c, v); a line is a row of the grid, cells split and exploded on the executors.
+
+    A row's number is its place in its split of a file plus the rows of the splits before: a table of one row a split.
+    """
     head = header(spark, path)
-    numbered = spark.read.text(path).rdd.map(lambda x: x[0].strip()).filter(_is_row).zipWithIndex().toDF("line string, r long")  # a line's place needs the file's order, which no column has
-    cells = numbered.select("r", F.posexplode(F.split(F.trim(F.col("line")), r"\s+")).alias("c", "v"))
+    line = F.trim(F.col("value"))
+    key = F.lower(F.regexp_extract(line, r"^(\S*)", 1))
+    rows = spark.read.text(path).select(line.alias("line"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s")).where((line != "") & ~key.isin(*HEADER))
+    rows = rows.withColumn("i", F.monotonically_increasing_id())
+    before = Window.orderBy("f", "s").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("f", "s").agg(F.min("i").alias("base"), F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    numbered = rows.join(splits, ["f", "s"]).select((F.col("i") - F.col("base") + F.col("before")).alias("r"), "line")
+    cells = numbered.select("r", F.posexplode(F.split("line", r"\s+")).alias("c", "v"))
     return head, cells.select("r", F.col("c").cast("long").alias("c"), F.col("v").cast("double").alias("v"))
 
 

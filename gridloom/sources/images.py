@@ -189,9 +189,9 @@ def read_tiff(files: DataFrame) -> DataFrame:
 
 
 def gathered(cells: DataFrame, width: int, height: int, bands: int) -> np.ndarray:
-    """A dense window (out_y, out_x, bands) as an array on the driver: for images, of MAX_SIDE squared at most."""
-    if width * height > MAX_SIDE * MAX_SIDE:
-        raise ValueError(f"an image has {MAX_SIDE} x {MAX_SIDE} pixels at most")
+    """A dense window (out_y, out_x, bands) as an array on the driver: for images, of MAX_SIDE squared and of four bands of that at most."""
+    if width * height > MAX_SIDE * MAX_SIDE or width * height * bands > 4 * MAX_SIDE * MAX_SIDE:
+        raise ValueError(f"an image has {MAX_SIDE} x {MAX_SIDE} pixels at most, of four bands")
     out = np.zeros((height, width, bands))
     for batch in cells.select("out_y", "out_x", "bands").toArrow().to_batches():
         out[batch.column(0).to_numpy(), batch.column(1).to_numpy()] = batch.column(2).flatten().to_numpy().reshape(-1, bands)
