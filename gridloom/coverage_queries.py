@@ -13,6 +13,7 @@ from .catalog_queries import FT, IM, MB, features, grid, image, multiband, query
 from .functions import buffers, pixel, shapes, sqlnames
 from .operators import pixels as X
 from .operators import statistics
+from .operators.codec import decoded
 from .plans import calls, export, load, maps
 from .plans.coverage import Catalog
 from .plans.styles import RasterStyle
@@ -522,7 +523,7 @@ def sql_opaque_functions(spark, d):
     )
 
 
-_HAS = {"none": 1, "deflate": 1, "deflate_no": 1, "lzma": 0, "lzma_no": 0, "jpeg": 1, "png": 1, "fax4": 0, "charls": 0, "webp": 0, "ll_webp": 0, "jp2": 0, "ll_jp2": 0}
+_HAS = {"none": 1, "deflate": 1, "deflate_no": 1, "lzma": 1, "lzma_no": 1, "jpeg": 1, "png": 1, "fax4": 0, "charls": 0, "webp": 0, "ll_webp": 0, "jp2": 0, "ll_jp2": 0}
 
 
 @query(" UNION ALL ".join(f"SELECT 'has_codec_{k}' AS name, '{v}' AS value" for k, v in _HAS.items()) + " UNION ALL " + " UNION ALL ".join(f"SELECT '{k}_version', NULL" for k in ("cairo", "curl", "lzma", "png", "jpeg", "tiff", "geotiff", "webp", "charLS", "openJPEG")) + " UNION ALL SELECT 'zlib', 'known' UNION ALL SELECT 'own', 'known' UNION ALL SELECT 'target_cpu', 'known'")
@@ -636,6 +637,40 @@ def catalog_list(spark, d):
     return listed(cat, "mb")
 
 
+@query(SECTIONS + """, k AS (SELECT unnest(['NONE', 'DEFLATE', 'DEFLATE_NO', 'LZMA', 'LZMA_NO']) AS codec)
+SELECT codec, s AS section, r // 256 AS tile_row, count(*) AS cells, sum(b0)::BIGINT AS b0, sum(b3 * (r + c))::BIGINT AS placed FROM se, k GROUP BY ALL""")
+def tile_codecs(spark, d):
+    """Tiles encoded by each codec and decoded again, by what they hold and where."""
+    cat, out = stored(spark, d), None
+    for codec in ("NONE", "DEFLATE", "DEFLATE_NO", "LZMA", "LZMA_NO"):
+        tiles = cat.tiles("mb", 0, None, codec)
+        px = decoded(tiles, "UINT8", 4, 256, 256).where(F.element_at("bands", 1) != 255)
+        one = px.groupBy(F.lit(codec).alias("codec"), F.col("section_id").alias("section"), F.floor(F.col("r") / 256).alias("tile_row")).agg(
+            F.count("*").alias("cells"), F.sum(F.element_at("bands", 1)).cast("long").alias("b0"), F.sum(F.element_at("bands", 4) * (F.col("r") + F.col("c"))).cast("long").alias("placed")
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""WITH x AS (SELECT l_orderkey AS r, max(l_linenumber) % 4 AS v FROM lineitem GROUP BY 1), p AS (SELECT * FROM (VALUES (1, 40, 50, 60), (2, 70, 80, 90), (3, 200, 100, 0)) t(i, pr, pg, pb))
+SELECT 'palette' AS kind, r // 8 AS r, trunc(avg(pr))::BIGINT AS red, trunc(avg(pg))::BIGINT AS green, trunc(avg(pb))::BIGINT AS blue FROM x JOIN p ON i = v GROUP BY 2
+UNION ALL SELECT 'bitmap', r // 8, 0, NULL, NULL FROM x WHERE v % 2 = 1 GROUP BY 2""")
+def pyramid_promoted(spark, d):
+    """Levels above the base of a palette coverage are RGB, of a bitmap gray; index 0 is NO-DATA."""
+    cat = Catalog(spark, folder(spark))
+    px = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("r")).agg((F.max("l_linenumber") % 4).alias("v"))
+    height = px.agg(F.max("r")).first()[0] + 1
+    assert cat.create("p", "2-BIT", "PALETTE", 1, tile_w=256, tile_h=256, palette=[(1, 2, 3), (40, 50, 60), (70, 80, 90), (200, 100, 0)]) == 1
+    assert cat.create("b", "1-BIT", "MONOCHROME", 1, tile_w=256, tile_h=256) == 1
+    out = None
+    for name, v in (("p", F.col("v")), ("b", F.col("v") % 2)):
+        assert cat.load(name, "one", px.select("r", F.lit(0).alias("c"), F.array(v).alias("bands")), 1, height, 0.0, TOP, pyramidize=True) == 1
+        at = lambda k: F.try_element_at("bands", F.lit(k)).cast("long")
+        one = cat.pixels(name, 1).select(F.lit({"p": "palette", "b": "bitmap"}[name]).alias("kind"), "r", at(1).alias("red"), at(2).alias("green"), at(3).alias("blue"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT r.range AS r, c.range AS c, (r.range * 1000 + c.range)::DOUBLE AS v FROM range(300) r, range(270) c")
 def load_generated_tiles(spark, d):
     """A section whose tiles a function makes."""

@@ -11,8 +11,8 @@ from .. import __version__
 from ..types import PIXELS, SAMPLES
 from .pixel import LIMITS, PALETTE, PIXEL
 
-#: Codecs for which the engine reads and writes images: none, zlib and PNG by itself, JPEG by the JVM's library; others have no decoder here.
-CODECS = {"none": 1, "deflate": 1, "deflate_no": 1, "lzma": 0, "lzma_no": 0, "jpeg": 1, "png": 1, "fax4": 0, "charls": 0, "webp": 0, "ll_webp": 0, "jp2": 0, "ll_jp2": 0}
+#: Codecs for which the engine reads and writes tiles or images: none, zlib, lzma and PNG by itself, JPEG by the JVM's library; others have no decoder here.
+CODECS = {"none": 1, "deflate": 1, "deflate_no": 1, "lzma": 1, "lzma_no": 1, "jpeg": 1, "png": 1, "fax4": 0, "charls": 0, "webp": 0, "ll_webp": 0, "jp2": 0, "ll_jp2": 0}
 #: Versions of the libraries below, none for those that the engine does without.
 VERSIONS = {"cairo": None, "curl": None, "zlib": zlib.ZLIB_VERSION, "lzma": None, "png": None, "jpeg": None, "tiff": None, "geotiff": None, "webp": None, "charLS": None, "openJPEG": None}
 STATS = "struct<sample_type:string,no_data:double,count:double,bands:array<struct<min:double,max:double,mean:double,sum_sq_diff:double,histogram:array<double>>>>"

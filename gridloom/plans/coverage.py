@@ -15,7 +15,9 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.buffers import eight_bits
 from ..operators import pixels, pyramid, statistics
+from ..operators.codec import CODECS, encoded
 from ..types import SAMPLES, allowed, default_nodata
 
 SECTIONS = "section_id int, section_name string, width int, height int, file_path string, xres double, yres double, minx double, miny double, maxx double, maxy double"
@@ -48,6 +50,13 @@ class Coverage:
     palette: list[tuple[int, int, int]] = field(default_factory=list)
     styles: dict[str, str] = field(default_factory=dict)
 
+    def at(self, level: int) -> Coverage:
+        """What pixels of a level are: bitmaps and palettes become gray or RGB above the base, where NO-DATA cells are absent."""
+        if level == 0 or self.pixel not in ("MONOCHROME", "PALETTE"):
+            return self
+        n = 3 if self.pixel == "PALETTE" else 1
+        return replace(self, pixel="RGB" if n == 3 else "GRAYSCALE", sample="UINT8", bands=n, nodata=[-1.0] * n, palette=[])
+
 
 class Catalog:
     """Coverages under a root folder that all executors reach."""
@@ -233,7 +242,7 @@ class Catalog:
         xres, yres = xres or c.xres, yres or c.yres
         if not self.fits(c, xres, yres) or self.section_ids(name, section):
             return 0
-        self._append(c, [(section, width, height, source, xres, yres, minx, maxy)], px.withColumn("_at", F.lit(0)), pyramidize)
+        self._append(c, [(section, width, height, source, float(xres), float(yres), float(minx), float(maxy))], px.withColumn("_at", F.lit(0)), pyramidize)
         return 1
 
     def _append(self, c: Coverage, rows: list[tuple], px: DataFrame, pyramidize: bool) -> list[int]:
@@ -278,6 +287,7 @@ class Catalog:
         base = self.pixels(name, 0, section_id)
         if 1 in self.levels(name):
             base = base.join(self.pixels(name, 1).select("section_id").distinct(), "section_id", "left_anti")
+        base, c = promoted(base, c), c.at(1)
         names = [f"b{i}" for i in range(c.bands)]
         below = base.select("section_id", "r", "c", *[F.element_at("bands", i + 1).alias(n) for i, n in enumerate(names)])
         wide = self.sections(name).agg(F.max("width")).first()[0]
@@ -303,6 +313,8 @@ class Catalog:
         at = placed.withColumns({"out_x": F.col("c") + whole((F.col("sminx") - box.minx) / c.xres), "out_y": F.col("r") + whole((F.lit(box.maxy) - F.col("smaxy")) / c.yres)})
         nodata = F.array(*[F.lit(v) for v in c.nodata])
         below = pixels.mosaic(at.where(F.col("bands") != nodata), F.struct("section_id", "r", "c"), ["bands"])
+        below, c = promoted(below, c), c.at(1)
+        names = [f"b{i}" for i in range(c.bands)]
         below = below.select(F.col("out_y").alias("r"), F.col("out_x").alias("c"), *[F.element_at("bands", i + 1).alias(n) for i, n in enumerate(names)])
         wide = round((box.maxx - box.minx) / c.xres)
         for k in range(1, levels + 1):
@@ -320,6 +332,12 @@ class Catalog:
                 self._fs.delete(self._path(self._dir(c.name, "pixels", k, section_id)), True)
         return 1
 
+    def tiles(self, name: str, level: int = 0, section_id: int | None = None, compression: str | None = None) -> DataFrame:
+        """(section_id, pyramid_level, tile_id, tile_row, tile_col, payload): encoded tiles, by the coverage's compression where that has an encoder."""
+        c = self.get(name).at(level)
+        codec = compression or (c.compression if c.compression in CODECS else "DEFLATE")
+        return encoded(self.pixels(name, level, section_id), c.sample, c.nodata, c.tile_w, c.tile_h, codec)
+
     def statistics(self, name: str, section_id: int | None = None) -> DataFrame:
         """(band, n, no_data, min, max, mean, ssd, k, var, stddev) of a coverage or a section, from its tiles' partials."""
         c = self.get(name)
@@ -349,13 +367,13 @@ class Catalog:
         met = cells.join(filed, ["gx", "gy"]).where(inside)
         met = met.select("section_id", *keys, pixels.trunc((F.col("maxy") - F.col("y")) / (F.col("yres") * step)).alias("r"), pixels.trunc((F.col("x") - F.col("minx")) / (F.col("xres") * step)).alias("c"))
         got = met.join(self.pixels(name, level).select("section_id", "r", "c", "bands"), ["section_id", "r", "c"])
-        nodata = F.array(*[F.lit(v) for v in self.get(name).nodata])
+        nodata = F.array(*[F.lit(v) for v in self.get(name).at(level).nodata])
         return got.where(F.col("bands") != nodata).groupBy(*keys).agg(F.max_by("bands", "section_id").alias("bands"))
 
     def pixel_at(self, name: str, points: DataFrame, level: int = 0) -> DataFrame:
         """points (x, y, ...) with the bands below them at a level, of the section loaded last; NO-DATA where there is none."""
         got = self.sampled(name, points, level).select(F.col("x").alias("_x"), F.col("y").alias("_y"), "bands")
-        nodata = F.array(*[F.lit(v) for v in self.get(name).nodata])
+        nodata = F.array(*[F.lit(v) for v in self.get(name).at(level).nodata])
         met = points.join(got, F.col("x").eqNullSafe(F.col("_x")) & F.col("y").eqNullSafe(F.col("_y")), "left").drop("_x", "_y")
         return met.withColumn("bands", F.coalesce("bands", nodata))
 
@@ -377,7 +395,7 @@ class Catalog:
         Sections beside the window are not read: the join's key is the folder.  Rows and columns outside of what
         the window can need of any section are left by filters that reach the scan.
         """
-        c = self.get(name)
+        c = self.get(name).at(level)
         step, yres = FACTOR**level, yres or xres
         maxx, miny = minx + width * xres, maxy - height * yres
         boxes = self.sections(name).where(pixels.intersects(minx, miny, maxx, maxy))
@@ -403,3 +421,14 @@ def window(spark: SparkSession, width: int, height: int) -> DataFrame:
     """(out_y, out_x) of every cell."""
     across: Column = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")))
     return spark.range(height).select(F.col("id").alias("out_y"), across.alias("out_x"))
+
+
+def promoted(px: DataFrame, c: Coverage) -> DataFrame:
+    """Pixels as levels above the base have them: bitmaps as gray, palette indices as their colours, without NO-DATA cells; others as they are."""
+    if c.pixel not in ("MONOCHROME", "PALETTE"):
+        return px
+    v = F.element_at("bands", 1)
+    if c.pixel == "MONOCHROME":
+        return px.where(v != c.nodata[0]).withColumn("bands", F.array(eight_bits(v, "1-BIT").cast("double")))
+    colours = F.array(*[F.array(*[F.lit(float(x)) for x in p]) for p in c.palette]).cast("array<array<double>>")
+    return px.where(v != c.nodata[0]).withColumn("bands", F.try_element_at(colours, v.cast("int") + 1)).where("bands is not null")

@@ -162,6 +162,7 @@ def map_raster(
     grid = window(catalog.spark, width, height).withColumns({"x": F.lit(float(box[0])) + (F.col("out_x") + 0.5) * xres, "y": F.lit(float(box[3])) - (F.col("out_y") + 0.5) * yres})
     got = catalog.sampled(name, grid, level, ["out_y", "out_x"])
     cells = grid.select("out_y", "out_x").join(got, ["out_y", "out_x"], "left")
+    c = c.at(level)
     return rendered(cells, c, style, _bounds(catalog, c, style), background, transparent)
 
 
@@ -189,6 +190,7 @@ def tile_image(catalog: Catalog, name: str, section_id: int, tile_id: int, bands
     c = catalog.get(name)
     if c is None or (bands is not None and (len(bands) not in (1, 3) or not all(0 <= b < c.bands for b in bands))):
         return None
+    c = c.at(level)
     px = catalog.pixels(name, level, section_id).where(F.col("tile_id") == tile_id)
     if px.isEmpty():
         return None

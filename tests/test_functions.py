@@ -48,7 +48,7 @@ def sql(spark):
         ("has_codec_deflate()", 1),
         ("has_codec_webp()", 0),
         ("has_codec_jpeg()", 1),
-        ("has_codec_lzma()", 0),
+        ("has_codec_lzma()", 1),
         ("cairo_version()", None),
         ("zlib_version() IS NOT NULL", True),
     ],
