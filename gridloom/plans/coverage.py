@@ -72,10 +72,18 @@ class Catalog:
     def _file(self, name: str) -> str:
         return f"{self.root}/_catalog/{name.lower()}.json"
 
+    def _read(self, path: str) -> str:
+        """A small file's text, without a job."""
+        stream = self._fs.open(self._path(path))
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def get(self, name: str) -> Coverage | None:
         if not isinstance(name, str) or not name or not self._fs.exists(self._path(self._file(name))):
             return None
-        found = json.loads(self.spark.read.text(self._file(name), wholetext=True).first()[0])
+        found = json.loads(self._read(self._file(name)))
         return Coverage(**{**found, "palette": [tuple(x) for x in found.get("palette", [])]})
 
     def _put(self, c: Coverage) -> None:
@@ -186,7 +194,7 @@ class Catalog:
 
     def vector(self, name: str) -> dict | None:
         path = f"{self.root}/_vectors/{name.lower()}.json"
-        return json.loads(self.spark.read.text(path, wholetext=True).first()[0]) if self._fs.exists(self._path(path)) else None
+        return json.loads(self._read(path)) if self._fs.exists(self._path(path)) else None
 
     def features(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.vector(name)["path"])
