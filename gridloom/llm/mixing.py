@@ -19,7 +19,7 @@ STEPS, LARGEST = 160, 64.0
 
 
 def hashed(*parts: Column) -> Column:
-    """A number in [0, 1) of 52 bits from MD5."""
+    """A number in [0, 1) of 52 bits from MD5 of the parts that aren't null."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
@@ -34,11 +34,11 @@ def distribution(rate: Column) -> Column:
 
 
 def drawn(seed: int, key: Column, d: Column) -> Column:
-    """The sum over draws of the distribution's inverse: the number of k with P(at most k) <= a number hashed from seed, draw and key.
+    """The sum over draws of the distribution's inverse: the number of k with P(at most k) <= a number hashed from seed, key and, after the first, draw.
 
     That number is bound to a variable, as else its hash would be computed for each k.
     """
-    inverse = lambda j: F.element_at(F.transform(F.array(hashed(F.lit(seed), j, key)), lambda v: F.size(F.filter(d.cdf, lambda c: v >= c))), 1)
+    inverse = lambda j: F.element_at(F.transform(F.array(hashed(F.lit(seed), key, F.when(j > 0, j))), lambda v: F.size(F.filter(d.cdf, lambda c: v >= c))), 1)
     return F.aggregate(F.sequence(F.lit(0), d.draws - 1), F.lit(0), lambda n, j: n + inverse(j))
 
 
@@ -97,7 +97,7 @@ r AS (SELECT source, sqrt(n) / sum(sqrt(n)) OVER () * sum(n) OVER () / n AS rate
 d AS (SELECT row_number() OVER () AS rid, d.*, greatest(ceil(rate / 64), 1)::BIGINT AS draws, rate / greatest(ceil(rate / 64), 1) AS mean,
         coalesce(doc_id::VARCHAR, 'null|' || md5(coalesce(text, ''))) AS key
       FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-u AS (SELECT rid, mean, ('0x' || substr(md5('11|' || j || '|' || key), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM (SELECT rid, mean, key, unnest(range(draws)) AS j FROM d)),
+u AS (SELECT rid, mean, ('0x' || substr(md5('11|' || key || CASE WHEN j > 0 THEN '|' || j ELSE '' END), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM (SELECT rid, mean, key, unnest(range(draws)) AS j FROM d)),
 t AS (SELECT rid, sum(list_reduce(list_prepend({'p': exp(-mean), 'c': exp(-mean), 'k': 0::DOUBLE, 'm': 0::DOUBLE},
         [{'p': 0::DOUBLE, 'c': 0::DOUBLE, 'k': i::DOUBLE, 'm': 0::DOUBLE} FOR i IN range(1, 161)]),
         lambda s, x: {'p': s.p * mean / x.k, 'c': s.c + s.p * mean / x.k, 'k': x.k, 'm': s.m + CASE WHEN u >= s.c THEN 1 ELSE 0 END}).m)::BIGINT AS times

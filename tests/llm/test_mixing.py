@@ -23,7 +23,7 @@ def inverse(u, mean):
 
 
 def number(seed, j, key):
-    return int(hashlib.md5(f"{seed}|{j}|{key}".encode()).hexdigest()[:13], 16) / 2**52
+    return int(hashlib.md5((f"{seed}|{key}|{j}" if j else f"{seed}|{key}").encode()).hexdigest()[:13], 16) / 2**52
 
 
 def test_inverse(spark):
