@@ -688,7 +688,7 @@ def stream_statistics(spark, d):
     """Statistics of cells that arrive as a stream, merged batch by batch."""
     root = folder(spark)
     events = table(spark, d, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d) if not d.startswith("viewfs") else spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)  # a stream's source is a folder
     ingest.start(stream.select("event_type", F.col("value").alias("v")), root, ["event_type"]).awaitTermination()
     got = ingest.current(spark, root, ["event_type"])
     return got.select("event_type", "n", F.col("min").alias("min_v"), F.col("max").alias("max_v"), F.round("mean", 6).alias("avg_v"), F.round("var", 4).alias("var_v"))
