@@ -6,6 +6,7 @@ A file is one task's work: its header gives a row, its cells follow a row of the
 from __future__ import annotations
 
 import hashlib
+import lzma
 import re
 import struct
 import zlib
@@ -79,7 +80,7 @@ def headers(files: DataFrame) -> DataFrame:
                     kind, x, geo = decode(content)
                     row |= {"kind": kind, "height": x.shape[0], "width": x.shape[1], "bands": x.shape[2], "sample": _SAMPLES[x.dtype.kind + str(x.dtype.itemsize)]}
                     row |= dict(zip(("xres", "yres", "minx", "maxy"), geo or (None,) * 4, strict=True))
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as error:
+                except (ValueError, KeyError, IndexError, struct.error, zlib.error, lzma.LZMAError) as error:
                     row["error"] = _failed(error)
                 rows.append(row)
             kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}

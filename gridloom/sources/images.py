@@ -5,9 +5,10 @@ An image is limited to MAX_SIDE squared by the map guard, so its rows fit the wr
 
 from __future__ import annotations
 
+import lzma
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,15 +94,19 @@ def decode_png(b: bytes) -> np.ndarray:
 
 
 def encode_tiff(x: np.ndarray, sample: str, geo: tuple[float, float, float, float] | None = None, srid: int | None = None, compress: bool = False) -> bytes:
-    """(h, w, bands) in strips of 64 rows; geo: x and y resolution, least x, largest y."""
+    """(h, w, bands) in strips of 64 rows, samples of 1, 2 and 4 bits packed; geo: x and y resolution, least x, largest y."""
     kind = np.dtype("<" + SAMPLES[sample][3])
     h, w, bands = x.shape
     data = np.ascontiguousarray(x.astype(kind))
+    bits = kind.itemsize * 8
+    if sample in ("1-BIT", "2-BIT", "4-BIT"):  # a row fills whole bytes
+        bits = int(sample[0])
+        data = np.packbits(np.unpackbits(data.reshape(h, w * bands, 1), axis=2)[:, :, 8 - bits :].reshape(h, -1), axis=1)
     strips = [data[i : i + 64].tobytes() for i in range(0, h, 64)]
     if compress:
         strips = [zlib.compress(s) for s in strips]
     entries: list[tuple[int, int, list]] = [
-        (256, 4, [w]), (257, 4, [h]), (258, 3, [kind.itemsize * 8] * bands), (259, 3, [8 if compress else 1]), (262, 3, [2 if bands == 3 and sample == "UINT8" else 1]),
+        (256, 4, [w]), (257, 4, [h]), (258, 3, [bits] * bands), (259, 3, [8 if compress else 1]), (262, 3, [2 if bands == 3 and sample == "UINT8" else 1]),
         (273, 4, []), (277, 3, [bands]), (278, 4, [64]), (279, 4, [len(s) for s in strips]), (284, 3, [1]), (339, 3, [_FORMATS[kind.kind]] * bands),
     ]
     if geo:
@@ -127,8 +132,72 @@ def encode_tiff(x: np.ndarray, sample: str, geo: tuple[float, float, float, floa
     return struct.pack("<2sHI", b"II", 42, place) + b"".join(strips) + struct.pack("<H", len(entries)) + directory + struct.pack("<I", 0) + extra
 
 
+def unpack_lzw(b: bytes) -> bytes:
+    """LZW with codes of 9 to 12 bits, highest bit first, a code wider one entry before the table is full."""
+    roots = [bytes([i]) for i in range(256)] + [b"", b""]
+    table, width, last, out = list(roots), 9, b"", bytearray()
+    held = bits = 0
+    for byte in b:
+        held = (held << 8) | byte
+        bits += 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits
+        held &= (1 << bits) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = list(roots), 9, b""
+            continue
+        if code > len(table) or (code == len(table) and not last):
+            raise ValueError("a code beyond the table")
+        entry = table[code] if code < len(table) else last + last[:1]
+        if last:
+            table.append(last + entry[:1])
+            width = min(12, max(9, (len(table) + 1).bit_length()))
+        out += entry
+        last = entry
+    return bytes(out)
+
+
+def unpack_bits(b: bytes) -> bytes:
+    """Runs of bytes: a length of 0 to 127 and one more bytes as they are, or of 129 to 255 and one byte 257 less length times."""
+    out, at = bytearray(), 0
+    while at < len(b):
+        n = b[at]
+        if n < 128:
+            out += b[at + 1 : at + 2 + n]
+            at += n + 2
+        else:
+            if n > 128:
+                out += b[at + 1 : at + 2] * (257 - n)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+#: Decoders by the number of a TIFF's compression (fixed values of the format).
+_UNPACK: dict[int, Callable[[bytes], bytes]] = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpack_bits, 34925: lzma.decompress}
+
+
+def _block(data: bytes, h: int, w: int, bands: int, kind: np.dtype, bits: int, predictor: int) -> np.ndarray:
+    """(h, w, bands) of a strip or tile once unpacked: samples under a byte fill bytes row by row, predicted ones are sums along the row."""
+    wide = (w * bands * bits + 7) // 8
+    if len(data) < h * wide:
+        raise ValueError("a strip or tile is short")
+    rows = np.frombuffer(data, np.uint8, h * wide).reshape(h, wide)
+    if bits < 8:
+        per = np.unpackbits(rows, axis=1)[:, : w * bands * bits].reshape(h, w * bands, bits)
+        return (per << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=2).astype(np.uint8).reshape(h, w, bands)
+    if predictor == 3:  # bytes of floats, the highest of all samples first
+        sums = np.cumsum(rows.reshape(h, -1, bands), axis=1, dtype=np.uint8).reshape(h, kind.itemsize, w * bands)
+        return np.ascontiguousarray(sums.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(h, w, bands)
+    x = rows.view(kind).reshape(h, w, bands)
+    return np.cumsum(x, axis=1, dtype=kind.newbyteorder("=")) if predictor == 2 else x
+
+
 def decode_tiff(b: bytes) -> tuple[np.ndarray, dict]:
-    """(h, w, bands) and tags, of strips or tiles without compression or with deflate; ValueError for others."""
+    """(h, w, bands) and tags, of strips or tiles, bands together or apart, samples of 1, 2, 4 bits or of whole bytes; ValueError for other kinds and for fax and JPEG data."""
     e = {b"II": "<", b"MM": ">"}.get(b[:2])
     if e is None or struct.unpack(e + "H", b[2:4])[0] != 42:
         raise ValueError("no TIFF")
@@ -144,24 +213,30 @@ def decode_tiff(b: bytes) -> tuple[np.ndarray, dict]:
         start = at + 10 + 12 * i if kind.itemsize * count <= 4 else struct.unpack(e + "I", field)[0]
         tags[tag] = np.frombuffer(b, kind, count, start).tolist()
     w, h, bands = tags[256][0], tags[257][0], tags.get(277, [1])[0]
-    letter = {1: "u", 2: "i", 3: "f"}[tags.get(339, [1])[0]]
-    bits = tags.get(258, [1])[0]
-    if bits < 8 or tags.get(259, [1])[0] not in (1, 8, 32946) or tags.get(284, [1])[0] != 1 or tags.get(317, [1])[0] != 1:
+    depths, letter = set(tags.get(258, [1])), {1: "u", 2: "i", 3: "f", 4: "u"}[tags.get(339, [1])[0]]
+    bits, packing, apart, predictor = min(depths), tags.get(259, [1])[0], tags.get(284, [1])[0] == 2, tags.get(317, [1])[0]
+    known = len(depths) == 1 and (bits in (8, 16, 32, 64) or (bits in (1, 2, 4) and letter == "u"))
+    fitting = predictor == 1 or (predictor == 2 and bits >= 8 and letter != "f") or (predictor == 3 and letter == "f")
+    if not known or not fitting or packing not in _UNPACK or tags.get(266, [1])[0] != 1:
         raise ValueError("this kind of TIFF isn't read")
-    kind = np.dtype(f"{e}{letter}{bits // 8}")
-    unpack = zlib.decompress if tags.get(259, [1])[0] != 1 else bytes
+    kind = np.dtype(f"{e}{letter}{max(1, bits // 8)}")
     out = np.zeros((h, w, bands), kind)
+    together = 1 if apart else bands
     if 324 in tags:
         tw, th = tags[322][0], tags[323][0]
+        across, down = -(-w // tw), -(-h // th)
         for i, (o, size) in enumerate(zip(tags[324], tags[325], strict=True)):
-            y, x = i // -(-w // tw) * th, i % -(-w // tw) * tw
-            part = np.frombuffer(unpack(b[o : o + size]), kind).reshape(th, tw, bands)
-            out[y : y + th, x : x + tw] = part[: h - y, : w - x]
+            band, place = divmod(i, across * down)
+            y, x = place // across * th, place % across * tw
+            part = _block(_UNPACK[packing](b[o : o + size]), th, tw, together, kind, bits, predictor)
+            out[y : y + th, x : x + tw, band : band + together] = part[: h - y, : w - x]
     else:
-        rows = tags.get(278, [h])[0]
+        rows = min(h, tags.get(278, [h])[0])
+        down = -(-h // rows)
         for i, (o, size) in enumerate(zip(tags[273], tags[279], strict=True)):
-            part = np.frombuffer(unpack(b[o : o + size]), kind)
-            out[i * rows : (i + 1) * rows] = part.reshape(-1, w, bands)[: h - i * rows]
+            band, place = divmod(i, down)
+            part = _block(_UNPACK[packing](b[o : o + size]), min(rows, h - place * rows), w, together, kind, bits, predictor)
+            out[place * rows : place * rows + rows, :, band : band + together] = part
     return out, tags
 
 
