@@ -402,6 +402,15 @@ def vector_polygons(spark, d):
     return maps.polygons_drawn(ring, _VBOX, 64, 64).groupBy("out_y", "out_x").agg(F.count("*").alias("rings"))
 
 
+@query(FT + """, w AS (SELECT y.range AS out_y, x.range AS out_x, 63.5 - y.range AS cy, x.range + 0.5 AS cx FROM range(64) y, range(64) x)
+SELECT out_y, out_x, count(*) AS polygons, max(p_partkey) AS top FROM ft JOIN w ON (cx >= x + 0.25 AND cx < x + 6.25 AND cy >= y + 0.25 AND cy < y + 6.25 AND NOT (cx >= x + 1.25 AND cx < x + 4.25 AND cy >= y + 2.25 AND cy < y + 5.25)) OR (cx >= x + 7.25 AND cx < x + 9.25 AND cy >= y + 0.25 AND cy < y + 2.25) GROUP BY 1, 2""")
+def vector_polygons_with_holes(spark, d):
+    """Polygons of three rings: a square of six with a hole of three, and a square of two beside it."""
+    square = lambda x, y, n: F.array(*[F.struct((F.col("x") + x + dx).alias("x"), (F.col("y") + y + dy).alias("y")) for dx, dy in ((0, 0), (n, 0), (n, n), (0, n))])
+    f = features(spark, d).select(F.col("p_partkey").alias("fid"), F.array(square(0.25, 0.25, 6), square(1.25, 2.25, 3), square(7.25, 0.25, 2)).alias("rings"))
+    return maps.polygons_drawn(f, _VBOX, 64, 64).groupBy("out_y", "out_x").agg(F.count("*").alias("polygons"), F.max("fid").alias("top"))
+
+
 @query(FT + """, d AS (SELECT p_partkey AS fid, 63 - floor(y)::BIGINT AS out_y, floor(x)::BIGINT AS out_x, p_size FROM ft), t AS (SELECT out_y, out_x, arg_max(fid, (CASE WHEN p_size < 10 THEN 1 ELSE 0 END) * 1000000000 + fid) AS fid, max(CASE WHEN p_size < 10 THEN 1 ELSE 0 END) AS small FROM d WHERE out_y BETWEEN 0 AND 63 AND out_x BETWEEN 0 AND 63 GROUP BY 1, 2),
 w AS (SELECT y.range AS out_y, x.range AS out_x FROM range(64) y, range(64) x)
 SELECT out_y, out_x, CASE WHEN small IS NULL THEN 255 WHEN small = 1 THEN 255 ELSE 0 END AS r, CASE WHEN small IS NULL THEN 255 WHEN small = 1 THEN 0 ELSE (fid % 256)::INT END AS g, CASE WHEN small IS NULL THEN 255 ELSE 7 END AS b, 255 AS a FROM w LEFT JOIN t USING (out_y, out_x)""")
@@ -604,7 +613,7 @@ def histogram_rebin(spark, d):
     return statistics.rebinned(h, low, high)
 
 
-@query("SELECT 'x' AS axis, 3.0 AS shift, 0.5 AS by_x, -2.0 AS by_y UNION ALL SELECT 'y', -7.0, 1.25, 4.0")
+@query("SELECT axis, shift::DOUBLE AS shift, by_x::DOUBLE AS by_x, by_y::DOUBLE AS by_y FROM (VALUES ('x', 3.0, 0.5, -2.0), ('y', -7.0, 1.25, 4.0)) t(axis, shift, by_x, by_y)")
 def affine_fit(spark, d):
     """The transformation that the points of `events` went through, found again by least squares."""
     p = table(spark, d, "events").select((F.col("user_id") % 97).cast("double").alias("x"), (F.col("event_id") % 89).cast("double").alias("y"))

@@ -182,7 +182,7 @@ class Catalog:
     # -- vector layers: Parquet tables of features with their styles
 
     def set_vector(self, name: str, path: str, kind: str, styles: dict[str, str] | None = None) -> int:
-        """A layer of features (fid; x, y or path; attributes) at a path; kind: point, line or polygon."""
+        """A layer of features (fid; x, y, path or rings; attributes) at a path; kind: point, line or polygon."""
         if kind not in ("point", "line", "polygon"):
             return -1
         out = self._fs.create(self._path(f"{self.root}/_vectors/{name.lower()}.json"), True)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color as C
 from ..operators import pixels, statistics, vector
-from ..sources import files, images, jpeg
+from ..sources import files, images, jpeg, pdf
 from .coverage import Catalog, Coverage, window
 from .styles import RasterStyle, VectorRule, channels, parse_raster_style, parse_vector_style
 
@@ -215,11 +215,11 @@ def array(cells: DataFrame | None, width: int, height: int) -> np.ndarray | None
     return images.gathered(cells.select("out_y", "out_x", F.array(*[F.col(n).cast("double") for n in RGBA]).alias("bands")), width, height, 4).astype(np.uint8)
 
 
-MIMES = ("image/png", "image/tiff", "image/jpeg")
+MIMES = ("image/png", "image/tiff", "image/jpeg", "application/x-pdf")
 
 
 def encoded(cells: DataFrame | None, width: int, height: int, mime: str = "image/png", quality: int = 80) -> bytes | None:
-    """The image: PNG with alpha where any pixel has it, TIFF or JPEG; None for other types."""
+    """The image: PNG or PDF with alpha where any pixel has it, TIFF or JPEG; None for other types."""
     if cells is None or mime not in MIMES:
         return None
     x = array(cells, width, height)
@@ -227,6 +227,8 @@ def encoded(cells: DataFrame | None, width: int, height: int, mime: str = "image
         return jpeg.encode(cells.sparkSession, x[:, :, :3], quality)
     if mime == "image/tiff":
         return images.encode_tiff(x[:, :, :3], "UINT8")
+    if mime == "application/x-pdf":
+        return pdf.encode(x)
     return images.encode_png(x if (x[:, :, 3] < 255).any() else x[:, :, :3])
 
 
@@ -291,8 +293,17 @@ def lines_drawn(features: DataFrame, box: Sequence[float], width: int, height: i
     return _inside(walk.select("fid", row.alias("out_y"), col.alias("out_x")), width, height).distinct()
 
 
+def _rings(features: DataFrame) -> DataFrame:
+    """Polygons (rings: array of paths) as a row for each ring (path); others as they are."""
+    return features.withColumn("path", F.explode("rings")).drop("rings") if "rings" in features.columns else features
+
+
 def polygons_drawn(features: DataFrame, box: Sequence[float], width: int, height: int) -> DataFrame:
-    """(fid, out_y, out_x) of the pixels whose centres lie in rings (fid, path: closed or not): crossings per pixel row, pair by pair."""
+    """(fid, out_y, out_x) of the pixels whose centres lie in rings (fid, path: closed or not; or several in rings): crossings per pixel row, pair by pair.
+
+    Rings of one fid, in a row or in many, are a polygon: those within others are its holes.
+    """
+    features = _rings(features)
     px, py = (box[2] - box[0]) / width, (box[3] - box[1]) / height
     n = F.size("path")
     edges = F.transform("path", lambda a, i: F.struct(a.alias("a"), F.get(F.col("path"), (i + 1) % n).alias("b")))
@@ -322,8 +333,10 @@ def map_vector(drawn: DataFrame, colours: DataFrame, width: int, height: int, ba
 def map_layer(features: DataFrame, kind: str, rules: Sequence[VectorRule], box: Sequence[float], width: int, height: int, background: str = "#ffffff", transparent: bool = False) -> DataFrame:
     """Features (fid; x, y or path; attributes) drawn by the first rule of each that holds at the map's scale; later rules and fids paint over earlier ones.
 
-    kind: point, line or polygon.  A polygon's stroke is painted over its fill.
+    kind: point, line or polygon.  A polygon's stroke is painted over its fill; it has a path, or rings with holes within others.
     """
+    if kind == "polygon":
+        features = _rings(features)
     scale = C.scale_denominator((box[2] - box[0]) / width, (box[3] - box[1]) / height)
     kinds = {f.name: "number" if f.dataType.typeName() in ("integer", "long", "double", "float", "short", "decimal") else "text" for f in features.schema.fields}
     tests = [(r.name, r.test(kinds), r.min_scale, r.max_scale) for r in rules if not r.otherwise]

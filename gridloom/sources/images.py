@@ -44,26 +44,15 @@ def encode_png(x: np.ndarray) -> bytes:
 PNG = b"\x89PNG\r\n\x1a\n"
 
 
-def decode_png(b: bytes) -> np.ndarray:
-    """(h, w, bands) of a PNG without interlacing: gray, RGB, either with alpha, or palette indices."""
-    if b[:8] != PNG:
-        raise ValueError("no PNG")
-    at, data, head = 8, b"", None
-    while at + 8 <= len(b):
-        size, tag = struct.unpack(">I4s", b[at : at + 8])
-        part = b[at + 8 : at + 8 + size]
-        if tag == b"IHDR":
-            head = struct.unpack(">IIBBBBB", part)
-        elif tag == b"IDAT":
-            data += part
-        at += 12 + size
-    if head is None or head[6]:
-        raise ValueError("this kind of PNG isn't read")
-    w, h, bits, kind = head[:4]
-    bands = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+#: First row and column and steps of the passes of an interlaced PNG (fixed values of the format).
+_PASSES = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1))
+
+
+def _unfiltered(data: bytes, w: int, h: int, bands: int, bits: int) -> tuple[np.ndarray, int]:
+    """(h, w, bands) of filtered rows, and the bytes that these took."""
     wide = (w * bands * bits + 7) // 8
     back = max(1, bands * bits // 8)
-    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, wide + 1)
+    lines = np.frombuffer(data, np.uint8, h * (wide + 1)).reshape(h, wide + 1)
     out = np.zeros((h, wide), np.uint8)
     above = np.zeros(wide, np.uint8)
     for y in range(h):
@@ -86,11 +75,42 @@ def decode_png(b: bytes) -> np.ndarray:
             line = np.array(row, np.uint8)
         out[y] = above = line
     if bits == 16:
-        return out.view(">u2").astype(np.uint16).reshape(h, w, bands)
-    if bits < 8:
+        cells = out.view(">u2").astype(np.uint16)
+    elif bits < 8:
         per = np.unpackbits(out, axis=1).reshape(h, -1, bits)
-        out = (per * (1 << np.arange(bits - 1, -1, -1))).sum(axis=2).astype(np.uint8)[:, :w]
-    return out.reshape(h, w, bands)
+        cells = (per * (1 << np.arange(bits - 1, -1, -1))).sum(axis=2).astype(np.uint8)[:, :w]
+    else:
+        cells = out
+    return cells.reshape(h, w, bands), h * (wide + 1)
+
+
+def decode_png(b: bytes) -> np.ndarray:
+    """(h, w, bands) of a PNG, interlaced or not: gray, RGB, either with alpha, or palette indices."""
+    if b[:8] != PNG:
+        raise ValueError("no PNG")
+    at, data, head = 8, b"", None
+    while at + 8 <= len(b):
+        size, tag = struct.unpack(">I4s", b[at : at + 8])
+        part = b[at + 8 : at + 8 + size]
+        if tag == b"IHDR":
+            head = struct.unpack(">IIBBBBB", part)
+        elif tag == b"IDAT":
+            data += part
+        at += 12 + size
+    if head is None or head[6] > 1:
+        raise ValueError("this kind of PNG isn't read")
+    w, h, bits, kind = head[:4]
+    bands = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+    data = zlib.decompress(data)
+    if not head[6]:
+        return _unfiltered(data, w, h, bands, bits)[0]
+    out, at = np.zeros((h, w, bands), np.uint16 if bits == 16 else np.uint8), 0
+    for y, x, down, across in _PASSES:
+        rows, columns = max(0, -(-(h - y) // down)), max(0, -(-(w - x) // across))
+        if rows and columns:
+            out[y::down, x::across], taken = _unfiltered(data[at:], columns, rows, bands, bits)
+            at += taken
+    return out
 
 
 def encode_tiff(x: np.ndarray, sample: str, geo: tuple[float, float, float, float] | None = None, srid: int | None = None, compress: bool = False) -> bytes:
