@@ -1,6 +1,6 @@
 """Encoded tiles: the cells of each tile as one compressed buffer, and back.
 
-NONE, DEFLATE, LZMA and their _NO forms without differences of neighbours, and PNG for bytes of one or three bands.
+NONE, DEFLATE, LZMA and their _NO forms without differences of neighbours, PNG for bytes of one or three bands and GIF for bytes of one.
 A tile's cells meet in one task, a size that the tile's sides bound; payloads carry a one-byte mark of the codec.
 """
 
@@ -14,16 +14,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..sources import images
+from ..sources import gif, images
 from ..types import SAMPLES
 
-CODECS = ("NONE", "DEFLATE", "DEFLATE_NO", "LZMA", "LZMA_NO", "PNG")
+CODECS = ("NONE", "DEFLATE", "DEFLATE_NO", "LZMA", "LZMA_NO", "PNG", "GIF")
+#: Numbers of bands of bytes that a codec of images takes.
+_BANDS = {"PNG": (1, 3), "GIF": (1,)}
 
 
 def packed(x: np.ndarray, codec: str) -> bytes:
     """A tile (h, w, bands) of its sample type as bytes."""
     if codec == "PNG":
         return images.encode_png(x[:, :, 0] if x.shape[2] == 1 else x)
+    if codec == "GIF":
+        return gif.encode(x[:, :, 0])
     flat = x.reshape(-1, x.shape[2])
     if codec in ("DEFLATE", "LZMA"):  # differences modulo the type's size, bit by bit for floats
         whole = flat.view(f"u{x.dtype.itemsize}")
@@ -35,6 +39,8 @@ def packed(x: np.ndarray, codec: str) -> bytes:
 def unpacked(content: bytes, codec: str, h: int, w: int, bands: int, kind: np.dtype) -> np.ndarray:
     if codec == "PNG":
         return images.decode_png(content)
+    if codec == "GIF":
+        return gif.decode(content)[0].reshape(h, w, 1)
     raw = content if codec == "NONE" else zlib.decompress(content) if codec.startswith("DEFLATE") else lzma.decompress(content)
     if codec in ("DEFLATE", "LZMA"):
         whole = np.frombuffer(raw, f"u{kind.itemsize}").reshape(-1, bands)
@@ -44,7 +50,7 @@ def unpacked(content: bytes, codec: str, h: int, w: int, bands: int, kind: np.dt
 
 def encoded(px: DataFrame, sample: str, nodata: list[float], tile_w: int, tile_h: int, codec: str) -> DataFrame:
     """(section_id, pyramid_level, tile_id, tile_row, tile_col, payload) of pixels; cells that aren't there are NO-DATA."""
-    if codec not in CODECS or (codec == "PNG" and (SAMPLES[sample][3] != "u1" or len(nodata) not in (1, 3))):
+    if codec not in CODECS or (codec in _BANDS and (SAMPLES[sample][3] != "u1" or len(nodata) not in _BANDS[codec])):
         raise ValueError(f"no codec {codec} for {len(nodata)} bands of {sample}")
     kind, keys = np.dtype(SAMPLES[sample][3]), ["section_id", "pyramid_level", "tile_id"]
 

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.plans import maps
-from gridloom.sources import images, pdf
+from gridloom.operators import codec
+from gridloom.sources import gif, images, pdf
 
 
 def by_the_jvm(spark, x):
@@ -71,3 +72,38 @@ def test_a_map_as_pdf(spark):
     cells = maps.window(spark, 64, 64).select("out_y", "out_x", *[F.lit(v).alias(n) for n, v in zip("rgba", (1, 2, 3, 255), strict=True)])
     assert maps.encoded(cells, 64, 64, "application/x-pdf").startswith(b"%PDF-1.4")
     assert maps.encoded(cells, 64, 64, "application/pdf") is None
+
+
+@pytest.mark.parametrize("h, w, most", [(1, 1, 1), (9, 7, 2), (60, 70, 4), (200, 300, 256), (300, 300, 16)])
+def test_gif_goes_around_and_by_the_jvm(spark, h, w, most):
+    rng = np.random.default_rng(most)
+    x = np.where(rng.random((h, w)) < 0.5, rng.integers(0, most, (h, w)), most - 1).astype(np.uint8)
+    palette = [(k, 255 - k, k // 2) for k in range(most)]
+    content = gif.encode(x, palette)
+    back, colours = gif.decode(content)
+    assert np.array_equal(back, x) and colours[:most] == palette
+    io, java = spark.sparkContext._jvm.javax.imageio, spark.sparkContext._jvm.java.io
+    picture = io.ImageIO.read(java.ByteArrayInputStream(bytearray(content)))
+    out = java.ByteArrayOutputStream()
+    assert io.ImageIO.write(picture, "gif", out)
+    again, colours = gif.decode(bytes(out.toByteArray()))
+    assert [colours[v] for v in again.reshape(-1)] == [palette[v] for v in x.reshape(-1)]
+
+
+def test_gif_of_constant_and_random_bytes():
+    for x in (np.zeros((256, 256), np.uint8), np.random.default_rng(7).integers(0, 256, (256, 256)).astype(np.uint8)):
+        assert np.array_equal(gif.decode(gif.encode(x))[0], x)
+    with pytest.raises(ValueError):
+        gif.encode(np.full((2, 2), 9), [(0, 0, 0)])
+    for bad in (b"GIF87b", b"GIF89a" + bytes(7) + b";"):
+        with pytest.raises(ValueError):
+            gif.decode(bad)
+
+
+def test_gif_tiles(spark):
+    px = spark.range(40).select(F.lit(1).alias("section_id"), F.lit(0).alias("pyramid_level"), F.lit(0).cast("long").alias("tile_id"), F.lit(0).cast("long").alias("tile_row"), F.lit(0).cast("long").alias("tile_col"), F.floor(F.col("id") / 8).alias("r"), (F.col("id") % 8).alias("c"), F.array(F.col("id").cast("double")).alias("bands"))
+    tiles = codec.encoded(px, "UINT8", [9.0], 8, 6, "GIF")
+    got = {(r.r, r.c): r.bands[0] for r in codec.decoded(tiles, "UINT8", 1, 8, 6).collect()}
+    assert got == {(k // 8, k % 8): float(k if k < 40 else 9) for k in range(48)}
+    with pytest.raises(ValueError):
+        codec.encoded(px, "UINT16", [0.0], 8, 6, "GIF")
