@@ -63,5 +63,6 @@ def test_client(catalog, spark):
 def test_tile_codecs(kind):
     rng = np.random.default_rng(1)
     x = (rng.normal(size=(6, 5, 3)) * 1000).astype(kind) if kind != "u1" else rng.integers(0, 256, (6, 5, 3)).astype(kind)
-    for name in codec.CODECS if kind == "u1" else codec.CODECS[:-1]:
+    # PNG takes bytes alone; GIF takes one band of them alone (tests/test_pictures.py)
+    for name in ("NONE", "DEFLATE", "DEFLATE_NO", "LZMA", "LZMA_NO", *(["PNG"] if kind == "u1" else [])):
         assert np.array_equal(codec.unpacked(codec.packed(x, name), name, 6, 5, 3, np.dtype(kind)), x)
