@@ -104,7 +104,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     filed = fps.select("fp", F.explode(F.concat(ball(0, low), ball(1, high))).alias("entry"))
     shared = filed.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    members = filed.join(shared, "entry").withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
+    # both sides are 66 times what the planner takes them for, so it would send them to the driver as a small table
+    members = filed.join(shared.hint("merge"), "entry").withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     members = members.select("entry", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp")
     dealt = members.repartition("entry", "lo", "hi").sortWithinPartitions("entry", "lo", "hi")

@@ -67,6 +67,19 @@ def test_blocks_lose_no_link(spark):
         assert roots(signed, found) == want
 
 
+def pairs_at_one_bit(n, seed):
+    rng = random.Random(seed)
+    centre = [rng.getrandbits(63) for _ in range(n)]
+    return centre + [c ^ 1 << rng.randrange(63) for c in centre]
+
+
+def test_no_side_of_the_entries_goes_to_the_driver(spark):
+    """The planner takes the entries for as few as the fingerprints, which are 66 times fewer, and would broadcast them."""
+    written = simhash.cut(spark.createDataFrame([(f,) for f in pairs_at_one_bit(20, 6)], "fp long"))
+    plan = simhash.links(written)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_representatives_repeated_rows_and_null_ids(spark):
     rows = [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (2, "A b c d e f", "t"), (None, "lonely text with some words", "u"), (None, "a b c d e f", "v"), (5, None, "w"), (6, "", "w")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, doc string")
