@@ -6,9 +6,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridloom.llm import line_dedup, mixing, packing, quality
+from gridloom.llm import line_dedup, mixing, packing, quality, simhash
 
 from .helpers import prose, roots, table
 from .test_line_dedup import brute as slow_lines
@@ -97,6 +98,19 @@ def test_run_is_the_stages_in_turn(spark, sf_dir):
     assert sorted(map(tuple, got)) == sorted(map(tuple, docs.collect()))
 
 
+def test_simhash_stage_sends_no_large_table_to_the_driver(spark, monkeypatch):
+    """3,000 pairs one bit apart share over 100,000 table entries, more than the driver takes here."""
+    fp = F.xxhash64(F.expr("doc_id div 2")).bitwiseXOR(F.col("doc_id") % 2)
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.withColumn("fp", fp).drop("text"))
+    docs = spark.range(6000).selectExpr("id doc_id", "string(id) text", "'en' lang", "'web' source", "id n_chars")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "3m")
+    try:
+        stage = corpus_pipeline.simhash_dedup(spark, docs, "")  # links and components are written here
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert sorted(r.doc_id for r in stage.collect()) == list(range(0, 6000, 2))
+
+
 def test_empty_documents(spark, sf_dir, tmp_path):
     path = str(tmp_path)
     table(path, "documents", spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0))
