@@ -1,9 +1,10 @@
 """Quality rules: an isolation forest on rule statistics, its threshold calibrated from labelled rows.
 
-Rule statistics are computed over every whole text.  Trees are grown on subsamples of a bounded, documented
-sample of labelled rows that pass the base rules (LABELLED rows as expected, by a hash of the id); a tree splits
-a random statistic at a random place.  Documents that few splits isolate are anomalous.  The threshold is the one
-that best tells the sample's good rows from its bad ones among those that keep KEEP_GOOD of the good rows.
+Rule statistics are computed over every whole text.  All labelled rows that pass the base rules are learned from:
+typical rates, the statistics' ranges and the threshold are taken over every one of them, and each tree is grown, as
+the method has it, on SUBSAMPLE rows of its own, drawn from all the good ones; a tree splits a random statistic at a
+random place.  Documents that few splits isolate are anomalous.  The threshold is the one that best tells the good
+rows from the bad ones among those that keep KEEP_GOOD of the good rows.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, numbers, raw, read
 
-LABELLED, TREES, SUBSAMPLE, KEEP_GOOD, SEED = 20_000, 200, 256, 0.98, 7
+TREES, SUBSAMPLE, KEEP_GOOD, SEED = 200, 256, 0.98, 7
+#: Rows are ranked within so many ranges of hashes and of scores, whose counts alone the driver sees.
+RANGES = 1 << 14
 #: Words of typical text that are added to each text's rates.
 SHRINK = 80.0
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
@@ -94,6 +97,7 @@ def features(counts: np.ndarray, typical: np.ndarray) -> np.ndarray:
 
 _STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, stats array<long>"
 _NAMES = [x.split()[0] for x in _STATS.split(", ")]
+_COUNTS = len(statistics(b"")[-1])
 
 
 def _stats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,17 +109,18 @@ def _stats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", *_NAMES])
 
 
-def grow(x: np.ndarray, box: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED) -> list[tuple]:
+def grow(x: np.ndarray, box: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED, picks: list | None = None) -> list[tuple]:
     """Isolation trees over the rows of x: arrays (feature or -1, split, left, right, path length at a leaf).
 
+    A tree's rows are the `subsample` rows that picks names for it, or as many drawn here.
     Splits fall anywhere in the node's part of `box` (least and largest of each statistic over good and bad
     rows), so that a region without good rows is cut off even where the good rows are all alike.
     """
     rng, out = np.random.default_rng(seed), []
     harmonic = lambda n: 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n if n > 2 else float(n == 2)
     deepest = 2 * int(np.ceil(np.log2(max(2, min(subsample, len(x))))))
-    for _ in range(trees):
-        rows = x[rng.choice(len(x), min(subsample, len(x)), replace=False)]
+    for t in range(trees):
+        rows = x[rng.choice(len(x), min(subsample, len(x)), replace=False) if picks is None else picks[t]]
         feature, split, left, right, path = [], [], [], [], []
 
         def node(part: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> int:
@@ -171,7 +176,78 @@ def calibrate(score: np.ndarray, good: np.ndarray, keep: float = KEEP_GOOD) -> f
     return float((cuts[k] + cuts[min(k + 1, len(cuts) - 1)]) / 2)
 
 
-def scored(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, keep: float = KEEP_GOOD) -> DataFrame:
+def threshold(scores: DataFrame, keep: float = KEEP_GOOD) -> float:
+    """What `calibrate` gives for all rows of scores (good: boolean, anomaly: 0 to 1), of which one is good.
+
+    Rows are counted by score and by range of scores; within the ranges the counts are summed in turn, by a task each.
+    """
+    marked = scores.withColumn("range", F.floor(F.col("anomaly") * RANGES))
+    each = cut(marked.groupBy("range", "anomaly").agg(F.count_if("good").alias("fine"), F.count_if(~F.col("good")).alias("bad")))
+    ranges = each.groupBy("range").agg(F.sum("fine").alias("fine"), F.sum("bad").alias("bad")).sort("range").toArrow()
+    at, fine, bad = (numbers(ranges, c) for c in ("range", "fine", "bad"))
+    n_fine, n_bad = int(fine.sum()), int(bad.sum())
+    if not n_bad:
+        return each.where("fine > 0").agg(F.max("anomaly")).first()[0]
+    least = int(np.ceil(keep * (n_fine - 1))) + 1  # good rows that stay
+    before = pa.table({"range": at, "fine_before": np.cumsum(fine) - fine, "bad_before": np.cumsum(bad) - bad}).filter(pa.array(np.cumsum(fine) >= least))
+    upto = Window.partitionBy("range").orderBy("anomaly").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = each.join(F.broadcast(each.sparkSession.createDataFrame(before)), "range").select(
+        "anomaly", (F.col("fine_before") + F.sum("fine").over(upto)).alias("fine"), (F.col("bad_before") + F.sum("bad").over(upto)).alias("bad")
+    )
+    wrong = F.col("bad") * n_fine - F.col("fine") * n_bad
+    best = summed.where(F.col("fine") >= least).agg(F.min(F.struct(wrong.alias("wrong"), (-F.col("anomaly")).alias("low")))).first()[0]
+    above = each.where(F.col("anomaly") > -best.low).agg(F.min("anomaly")).first()[0]
+    return (-best.low + (-best.low if above is None else above)) / 2
+
+
+def _drawn(good: DataFrame, n: int, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Counts of the rows that trees are grown on, and for each tree the places of its `size` ones; all n rows of good may be drawn.
+
+    Rows rank by a hash of their id; ranks are drawn here, and only the rows that have them are sent.
+    """
+    rng = np.random.default_rng(SEED)
+    ranks = [rng.choice(n, size, replace=False) for _ in range(TREES)]
+    wanted = np.unique(np.concatenate(ranks))
+    hashed = good.withColumn("range", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - RANGES.bit_length() + 1))
+    ranges = hashed.groupBy("range").count().sort("range").toArrow()
+    at, last = numbers(ranges, "range"), np.cumsum(numbers(ranges, "count"))
+    k = np.searchsorted(last, wanted, "right")
+    places = pa.table({"range": at[k], "place": wanted - (last[k] - numbers(ranges, "count")[k]) + 1, "rank": wanted})
+    placed = hashed.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy(F.xxhash64("doc_id"), "doc_id", "stats")).cast("long"))
+    rows = placed.join(F.broadcast(good.sparkSession.createDataFrame(places)), ["range", "place"]).select("rank", "stats").toArrow()
+    order = np.argsort(numbers(rows, "rank"))
+    counts = np.asarray(rows["stats"].to_pylist(), np.float64)[order]
+    return counts, [np.searchsorted(wanted, r) for r in ranks]
+
+
+def _judge(model):
+    """Rows with `anomaly` in place of their counts."""
+
+    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, size, typical = model.value
+        for batch in batches:
+            x = np.asarray(batch.column(batch.schema.get_field_index("stats")).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            out = anomaly(features(x, typical), trees, size) if trees and len(x) else np.zeros(len(x))
+            rest = [i for i, c in enumerate(batch.schema.names) if c != "stats"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(out)], names=[*(batch.schema.names[i] for i in rest), "anomaly"])
+
+    return judge
+
+
+def _box(usable: DataFrame, typical: np.ndarray) -> np.ndarray:
+    """The least and the largest of each statistic over all rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = features(np.asarray(batch.column(0).to_pylist(), np.float64), typical)
+                yield pa.RecordBatch.from_arrays([pa.array(range(x.shape[1]), pa.int32()), pa.array(x.min(axis=0)), pa.array(x.max(axis=0))], names=["k", "low", "high"])
+
+    ends = usable.select("stats").mapInArrow(run, "k int, low double, high double").groupBy("k").agg(F.min("low"), F.max("high")).sort("k").collect()
+    return np.array([[r[1] for r in ends], [r[2] for r in ends]])
+
+
+def scored(docs: DataFrame, labels: DataFrame, keep: float = KEEP_GOOD) -> DataFrame:
     """doc_id, text_hash, the rule statistics, `anomaly`, `base_failed` and `kept`, one row per row of docs (doc_id, text).
 
     A null text has no words, and so fails the base rules.  Labels that are null, and labels of unknown ids,
@@ -181,31 +257,21 @@ def scored(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, keep: f
     spark = docs.sparkSession
     found = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_stats, f"doc_id long, text_hash long, {_STATS}"))
     marks = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    usable = cut(found.where(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {REPEAT_PERCENT} * n_words").join(marks, "doc_id").select("quality", "stats", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("o"), "doc_id"))
-    # as many of them as a share of hashes gives, near `labelled` and without a global sort
-    sample = usable.where(F.col("o") < int((1 << 30) * min(1.0, labelled / max(1, usable.count())))).select("quality", "stats", "o", "doc_id").toPandas()
-    sample = sample.sort_values(["o", "doc_id"], kind="stable")
-    good = sample["quality"].to_numpy() > 0
-    bound = float("inf")
-    trees, size, typical = [], 2, None
-    if good.sum() >= 2:
-        counts = np.asarray(sample["stats"].tolist(), np.float64)
-        typical = priors(counts[good])
-        x = features(counts, typical)
-        size = min(SUBSAMPLE, int(good.sum()))
-        trees = grow(x[good], np.array([x.min(axis=0), x.max(axis=0)]), TREES, size)
-        bound = calibrate(anomaly(x, trees, size), good, keep)
+    usable = cut(found.where(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {REPEAT_PERCENT} * n_words").join(marks, "doc_id").select((F.col("quality") > 0).alias("good"), "stats", "doc_id"))
+    good = usable.where("good")
+    n_good, *sums = good.agg(F.count("*"), *[F.sum(F.col("stats")[i]) for i in range(_COUNTS)]).first()
+    bound, size = float("inf"), 2
+    trees, typical = [], None
+    if n_good >= 2:
+        typical = priors(np.array([sums], np.float64))
+        size = min(SUBSAMPLE, n_good)
+        counts, picks = _drawn(good, n_good, size)
+        trees = grow(features(counts, typical), _box(usable, typical), TREES, size, picks=picks)
     model = spark.sparkContext.broadcast((trees, size, typical))
+    if trees:
+        bound = threshold(usable.select("good", "stats").mapInArrow(_judge(model), "good boolean, anomaly double"), keep)
 
-    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, size, typical = model.value
-        for batch in batches:
-            x = np.asarray(batch.column(batch.schema.get_field_index("stats")).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            out = anomaly(features(x, typical), trees, size) if trees and len(x) else np.zeros(len(x))
-            rest = [i for i, name in enumerate(batch.schema.names) if name != "stats"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(out)], names=[*(batch.schema.names[i] for i in rest), "anomaly"])
-
-    judged = found.mapInArrow(judge, "doc_id long, text_hash long, " + ", ".join(x for x in _STATS.split(", ") if not x.startswith("stats")) + ", anomaly double")
+    judged = found.mapInArrow(_judge(model), "doc_id long, text_hash long, " + ", ".join(x for x in _STATS.split(", ") if not x.startswith("stats")) + ", anomaly double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= bound))
 

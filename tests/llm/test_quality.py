@@ -88,6 +88,28 @@ def test_calibration_takes_the_gap():
     assert quality.calibrate(score[:3], good[:3], 1.0) == 0.32
 
 
+def test_threshold_is_the_calibration_of_all_rows(spark):
+    rng = np.random.default_rng(3)
+    for n, digits, share in ((400, 9, 0.2), (400, 2, 0.5), (30, 1, 0.9), (5, 9, 0.0), (2, 9, 0.5)):
+        good = rng.random(n) >= share
+        good[0] = True
+        score = np.round(np.where(good, rng.beta(6, 8, n), rng.beta(8, 6, n)), digits)
+        frame = spark.createDataFrame([(bool(g), float(x)) for g, x in zip(good, score, strict=True)], "good boolean, anomaly double")
+        for keep in (0.5, 0.98, 1.0):
+            assert quality.threshold(frame, keep) == quality.calibrate(score, good, keep)
+
+
+def test_every_labelled_row_counts(spark):
+    """Without bad labels all good rows stay, also the few odd ones of 24,000, whatever the hashes of their ids."""
+    words = "transform(sequence(1, 20 + id % 30), i -> substr(md5(concat(id, '-', i)), 1, 1 + (id * i) % 7))"
+    odd = "id % 40 = 0 and pmod(xxhash64(id), 1 << 30) > 0.9 * (1 << 30)"
+    text = f"if({odd}, array_join(transform({words}, x -> concat(x, md5(x), '. 99!')), '\n'), array_join({words}, ' '))"
+    rows = spark.range(24_000).selectExpr("id doc_id", f"{text} text", "1 quality", f"{odd} odd")
+    got = quality.scored(rows.select("doc_id", "text"), rows.select("doc_id", "quality")).where("not base_failed").join(rows.select("doc_id", "odd"), "doc_id").toPandas()
+    assert len(got) > 23_000 and got["odd"].sum() > 20
+    assert got["kept"].all()
+
+
 def test_path_lengths_by_plain_recursion():
     """The anomaly of a row is what walking each tree, node by node, gives."""
     rng = np.random.default_rng(5)
