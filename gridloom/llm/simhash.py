@@ -144,14 +144,15 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ids = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     prints = cut(fingerprints(ids))
-    rows = prints.join(_roots(prints, distance).select("fp", "root"), "fp")
+    # small as files, these tables grow with docs: neither goes through the driver
+    rows = prints.join(_roots(prints, distance).select("fp", "root").hint("merge"), "fp")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h")).alias("best"))
     best = best.select("best.late", F.coalesce("best.doc_id", F.lit(0)).alias("id"), "best.h")
     boxed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).isNull().alias("late"),
         F.coalesce(F.col(id_col), F.lit(0)).alias("id"), F.xxhash64(text_col).alias("h"),
     )
-    return boxed.join(best, ["late", "id", "h"], "left_semi").dropDuplicates(["late", "id", "h"]).select("doc.*")
+    return boxed.join(best.hint("merge"), ["late", "id", "h"], "left_semi").dropDuplicates(["late", "id", "h"]).select("doc.*")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,6 +111,18 @@ def test_simhash_stage_sends_no_large_table_to_the_driver(spark, monkeypatch):
     assert sorted(r.doc_id for r in stage.collect()) == list(range(0, 6000, 2))
 
 
+def test_simhash_stage_joins_documents_without_the_driver(spark, monkeypatch):
+    """40,000 fingerprints, or the rows that stay, are small files but more than the driver takes here."""
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.withColumn("fp", F.xxhash64("doc_id")).drop("text"))
+    docs = spark.range(40_000).selectExpr("id doc_id", "string(id) text", "'en' lang", "'web' source", "id n_chars")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "3m")
+    try:
+        stage = corpus_pipeline.simhash_dedup(spark, docs, "").collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert sorted(r.doc_id for r in stage) == list(range(40_000))
+
+
 def test_empty_documents(spark, sf_dir, tmp_path):
     path = str(tmp_path)
     table(path, "documents", spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0))
