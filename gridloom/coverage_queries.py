@@ -476,7 +476,8 @@ def ring_centroids(spark, d):
 SELECT vec_id, list_sum(list_transform(range(2, 65), lambda i: abs(v[i] - v[i - 1])))::BIGINT AS moved, v[64]::BIGINT AS last, list_sum(list_transform(v, lambda x: CASE WHEN x % 2 = 0 THEN 255 ELSE x END))::BIGINT AS masked FROM e""")
 def delta_coding(spark, d):
     """Differences of neighbours and back, and a mask."""
-    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127.5)).alias("v"))
+    single = lambda x: F.lit(x).cast("float")  # noqa: E731  # as in SQL, where a component stays in single precision
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor((x + single(1)) * single(127.5))).alias("v"))
     add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
     coded = e.withColumn("c", buffers.delta(F.col("v")))
     return coded.select(
