@@ -88,4 +88,17 @@ def sublayers(*parts: DataFrame) -> DataFrame:
 
 def overlay(layers: DataFrame, keys: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
     """Of each cell the values of the layer painted last."""
-    return layers.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col(order)).alias("top")).select(*keys, "top.*")
+    # a buffer for each value and none of a struct: numbers then stay in a hash table and are not sorted
+    return layers.groupBy(*keys).agg(*[F.max_by(v, order).alias(v) for v in values])
+
+
+def stacked(cells: DataFrame, keys: Sequence[str], layers: Sequence[tuple[int, Column | None, Sequence[Column]]], values: Sequence[str]) -> DataFrame:
+    """Of each cell the values of the layer painted last, of layers (paint order, test or None, values) over one table with a row per cell.
+
+    Nothing is grouped or shuffled, so memory doesn't grow with the cells.  Cells that no layer shows are left out.
+    """
+    top = None
+    for _, test, columns in sorted(layers, key=lambda x: x[0], reverse=True):
+        test, shown = F.lit(True) if test is None else test, F.struct(*[v.alias(n) for v, n in zip(columns, values, strict=True)])
+        top = F.when(test, shown) if top is None else top.when(test, shown)
+    return cells.select(*keys, top.alias("top")).where("top is not null").select(*keys, "top.*")
