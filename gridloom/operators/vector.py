@@ -102,3 +102,11 @@ def stacked(cells: DataFrame, keys: Sequence[str], layers: Sequence[tuple[int, C
         test, shown = F.lit(True) if test is None else test, F.struct(*[v.alias(n) for v, n in zip(columns, values, strict=True)])
         top = F.when(test, shown) if top is None else top.when(test, shown)
     return cells.select(*keys, top.alias("top")).where("top is not null").select(*keys, "top.*")
+
+
+def spread(features: DataFrame, *columns: str) -> DataFrame:
+    """Features dealt out by a hash of columns: their files are small, so that what one feature costs or grows to would else be up to a task or two.
+
+    Equal rows alone meet in one task; one key with many different rows does not.
+    """
+    return features.repartition(F.xxhash64(*columns))

@@ -284,7 +284,8 @@ def points_drawn(features: DataFrame, box: Sequence[float], width: int, height:
 def lines_drawn(features: DataFrame, box: Sequence[float], width: int, height: int) -> DataFrame:
     """(fid, out_y, out_x) of lines (fid, path: array<struct<x, y>>): each segment in steps of half a pixel at most, ends included."""
     pairs = F.transform(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), lambda a, i: F.struct(a.alias("a"), F.get(F.col("path"), i + 1).alias("b")))
-    seg = features.select("fid", F.explode(pairs).alias("s")).select("fid", "s.a", "s.b")
+    dealt = vector.spread(features.select("fid", "path"), "fid", "path")  # a path becomes many cells, whose distinct ones a task holds
+    seg = dealt.select("fid", F.explode(pairs).alias("s")).select("fid", "s.a", "s.b")
     px, py = (box[2] - box[0]) / width, (box[3] - box[1]) / height
     steps = F.greatest(F.ceil(2 * F.greatest(F.abs(F.col("b.x") - F.col("a.x")) / px, F.abs(F.col("b.y") - F.col("a.y")) / py)), F.lit(1))
     walk = seg.select("fid", "a", "b", steps.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), steps.cast("long"))).alias("k"))

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from gridloom import catalog_queries
+from gridloom import catalog_queries, coverage_queries  # noqa: F401
 from gridloom.operators import vector
+from gridloom.plans import maps
 
 DATA = "/root/testdata/sf0.001"
 
@@ -39,3 +40,13 @@ def test_stacked_layers_are_those_of_an_overlay(spark):
 
 def test_a_layer_without_a_test_shows_everywhere(spark):
     assert vector.stacked(spark.range(3), ["id"], [(1, None, [F.col("id") * 2])], ["v"]).count() == 3
+
+
+def test_lines_are_dealt_out_before_they_become_cells(spark):
+    """One file of features, and one fid with many paths, must not be the work of one task."""
+    point = lambda x, y: F.struct((F.col("id") % 50 + x).cast("double").alias("x"), (F.col("id") % 40 + y).cast("double").alias("y"))
+    lines = spark.range(0, 4000, 1, 1).select((F.col("id") % 2).alias("fid"), F.array(point(0.25, 0.25), point(9.25, 5.25), point(0.25, 0.25)).alias("path"))
+    drawn = maps.lines_drawn(lines, (0.0, 0.0, 64.0, 64.0), 64, 64)
+    text = plan(drawn)
+    assert text.count("Exchange") == 2 and text.rindex("Exchange") > text.rindex("HashAggregate")  # the lower one is below the first aggregation
+    assert drawn.count() == drawn.distinct().count() > 0
