@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .catalog_queries import FT, IM, MB, features, grid, image, multiband, query, table
 from .functions import buffers, pixel, shapes, sqlnames
 from .operators import pixels as X
-from .operators import statistics
+from .operators import statistics, vector
 from .operators.codec import decoded
 from .plans import calls, export, load, maps
 from .plans.coverage import Catalog
@@ -451,7 +451,7 @@ def curves(spark, d):
     """A path of two segments: length, midpoint, end, the part from 1 on, bounds, an offset; and a quoted name."""
     at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     zero = F.lit(0.0)
-    f = features(spark, d).withColumn("p", F.array(at(zero, zero), at(F.col("x"), F.col("y")), at(F.col("x") + 5, F.col("y"))))
+    f = vector.spread(features(spark, d), "p_partkey").withColumn("p", F.array(at(zero, zero), at(F.col("x"), F.col("y")), at(F.col("x") + 5, F.col("y"))))
     p = F.col("p")
     return f.select(
         "p_partkey", F.round(shapes.length(p), 8).alias("length"), F.round(shapes.midpoint(p).x, 8).alias("mid_x"), shapes.point_at(p, F.lit(1e9)).x.alias("end_x"),

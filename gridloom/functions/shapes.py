@@ -43,36 +43,43 @@ def length(path: Column) -> Column:
     return F.aggregate(steps(path), F.lit(0.0), lambda s, d: s + d)
 
 
-def walked(path: Column) -> Column:
-    """array<struct<x, y, d>>: the points of a path with the way to each."""
-    first = F.array(F.struct(F.get(path, 0).x.alias("x"), F.get(path, 0).y.alias("y"), F.lit(0.0).alias("d")))
+def _step(s: Column, p: Column) -> Column:
+    return F.sqrt(F.pow(p.x - s.x, 2) + F.pow(p.y - s.y, 2))
 
-    def add(done: Column, p: Column) -> Column:
-        last = F.element_at(done, -1)
-        way = last.d + F.sqrt(F.pow(p.x - last.x, 2) + F.pow(p.y - last.y, 2))
-        return F.concat(done, F.array(F.struct(p.x.alias("x"), p.y.alias("y"), way.alias("d"))))
 
-    return F.aggregate(F.slice(path, 2, F.size(path)), first, add)
+def _started(path: Column, **more: Column) -> Column:
+    """The state of a walk at a path's first point: x, y, the way d to it, and more values, which are so computed once and not at each point."""
+    at = lambda k: F.get(path, 0)[k].cast("double").alias(k)
+    return F.struct(at("x"), at("y"), F.lit(0.0).alias("d"), *[v.alias(k) for k, v in more.items()])
 
 
 def point_at(path: Column, way: Column) -> Column:
-    """struct<x, y> that far along a path; its end beyond it."""
+    """struct<x, y> that far along a path; its end beyond it.  One pass, which stands still at the first point at or beyond the way."""
+    none = F.lit(None).cast("double")
 
-    def found(w: Column) -> Column:
-        after = F.get(F.filter(w, lambda p: p.d >= way), 0)
-        before = F.element_at(F.filter(w, lambda p: p.d < way), -1)
-        t = (way - before.d) / (after.d - before.d)
-        between = F.struct((before.x + (after.x - before.x) * t).alias("x"), (before.y + (after.y - before.y) * t).alias("y"))
-        end = F.element_at(w, -1)
-        some = F.exists(w, lambda p: p.d < way)
-        return F.when(after.isNull(), F.struct(end.x.alias("x"), end.y.alias("y"))).when(~some, F.struct(after.x.alias("x"), after.y.alias("y"))).otherwise(between)
+    def on(s: Column, p: Column) -> Column:
+        moved = F.struct(p.x.cast("double").alias("x"), p.y.cast("double").alias("y"), (s.d + _step(s, p)).alias("d"), s.way.alias("way"), s.x.alias("px"), s.y.alias("py"), s.d.alias("pd"))
+        return F.when(s.d >= s.way, s).otherwise(moved)
 
-    return F.element_at(F.transform(F.array(walked(path)), found), 1)
+    def found(s: Column) -> Column:
+        t = (s.way - s.pd) / (s.d - s.pd)
+        between = (s.d >= s.way) & s.pd.isNotNull()
+        return F.struct(F.when(between, s.px + (s.x - s.px) * t).otherwise(s.x).alias("x"), F.when(between, s.py + (s.y - s.py) * t).otherwise(s.y).alias("y"))
+
+    return F.aggregate(F.slice(path, 2, F.size(path)), _started(path, way=way.cast("double"), px=none, py=none, pd=none), on, found)
 
 
 def substring(path: Column, a: Column, b: Column) -> Column:
-    """The part of a path between two ways along it."""
-    inner = F.transform(F.filter(walked(path), lambda p: (p.d > a) & (p.d < b)), lambda p: F.struct(p.x.alias("x"), p.y.alias("y")))
+    """The part of a path between two ways along it.  The points between them follow one another, so one pass counts those before and those within."""
+    n = lambda test: F.when(test, 1).otherwise(0)
+    before, within = lambda s: s.before + n(s.d <= s.a), lambda s: s.within + n((s.d > s.a) & (s.d < s.b))
+
+    def on(s: Column, p: Column) -> Column:
+        return F.struct(p.x.cast("double").alias("x"), p.y.cast("double").alias("y"), (s.d + _step(s, p)).alias("d"), s.a.alias("a"), s.b.alias("b"), before(s).alias("before"), within(s).alias("within"))
+
+    zero = _started(path, a=a.cast("double"), b=b.cast("double"), before=F.lit(0), within=F.lit(0))
+    inner = F.aggregate(F.slice(path, 2, F.size(path)), zero, on, lambda s: F.slice(path, before(s) + 1, within(s)))
+    inner = F.transform(inner, lambda p: F.struct(p.x.cast("double").alias("x"), p.y.cast("double").alias("y")))
     return F.concat(F.array(point_at(path, a)), inner, F.array(point_at(path, b)))
 
 

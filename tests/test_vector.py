@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridloom import catalog_queries, coverage_queries  # noqa: F401
+from gridloom.functions import shapes
 from gridloom.operators import vector
 from gridloom.plans import maps
 
@@ -50,3 +51,18 @@ def test_lines_are_dealt_out_before_they_become_cells(spark):
     text = plan(drawn)
     assert text.count("Exchange") == 2 and text.rindex("Exchange") > text.rindex("HashAggregate")  # the lower one is below the first aggregation
     assert drawn.count() == drawn.distinct().count() > 0
+
+
+def test_curves_are_dealt_out(spark):
+    text = plan(catalog_queries.QUERIES["curves"](spark, DATA))
+    assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_ways_along_a_path(spark):
+    p = spark.createDataFrame([([(0.0, 0.0), (3.0, 4.0), (3.0, 4.0), (6.0, 8.0), (6.0, 10.0)],)], "p array<struct<x: double, y: double>>")
+    at = lambda way: tuple(p.select(shapes.point_at(F.col("p"), F.lit(way)).alias("a")).first().a)
+    assert [at(w) for w in (-1.0, 0.0, 2.5, 5.0, 7.5, 11.0, 12.0, 99.0)] == [(0, 0), (0, 0), (1.5, 2), (3, 4), (4.5, 6), (6, 9), (6, 10), (6, 10)]
+    part = lambda a, b: [tuple(x) for x in p.select(shapes.substring(F.col("p"), F.lit(a), F.lit(b)).alias("s")).first().s]
+    assert part(2.5, 7.5) == [(1.5, 2), (3, 4), (3, 4), (4.5, 6)]
+    assert part(-1.0, 99.0) == [(0, 0), (0, 0), (3, 4), (3, 4), (6, 8), (6, 10), (6, 10)]
+    assert part(5.0, 10.0) == [(3, 4), (6, 8)]
